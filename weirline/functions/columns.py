@@ -84,12 +84,22 @@ HMEAN_TOP = {"clamp": None, "eps": 1e-6}
 HMEAN_TEST = {"clamp": None, "eps": 1e-12}
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(logits, tau: float = 1.0) -> Column:
-    logits = col(logits)
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda v: F.exp((v - top) / F.lit(tau)))
-    total = F.aggregate(raised, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(raised, lambda v: v / total)
+    def shares(raised: Column) -> Column:
+        total = F.aggregate(raised, F.lit(0.0), lambda acc, v: acc + v)
+        return bind(total, lambda t: F.transform(raised, lambda v: v / t))
+
+    def raise_all(values: Column) -> Column:
+        return bind(
+            F.array_max(values), lambda top: F.transform(values, lambda v: F.exp((v - top) / F.lit(tau)))
+        )
+
+    return bind(bind(col(logits), raise_all), shares)
 
 
 def weighted_sum(weights, values) -> Column:

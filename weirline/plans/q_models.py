@@ -1 +1,367 @@
 """Experts that need a fit, gate training, reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from weirline.operators import curve, ensemble, features, forest, gate, linear, reports, split
+from weirline.plans.common import ALGS, expert_predictions, split_flows, split_panel, tidy, two_views
+from weirline.plans.oracle import compose, register, rounded, suite
+from weirline.plans.q_skill import soft_weights
+from weirline.plans.queries import query
+from weirline.plans.workflow import Settings, blend_experts, run
+from weirline.schema import GATE_INPUTS, METRICS
+from weirline.sources import panel, tables
+from weirline.sources.scratch import cut, new_path
+
+KEY = "section_id, date"
+BASE = ["natural_flow", "rainfall", "evaporation"]
+TREE_INPUTS = ["natural_flow", "rainfall", "evaporation", "season_sin", "season_cos"]
+
+
+def _tree_blocks(spark, folder, k=3):
+    return split.forward_blocks(features.season(split_flows(spark, folder)), k)
+
+
+@query("exp_mlr")
+def exp_mlr(spark, folder):
+    base, _ = two_views(spark, folder)
+    return tidy(linear.mlr_predictions(base, BASE))
+
+
+@query("exp_gam")
+def exp_gam(spark, folder):
+    base, _ = two_views(spark, folder)
+    return tidy(linear.gam_predictions(base, BASE))
+
+
+# Trees in small numbers here; the library's own grids are in forest.GRIDS.
+_SMALL = {
+    "exp_dt": ("DT", {"maxDepth": 5, "minInstancesPerNode": 5}),
+    "exp_rf": ("RF", {"numTrees": 10, "maxDepth": 5}),
+    "exp_gb": ("GB", {"maxIter": 5, "maxDepth": 3}),
+    "exp_lgbm": ("LGBM", {"maxIter": 5, "stepSize": 0.2, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}),
+}
+
+
+def _tree_query(name, alg, params):
+    @query(name)
+    def fit(spark, folder):
+        return tidy(forest.forest_predictions(_tree_blocks(spark, folder), TREE_INPUTS, alg, params))
+
+
+for _name, (_alg, _params) in _SMALL.items():
+    _tree_query(_name, _alg, _params)
+
+
+@query("exp_adab")
+def exp_adab(spark, folder):
+    blocks = _tree_blocks(spark, folder, 2)
+    return tidy(forest.forest_predictions(blocks, TREE_INPUTS, "AdaB", {"rounds": 3, "rate": 0.5}, k=2))
+
+
+@query("exp_lag_tree_twin")
+def exp_lag_tree_twin(spark, folder):
+    _, lag = two_views(spark, folder)
+    return tidy(forest.forest_predictions(lag, list(features.LAG_INPUTS), "RF_LAG", {"numTrees": 10, "maxDepth": 5}))
+
+
+def _flat_windows(spark, folder, length):
+    rows = split_flows(spark, folder)
+    windows = features.sequence_windows(rows, ["natural_flow", "rainfall"], length)
+    cells = {f"{c}_{i}": F.col("window")[i][j] for i in range(length) for j, c in enumerate(("natural_flow", "rainfall"))}
+    return split.forward_blocks(windows.withColumns(cells).drop("window"), 2), list(cells)
+
+
+@query("exp_seq")
+def exp_seq(spark, folder):
+    flat, names = _flat_windows(spark, folder, 6)
+    return tidy(forest.forest_predictions(flat, names, "GB", {"maxIter": 5, "maxDepth": 3}, k=2).withColumn("alg", F.lit("SEQ")))
+
+
+@query("exp_seq_linear")
+def exp_seq_linear(spark, folder):
+    flat, names = _flat_windows(spark, folder, 6)
+    return tidy(linear.mlr_predictions(flat, names, "SEQ_MLR"))
+
+
+@query("cv_grid_search_trees")
+def cv_grid_search_trees(spark, folder):
+    grid = [{"maxDepth": 3, "minInstancesPerNode": 5}, {"maxDepth": 5, "minInstancesPerNode": 1}]
+    best, _, _ = forest.grid_search(_tree_blocks(spark, folder), TREE_INPUTS, "DT", grid)
+    return tidy(best)
+
+
+# ---- weighted median behind the boosted expert, on the five chosen experts
+
+
+@query(
+    "agg_weighted_median",
+    compose(
+        f"""SELECT {KEY}, round(min(v), 6) + 0.0 AS pred FROM (
+          SELECT {KEY}, v, sum(w) OVER (PARTITION BY {KEY} ORDER BY v, w ROWS UNBOUNDED PRECEDING) AS upto,
+            sum(w) OVER (PARTITION BY {KEY}) AS total FROM soft) WHERE upto >= 0.5::double * total GROUP BY 1, 2"""
+    ),
+)
+def agg_weighted_median(spark, folder):
+    rows = soft_weights(spark, folder)
+    return tidy(rows.select("section_id", "date", forest.weighted_median("yhat", "w").alias("pred")))
+
+
+# ---- the gate
+
+NET = {
+    "w1": [[0.5, -0.25, 0.1, 0.8, -0.3, 0.2, 0.4], [-0.6, 0.3, 0.05, -0.2, 0.9, -0.1, 0.7]],
+    "b1": [0.1, 0.2],
+    "w2": [[1.0, -0.5], [0.25, 0.75], [-0.4, 0.6]],
+    "b2": [0.0, 0.1, -0.1],
+}
+
+
+def _sql_list(values) -> str:
+    return "[" + ", ".join(f"{v!r}::double" for v in values) + "]"
+
+
+_G = "[" + ", ".join(f"{c}" for c in GATE_INPUTS) + "]"
+register("gate_rows", f"SELECT {KEY}, {_G} AS g FROM gated WHERE split = 'test'")
+register(
+    "gate_hidden",
+    f"SELECT {KEY}, ["
+    + ", ".join(f"greatest(list_dot_product(g, {_sql_list(w)}) + {b!r}::double, 0)" for w, b in zip(NET["w1"], NET["b1"]))
+    + "] AS h FROM gate_rows",
+)
+register(
+    "gate_logits",
+    f"SELECT {KEY}, slot, CASE slot "
+    + " ".join(
+        f"WHEN {i} THEN list_dot_product(h, {_sql_list(w)}) + {b!r}::double" for i, (w, b) in enumerate(zip(NET["w2"], NET["b2"]))
+    )
+    + " END AS l FROM gate_hidden, range(3) s(slot)",
+)
+
+
+@query(
+    "gate_apply",
+    compose(
+        f"""SELECT {KEY}, CAST(slot AS integer) AS slot,
+        round(exp(l / 1.5::double) / sum(exp(l / 1.5::double)) OVER (PARTITION BY {KEY}), 6) AS w FROM gate_logits"""
+    ),
+)
+def gate_apply(spark, folder):
+    rows = _gated(spark, folder).where(F.col("split") == "test")
+    nested = lambda m: F.array(*[F.array(*map(F.lit, r)) for r in m])
+    flat = lambda v: F.array(*map(F.lit, v))
+    one = rows.withColumns({"w1": nested(NET["w1"]), "b1": flat(NET["b1"]), "w2": nested(NET["w2"]), "b2": flat(NET["b2"])})
+    w = gate.gate_weights(F.array(*GATE_INPUTS))
+    return tidy(one.select("section_id", "date", F.posexplode(w).alias("slot", "w")))
+
+
+def _gated(spark, folder):
+    rows = cut(split_panel(spark, folder))
+    return curve.apply_gate_meta(rows, curve.fit_gate_meta(rows.where(F.col("split") == "train")))
+
+
+def _trained(spark, folder):
+    """Gate rows, expert predictions and everything the gate gives, for the closed-form experts."""
+    rows = cut(_gated(spark, folder))
+    lag = split.forward_blocks(features.lag_view(rows), 3)
+    preds = cut(expert_predictions(split.forward_blocks(rows, 3), lag))
+    return (preds, *blend_experts(rows, preds, Settings()))
+
+
+@query("gate_train")
+def gate_train(spark, folder):
+    _, _, gates, _ = _trained(spark, folder)
+    return tidy(gates.select("section_id", "epochs", "check_loss", F.size("b2").alias("experts")))
+
+
+# ---- reports
+
+
+@query("rep_test_wide")
+def rep_test_wide(spark, folder):
+    preds, chosen, _, blended = _trained(spark, folder)
+    best = chosen.where(F.col("place") == 1)
+    return tidy(reports.test_wide(blended, preds, ALGS, best))
+
+
+register(
+    "all_test",
+    """SELECT section_id, date, alg, y, pred FROM tests
+    UNION ALL SELECT section_id, date, 'MoE', y, "pred_MoE" FROM equal_blend WHERE split = 'test'""",
+)
+register("equal_blend", 'SELECT section_id, date, split, any_value(y) AS y, avg(v) AS "pred_MoE" FROM filled GROUP BY 1, 2, 3')
+register("all_suite", suite("all_test", "section_id, alg"))
+register("sizes", "SELECT DISTINCT section_id, train_size, test_size, first_test_year FROM split")
+register(
+    "single_best",
+    """SELECT section_id, alg FROM fold_means WHERE alg <> 'PHYS'
+    QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY "cv_mean_Hmean" DESC NULLS LAST, alg) = 1""",
+)
+
+
+def _equal_parts(spark, folder):
+    """Predictions, equal-weight blend and sizes: reports SQL can follow."""
+    flows = cut(split_flows(spark, folder))
+    base = split.forward_blocks(flows, 3)
+    preds = cut(expert_predictions(base, split.forward_blocks(features.lag_view(flows), 3)))
+    chosen = cut(ensemble.top_experts(ensemble.out_of_fold(preds)))
+    full = ensemble.fill_expert_gaps(cut(ensemble.expert_matrix(preds, chosen, base)))
+    blended = ensemble.blend(full.withColumn("w", ensemble.equal_weights()))
+    sizes = flows.select("section_id", "train_size", "test_size", "first_test_year").distinct()
+    return preds, chosen, blended, sizes
+
+
+@query(
+    "rep_summary",
+    compose(
+        f"""SELECT s.section_id, s.alg, {rounded(METRICS)}, round(f."cv_mean_NSE", 6) + 0.0 AS "cv_mean_NSE",
+          round(f."cv_mean_Hmean", 6) + 0.0 AS "cv_mean_Hmean", train_size, test_size, first_test_year,
+          b.alg IS NOT NULL AS is_best, '{{}}' AS best_params
+        FROM all_suite s JOIN sizes USING (section_id)
+        LEFT JOIN (SELECT * FROM fold_means WHERE alg <> 'PHYS') f ON f.section_id = s.section_id AND f.alg = s.alg
+        LEFT JOIN single_best b ON b.section_id = s.section_id AND b.alg = s.alg"""
+    ),
+)
+def rep_summary(spark, folder):
+    preds, _, blended, sizes = _equal_parts(spark, folder)
+    return tidy(reports.summary(preds, blended, sizes))
+
+
+_OOF_NAMES = {"NSE": "oof_nse", "logNSE": "oof_lognse", "RMSE": "oof_rmse", "FHV": "oof_fhv", "FLV": "oof_flv"}
+
+
+@query(
+    "rep_model_selection",
+    compose(
+        "SELECT f.section_id, f.alg AS algorithm, "
+        + rounded([f"cv_mean_{m}" for m in (*METRICS, "Hmean")]).replace("round(", "round(f.")
+        + ", "
+        + ", ".join(f"round(o.{m}, 6) + 0.0 AS {n}" for m, n in _OOF_NAMES.items())
+        + f""", moe_experts, '{{}}' AS best_params, '{"|".join(GATE_INPUTS)}' AS moe_gate_cols
+        FROM fold_means f JOIN oof_suite o ON o.section_id = f.section_id AND o.alg = f.alg
+        JOIN (SELECT section_id, string_agg(alg, '|' ORDER BY place) AS moe_experts FROM top5 GROUP BY 1) t ON t.section_id = f.section_id"""
+    ),
+)
+def rep_model_selection(spark, folder):
+    preds, chosen, _, _ = _equal_parts(spark, folder)
+    return tidy(reports.model_selection(preds, chosen))
+
+
+_BEST = [f"TEST_{m}" for m in METRICS]
+register(
+    "station_best",
+    f"""SELECT w.section_id, w.alg, {', '.join(f'w.{m} AS "TEST_{m}"' for m in METRICS)}, w."TEST_Hmean",
+      f."cv_mean_NSE", f."cv_mean_Hmean", train_size, test_size, first_test_year, true AS is_best_overall
+    FROM (SELECT *, 2 * NSE * logNSE / (NSE + logNSE + 1e-12) AS "TEST_Hmean" FROM all_suite a
+          WHERE alg = 'MoE' OR EXISTS (SELECT 1 FROM single_best b WHERE b.section_id = a.section_id AND b.alg = a.alg)
+          QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY "TEST_Hmean" DESC NULLS LAST, CASE WHEN alg = 'MoE' THEN 1 ELSE 0 END) = 1) w
+    JOIN sizes USING (section_id) LEFT JOIN single_best b ON b.section_id = w.section_id AND b.alg = w.alg
+    LEFT JOIN fold_means f ON f.section_id = b.section_id AND f.alg = b.alg""",
+)
+_BEST_SQL = compose(
+    "SELECT section_id, alg, train_size, test_size, first_test_year, is_best_overall, "
+    + ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in (*_BEST, "TEST_Hmean", "cv_mean_NSE", "cv_mean_Hmean"))
+    + " FROM station_best"
+)
+
+
+def _best_table(spark, folder):
+    preds, _, blended, sizes = _equal_parts(spark, folder)
+    return tidy(reports.station_best(preds, blended, sizes, select_on="test"))
+
+
+@query("rep_station_best", _BEST_SQL)
+def rep_station_best(spark, folder):
+    return _best_table(spark, folder)
+
+
+@query("snk_summary_csv", _BEST_SQL)
+def snk_summary_csv(spark, folder):
+    table = _best_table(spark, folder)
+    path = new_path(spark, "summary")
+    tables.write_summary_csv(table, path)
+    return spark.read.option("header", True).schema(table.schema).csv(path)
+
+
+register(
+    "report_rows",
+    """SELECT 'train_predictions_oof' AS part, section_id, count(*) AS n FROM split WHERE split = 'train' GROUP BY ALL
+    UNION ALL SELECT 'test_predictions', section_id, count(*) FROM split WHERE split = 'test' GROUP BY ALL
+    UNION ALL SELECT 'predictions_all', section_id, count(*) FROM split GROUP BY ALL
+    UNION ALL SELECT 'summary_one_station', section_id, count(*) FROM all_suite GROUP BY ALL
+    UNION ALL SELECT 'model_selection', section_id, count(*) FROM fold_means GROUP BY ALL""",
+)
+
+
+@query("snk_station_report", compose("SELECT part, section_id, n FROM report_rows"))
+def snk_station_report(spark, folder):
+    """Written and read back: rows per part and section. Timings have no section and are left out here."""
+    preds, chosen, blended, sizes = _equal_parts(spark, folder)
+    best = chosen.where(F.col("place") == 1)
+    blended = cut(ensemble.gate_diagnostics(blended))
+    train = reports.train_oof(blended, preds, best)
+    test = reports.test_wide(blended, preds, ALGS, best)
+    parts = {
+        "train_predictions_oof": train,
+        "test_predictions": test,
+        "predictions_all": reports.predictions_all(train, test),
+        "summary_one_station": reports.summary(preds, blended, sizes),
+        "model_selection": reports.model_selection(preds, chosen),
+    }
+    path = new_path(spark, "report")
+    tables.write_report(parts, path)
+    counts = None
+    for name in parts:
+        one = spark.read.parquet(f"{path}/{name}").groupBy("section_id").agg(F.count("*").alias("n"))
+        one = one.select(F.lit(name).alias("part"), "section_id", "n")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
+
+
+@query("rep_cv_time")
+def rep_cv_time(spark, folder):
+    blocks = cut(_tree_blocks(spark, folder))
+    seconds = {}
+    for alg, params in (("DT", {"maxDepth": 3}), ("RF", {"numTrees": 5, "maxDepth": 3})):
+        _, _, seconds[alg] = forest.grid_search(blocks, TREE_INPUTS, alg, [params])
+    return reports.cv_time(spark, seconds)
+
+
+# ---- perturbed inputs
+
+register(
+    "shaken",
+    "SELECT section_id, date, measured_flow AS y, input, factor, "
+    "0.9::double * (CASE WHEN input = 'natural_flow' THEN natural_flow * factor ELSE natural_flow END) "
+    "+ 2.0::double * (CASE WHEN input = 'rainfall' THEN rainfall * factor ELSE rainfall END) AS pred "
+    "FROM split, (VALUES ('natural_flow'), ('rainfall')) i(input), (VALUES (0.9::double), (1.0::double), (1.1::double)) f(factor) "
+    "WHERE split = 'test'",
+)
+register("shaken_suite", suite("shaken", "section_id, input, factor"))
+
+
+@query(
+    "exp_perturbation",
+    compose(
+        """SELECT s.section_id, s.input, s.factor, round(s.NSE, 6) + 0.0 AS "NSE", round(s.RMSE, 6) + 0.0 AS "RMSE",
+        round(s.NSE - b.NSE, 6) + 0.0 AS "dNSE", round(s.RMSE - b.RMSE, 6) + 0.0 AS "dRMSE"
+        FROM shaken_suite s JOIN shaken_suite b ON b.section_id = s.section_id AND b.input = s.input AND b.factor = 1"""
+    ),
+)
+def exp_perturbation(spark, folder):
+    rows = split_flows(spark, folder).where(F.col("split") == "test")
+    rows = rows.select("section_id", "date", "measured_flow", "natural_flow", "rainfall")
+
+    def score(df):
+        return df.withColumn("pred", F.lit(0.9) * F.col("natural_flow") + F.lit(2.0) * F.col("rainfall"))
+
+    return tidy(reports.perturbation(rows, ["natural_flow", "rainfall"], score))
+
+
+@query("run_all_sections")
+def run_all_sections(spark, folder):
+    """From the two source tables to the best choice per section, in one call."""
+    settings = Settings(forests={"DT": [{"maxDepth": 5, "minInstancesPerNode": 5}]}, stability=None)
+    result = run(panel.hydro(spark, folder), panel.water_use(spark, folder), panel.station_rules(spark, folder), settings)
+    return tidy(result.tables["summary"])

@@ -305,7 +305,7 @@ register(
 )
 
 
-def _soft(spark, folder):
+def soft_weights(spark, folder):
     full = ensemble.fill_expert_gaps(cut(_matrix(spark, folder))).where(F.col("split") == "test")
     logits = F.transform("yhat", lambda v: -F.abs(v - F.col("natural_flow")) / F.col("natural_flow"))
     return full.withColumn("w", C.softmax(logits, 1.5))
@@ -313,7 +313,7 @@ def _soft(spark, folder):
 
 @query("gate_softmax", compose(f"SELECT {KEY}, CAST(place - 1 AS integer) AS slot, {rounded(['w'])} FROM soft"))
 def gate_softmax(spark, folder):
-    return tidy(_soft(spark, folder).select("section_id", "date", F.posexplode("w").alias("slot", "w")))
+    return tidy(soft_weights(spark, folder).select("section_id", "date", F.posexplode("w").alias("slot", "w")))
 
 
 register(
@@ -325,17 +325,17 @@ register(
 
 @query("moe_blend", compose(f"SELECT {KEY}, round(\"pred_MoE\", 6) AS \"pred_MoE\" FROM blended"))
 def moe_blend(spark, folder):
-    return tidy(ensemble.blend(_soft(spark, folder)).select("section_id", "date", "pred_MoE"))
+    return tidy(ensemble.blend(soft_weights(spark, folder)).select("section_id", "date", "pred_MoE"))
 
 
 @query("gate_choice", compose(f"SELECT {KEY}, gate_choice FROM blended"))
 def gate_choice(spark, folder):
-    return ensemble.gate_diagnostics(_soft(spark, folder)).select("section_id", "date", "gate_choice")
+    return ensemble.gate_diagnostics(soft_weights(spark, folder)).select("section_id", "date", "gate_choice")
 
 
 @query("gate_entropy", compose(f"SELECT {KEY}, {rounded(['gate_entropy'])} FROM blended"))
 def gate_entropy(spark, folder):
-    return tidy(ensemble.gate_diagnostics(_soft(spark, folder)).select("section_id", "date", "gate_entropy"))
+    return tidy(ensemble.gate_diagnostics(soft_weights(spark, folder)).select("section_id", "date", "gate_entropy"))
 
 
 @query(
@@ -347,7 +347,7 @@ def gate_entropy(spark, folder):
     ),
 )
 def gate_loss(spark, folder):
-    blended = ensemble.blend(_soft(spark, folder)).withColumnRenamed("measured_flow", "y")
+    blended = ensemble.blend(soft_weights(spark, folder)).withColumnRenamed("measured_flow", "y")
     return tidy(skill.gate_loss(blended, ["section_id"]))
 
 
@@ -373,7 +373,7 @@ def topk_winner(spark, folder):
     ).select("section_id", "alg")
     test = preds.where(F.col("split") == "test").join(singles, ["section_id", "alg"])
     one = skill.metric_suite(test, ["section_id", "alg"])
-    moe = ensemble.blend(_soft(spark, folder)).select("section_id", "date", F.col("measured_flow").alias("y"), "pred_MoE")
+    moe = ensemble.blend(soft_weights(spark, folder)).select("section_id", "date", F.col("measured_flow").alias("y"), "pred_MoE")
     two = skill.metric_suite(moe.withColumn("alg", F.lit("MoE")), ["section_id", "alg"], pred="pred_MoE")
     return tidy(ensemble.section_winner(one.unionByName(two)))
 

@@ -24,6 +24,6 @@ def query(name: str, sql: str | None = None):
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     # Importing the modules registers their queries.
-    from weirline.plans import q_features, q_models, q_panel, q_skill  # noqa: F401
+    from weirline.plans import q_features, q_models, q_panel, q_screen, q_skill  # noqa: F401
 
     return QUERIES, ORACLE
