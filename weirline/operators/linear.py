@@ -1,113 +1,114 @@
 """Least squares per section and fold from mergeable sums.
 
-Sums are taken once per (section, block); the train set of fold f is the merge
-of the blocks below f, so no row is copied per fold and only p*(p+3)/2 + 2
-numbers per block cross the network. The small solve runs on Arrow batches of
-section rows.
+Sums are taken once per (section, block) with a map-side partial aggregate; the
+train set of fold f is the merge of the blocks below f, so no row is copied per
+fold and only one p*p array per block crosses the network. The small solve runs
+on Arrow batches with one row per section.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weirline.functions.columns import bind, weighted_sum
 
-def _moments(features: list[str], y: str) -> list:
-    names = [*features, y]
-    sums = [F.count("*").cast("double")] + [F.sum(F.col(c).cast("double")) for c in names]
-    crosses = [
-        F.sum(F.col(a).cast("double") * F.col(b).cast("double"))
-        for i, a in enumerate(names)
-        for b in names[i:]
-    ]
-    return [*sums, *crosses]
 
+def _products(design: str, y: str, size: int, use: Column) -> Column:
+    """All products of (1, inputs, truth) of a row, flat; zeros where the row does not count."""
+    values = F.concat(F.array(F.lit(1.0)), F.col(design), F.array(F.col(y).cast("double")))
+    rows = bind(values, lambda v: F.flatten(F.transform(v, lambda a: F.transform(v, lambda b: a * b))))
+    return F.when(use, rows).otherwise(F.array_repeat(F.lit(0.0), size * size))
 
-def _unpack(m: np.ndarray, p: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Count, means and centred cross-product matrix of p features and the truth."""
-    q = p + 1
-    n, total = m[0], m[1 : 1 + q]
-    cross = np.zeros((q, q))
-    cross[np.triu_indices(q)] = m[1 + q :]
-    cross = cross + np.triu(cross, 1).T
-    mean = total / n
-    return n, mean, cross - np.outer(total, mean)
 
+def plain_design(blocks: DataFrame, features: list[str]) -> DataFrame:
+    """Rows with complete inputs and the inputs as one array column ``design``."""
+    return blocks.dropna(subset=features).withColumn(
+        "design", F.array(*[F.col(c).cast("double") for c in features])
+    )
 
-def _solver(p: int, ridge_free: int):
-    """Array -> [intercept, slopes]. ``ridge`` leaves the first ``ridge_free`` slopes unpenalised."""
 
-    @F.pandas_udf("array<double>")
-    def solve(moments: pd.Series, ridge: pd.Series) -> pd.Series:
-        out = []
-        for m, lam in zip(moments, ridge):
-            if m is None or m[0] < 1:
-                out.append(None)
-                continue
-            _, mean, cross = _unpack(np.asarray(m, dtype=float), p)
-            a, b = cross[:p, :p], cross[:p, p]
-            # Unit diagonal before solving: inputs differ in scale by many orders.
-            scale = np.sqrt(np.maximum(np.diag(a), 0.0))
-            scale[scale <= 1e-9 * max(scale.max(), 1e-300)] = np.inf
-            unit = a / np.outer(scale, scale)
-            penalty = np.zeros(p)
-            penalty[ridge_free:] = lam
-            slopes = np.linalg.pinv(unit + np.diag(penalty), rcond=1e-10, hermitian=True) @ (b / scale) / scale
-            out.append([float(mean[p] - slopes @ mean[:p]), *map(float, slopes)])
-        return pd.Series(out)
-
-    return solve
+def _solve(total: np.ndarray, ridge: float, ridge_free: int) -> list[float]:
+    """[intercept, slopes] from summed products; the minimum-norm solution for redundant inputs."""
+    n, sums = total[0, 0], total[0, 1:]
+    mean = sums / n
+    centred = total[1:, 1:] - np.outer(sums, mean)
+    p = len(mean) - 1
+    a, b = centred[:p, :p], centred[:p, p]
+    # Unit diagonal before solving: inputs differ in scale by many orders. An
+    # input whose spread is lost in rounding is constant and gets no slope.
+    spread = np.diag(a)
+    flat = spread <= 1e-12 * np.diag(total)[1 : p + 1]
+    scale = np.where(flat, np.inf, np.sqrt(np.where(flat, 1.0, spread)))
+    unit = a / np.outer(scale, scale)
+    penalty = np.zeros(p)
+    penalty[ridge_free:] = ridge
+    slopes = np.linalg.pinv(unit + np.diag(penalty), rcond=1e-10, hermitian=True) @ (b / scale) / scale
+    return [float(mean[p] - slopes @ mean[:p]), *map(float, slopes)]
 
 
 def fit_linear(
-    blocks: DataFrame,
-    features: list[str],
+    designed: DataFrame,
+    width: int,
     y: str = "measured_flow",
     ridges: tuple[float, ...] = (0.0,),
     ridge_free: int = 0,
 ) -> DataFrame:
     """(section_id, block, ridge, beta): coefficients from the train blocks below ``block``.
 
-    Redundant inputs are allowed: the minimum-norm solution is taken.
+    ``width`` is the number of inputs in ``design``; a ridge spares the first ``ridge_free``.
     """
-    ready = blocks.dropna(subset=[*features, y]).where(F.col("split") == "train")
-    sums = ready.groupBy("section_id", "block").agg(F.array(*_moments(features, y)).alias("m"))
-    # One row per block wanted, also where a block has no usable train rows.
-    wanted = blocks.select("section_id", "block").distinct()
-    size = 1 + (len(features) + 1) + (len(features) + 1) * (len(features) + 2) // 2
-    before = Window.partitionBy("section_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    summed = F.array(*[F.sum(F.col("m")[i]).over(before) for i in range(size)])
-    merged = wanted.join(sums, ["section_id", "block"], "left").select("section_id", "block", summed.alias("m"))
-    grid = F.explode(F.array(*[F.lit(float(r)) for r in ridges]))
-    return (
-        merged.where((F.col("block") >= 0) & F.col("m")[0].isNotNull())
-        .withColumn("ridge", grid)
-        .select("section_id", "block", "ridge", _solver(len(features), ridge_free)("m", "ridge").alias("beta"))
+    size = width + 2
+    use = (F.col("split") == "train") & F.col(y).isNotNull()
+    summed = (
+        designed.select("section_id", "block", array_to_vector(_products("design", y, size, use)).alias("v"))
+        .groupBy("section_id", "block")
+        .agg(Summarizer.sum(F.col("v")).alias("v"))
+        .select("section_id", "block", vector_to_array("v").alias("m"))
     )
 
+    @F.pandas_udf("array<array<double>>")
+    def solve(parts: pd.Series) -> pd.Series:
+        out = []
+        for own in parts:
+            total, found = np.zeros((size, size)), []
+            for part in own:
+                if part["block"] >= 0 and total[0, 0] > 0:
+                    found += [[part["block"], r, *_solve(total, r, ridge_free)] for r in ridges]
+                total = total + np.asarray(part["m"]).reshape(size, size)
+            out.append(found)
+        return pd.Series(out)
 
-def predict_linear(
-    blocks: DataFrame, betas: DataFrame, features: list[str], alg: str, y: str = "measured_flow"
-) -> DataFrame:
-    total = F.col("beta")[0]
-    for i, c in enumerate(features, start=1):
-        total = total + F.col("beta")[i] * F.col(c).cast("double")
+    # One short list per section: a handful of blocks.
+    packed = summed.groupBy("section_id").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("parts"))
+    return packed.select("section_id", F.explode(solve("parts")).alias("s")).select(
+        "section_id",
+        F.col("s")[0].cast("int").alias("block"),
+        F.col("s")[1].alias("ridge"),
+        F.slice("s", 3, size - 1).alias("beta"),
+    )
+
+
+def predict_linear(designed: DataFrame, betas: DataFrame, alg: str, y: str = "measured_flow") -> DataFrame:
+    slopes = F.slice("beta", 2, F.size("beta") - 1)
     return (
-        blocks.where(F.col("block") >= 0)
-        .dropna(subset=features)
+        designed.where(F.col("block") >= 0)
         .join(betas, ["section_id", "block"])
         .select(
             "section_id", "date", "split", F.lit(alg).alias("alg"), "block", F.col(y).alias("y"),
-            "ridge", total.alias("pred"),
+            "ridge", (F.col("beta")[0] + weighted_sum(slopes, "design")).alias("pred"),
         )
     )
 
 
 def mlr_predictions(blocks: DataFrame, features: list[str], alg: str = "MLR", y: str = "measured_flow") -> DataFrame:
-    return predict_linear(blocks, fit_linear(blocks, features, y), features, alg, y).drop("ridge")
+    designed = plain_design(blocks, features)
+    return predict_linear(designed, fit_linear(designed, len(features), y), alg, y).drop("ridge")
 
 
 def line_predictions(blocks: DataFrame, feature: str, alg: str = "MLR", y: str = "measured_flow") -> DataFrame:
@@ -174,13 +175,13 @@ def gam_predictions(
 ) -> DataFrame:
     """Additive spline regression per section, penalised on the hinge terms only."""
     placed = hinge_knots(blocks.where(F.col("split") == "train"), features, knots)
-    wide = blocks.dropna(subset=features).join(placed, "section_id")
-    hinges = {
-        f"{c}_h{i}": F.greatest(F.col(c).cast("double") - F.get(F.col(f"{c}_knots"), F.lit(i)), F.lit(0.0))
-        for c in features
-        for i in range(knots)
-    }
-    basis = [*features, *hinges]
-    terms = wide.withColumns(hinges).drop(*[f"{c}_knots" for c in features])
-    betas = fit_linear(terms, basis, y, ridges, ridge_free=len(features))
-    return predict_linear(terms, betas, basis, "GAM", y)
+    # One array column instead of a column per hinge keeps the plan small.
+
+    def above(c: str) -> Column:
+        return F.transform(f"{c}_knots", lambda k: F.greatest(F.col(c).cast("double") - k, F.lit(0.0)))
+
+    hinges = [above(c) for c in features]
+    wide = plain_design(blocks, features).join(placed, "section_id")
+    designed = wide.withColumn("design", F.concat("design", *hinges)).select(*blocks.columns, "design")
+    betas = fit_linear(designed, len(features) * (knots + 1), y, ridges, ridge_free=len(features))
+    return predict_linear(designed, betas, "GAM", y)
