@@ -11,7 +11,6 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
@@ -22,7 +21,7 @@ from pyspark.sql.window import Window
 from weirline.functions import columns as C
 from weirline.operators.ensemble import best_by
 from weirline.operators.skill import scores
-from weirline.sources.scratch import cut
+from weirline.sources.scratch import cut, stack
 
 UNSCALED = ("season_sin", "season_cos", "I_t", "ag_share", "ind_share", "dom_share", "D_phase")
 
@@ -102,7 +101,7 @@ def _forward(blocks: DataFrame, features: list[str], fit: Fit, alg: str, k: int,
         )
 
     with ThreadPoolExecutor(threads) as pool:
-        return reduce(DataFrame.unionByName, pool.map(one, range(k + 1)))
+        return stack(pool.map(one, range(k + 1)))
 
 
 def forest_predictions(
@@ -129,7 +128,7 @@ def forest_predictions(
     parts = [
         _forward(blocks.where(F.col("section_id") == s), features, fit, alg, k, y, threads) for s in sections
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return stack(parts)
 
 
 def grid_search(
@@ -146,7 +145,7 @@ def grid_search(
         forest_predictions(blocks, features, alg, params, k, **kw).withColumn("point", F.lit(i))
         for i, params in enumerate(grid)
     ]
-    preds = cut(reduce(DataFrame.unionByName, tried))
+    preds = cut(stack(tried))
     per_fold = scores(preds.where(F.col("split") == "train"), ["section_id", "point", "block"], C.HMEAN_GRID)
     means = per_fold.groupBy("section_id", "point").agg(F.avg("hmean").alias("score"))
     best = cut(best_by(means, ["section_id"], "score", ["point"]))
@@ -254,4 +253,4 @@ def stability_importances(
 
     jobs = [(s, m, f) for s in seeds for m in models for f in range(k)]
     with ThreadPoolExecutor(threads) as pool:
-        return reduce(DataFrame.unionByName, pool.map(run, jobs))
+        return stack(pool.map(run, jobs))

@@ -113,25 +113,21 @@ def mlr_predictions(blocks: DataFrame, features: list[str], alg: str = "MLR", y:
 
 def line_predictions(blocks: DataFrame, feature: str, alg: str = "MLR", y: str = "measured_flow") -> DataFrame:
     """One input: the same fit by built-in aggregates, without leaving the JVM."""
-    x = F.col(feature).cast("double")
     ready = blocks.dropna(subset=[feature])
-    sums = (
-        ready.where((F.col("split") == "train") & F.col(y).isNotNull())
-        .groupBy("section_id", "block")
-        .agg(
-            F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
-            (F.covar_pop(x, F.col(y)) * F.count("*")).alias("sxy"),
-            (F.var_pop(x) * F.count("*")).alias("sxx"),
-        )
+    x = F.col(feature).cast("double")
+    use = (F.col("split") == "train") & F.col(y).isNotNull()
+    tx, ty = F.when(use, x), F.when(use, F.col(y))
+    sums = ready.groupBy("section_id", "block").agg(
+        F.count(ty).alias("n"), F.avg(tx).alias("mx"), F.avg(ty).alias("my"),
+        (F.covar_pop(tx, ty) * F.count(ty)).alias("sxy"), (F.var_pop(tx) * F.count(ty)).alias("sxx"),
     )
-    wanted = ready.select("section_id", "block").distinct()
     before = Window.partitionBy("section_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     n = F.sum("n").over(before)
-    mx = F.sum(F.col("n") * F.col("mx")).over(before) / n
-    my = F.sum(F.col("n") * F.col("my")).over(before) / n
+    mx = F.try_divide(F.sum(F.col("n") * F.col("mx")).over(before), n)
+    my = F.try_divide(F.sum(F.col("n") * F.col("my")).over(before), n)
     # Merge of centred sums: within-block parts plus the spread of block means.
     parts = F.collect_list(F.struct("n", "mx", "my", "sxy", "sxx")).over(before)
-    merged = wanted.join(sums, ["section_id", "block"], "left").withColumns({"_n": n, "_mx": mx, "_my": my, "_parts": parts})
+    merged = sums.withColumns({"_n": n, "_mx": mx, "_my": my, "_parts": parts})
 
     def spread(a, b, own):
         return F.aggregate(

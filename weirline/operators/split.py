@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -48,10 +50,20 @@ def section_sizes(split: DataFrame) -> DataFrame:
     )
 
 
-def _fold_step(k: int):
-    """Rows per fold. Too short a section cannot be split and is an error."""
-    too_short = F.raise_error(F.concat(F.lit(f"{k} folds need more than {k} rows, got "), F.col("n")))
-    return F.when(F.col("n") > k, F.floor(F.col("n") / F.lit(k + 1))).otherwise(too_short.cast("long"))
+def _block(k: int) -> Column:
+    """The fold that validates train row ``pos`` of ``n``, -1 before all folds.
+
+    A section too short to be split is an error.
+    """
+    n, pos = F.col("n"), F.col("pos")
+    step = F.floor(n / F.lit(k + 1))
+    start = n - F.lit(k) * step
+    short = F.raise_error(F.concat(F.lit(f"{k} folds need more than {k} rows, got "), n)).cast("int")
+    return (
+        F.when(n <= k, short)
+        .when(pos <= start, F.lit(-1))
+        .otherwise(F.floor((pos - 1 - start) / step).cast("int"))
+    )
 
 
 def fold_blocks(train: DataFrame, k: int, series: Series = DEFAULT) -> DataFrame:
@@ -60,24 +72,14 @@ def fold_blocks(train: DataFrame, k: int, series: Series = DEFAULT) -> DataFrame
     Fold f trains on every block below f, so this one column describes all
     folds without copying rows.
     """
-    step = _fold_step(k)
-    start = F.col("n") - F.lit(k) * F.col("_step")
-    block = F.when(F.col("pos") <= start, F.lit(-1)).otherwise(
-        F.floor((F.col("pos") - 1 - start) / F.col("_step"))
-    )
-    return (
-        number(train, series)
-        .withColumn("_step", step)
-        .withColumn("block", block.cast("int"))
-        .drop("_step", "pos", "n")
-    )
+    return number(train, series).withColumn("block", _block(k)).drop("pos", "n")
 
 
 def forward_blocks(split: DataFrame, k: int, series: Series = DEFAULT) -> DataFrame:
     """``fold_blocks`` on the train rows; test rows get block k (trained on everything)."""
-    train = fold_blocks(split.where(F.col("split") == "train"), k, series)
-    test = split.where(F.col("split") == "test").withColumn("block", F.lit(k))
-    return train.unionByName(test)
+    sides = replace(series, keys=(*series.keys, "split"))
+    block = F.when(F.col("split") == "test", F.lit(k)).otherwise(_block(k))
+    return number(split, sides).withColumn("block", block).drop("pos", "n")
 
 
 def cv_folds(train: DataFrame, k: int = 3, series: Series = DEFAULT) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from weirline.operators import curve, ensemble, features, linear, neighbours, sp
 from weirline.plans.oracle import KNN_INPUTS, KNN_LAG_INPUTS
 from weirline.schema import RENAMED, USES
 from weirline.sources import panel
-from weirline.sources.scratch import cut
+from weirline.sources.scratch import cut, stack
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -53,11 +51,15 @@ def blocks(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
 def two_views(spark: SparkSession, folder: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Base rows and lag rows with their blocks.
 
-    The raw records are read and reduced once; both views start from the written
-    panel instead of repeating the scan for every expert.
+    The raw records are read and reduced once; every expert starts from the
+    written views instead of repeating the scan and the windows.
     """
-    flows = cut(split_flows(spark, folder))
-    return split.forward_blocks(flows, k), split.forward_blocks(features.lag_view(flows), k)
+    return write_views(split_flows(spark, folder), k)
+
+
+def write_views(rows: DataFrame, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    base = cut(split.forward_blocks(rows, k))
+    return base, cut(split.forward_blocks(features.lag_view(base), k))
 
 
 def expert_predictions(base: DataFrame, lag: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def expert_predictions(base: DataFrame, lag: DataFrame) -> DataFrame:
         linear.line_predictions(lag, "measured_flow_lag1", "MLR_LAG"),
         linear.line_predictions(base, "rainfall", "MLR_RAIN"),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    return stack(parts)
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:

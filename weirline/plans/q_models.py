@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirline.operators import curve, ensemble, features, forest, gate, linear, reports, split
-from weirline.plans.common import ALGS, expert_predictions, split_flows, split_panel, tidy, two_views
+from weirline.plans.common import ALGS, expert_predictions, split_flows, split_panel, tidy, two_views, write_views
 from weirline.plans.oracle import compose, register, rounded, suite
 from weirline.plans.q_skill import soft_weights
 from weirline.plans.queries import query
 from weirline.plans.workflow import Settings, blend_experts, run
 from weirline.schema import GATE_INPUTS, METRICS
 from weirline.sources import panel, tables
-from weirline.sources.scratch import cut, new_path
+from weirline.sources.scratch import cut, new_path, stack
 
 KEY = "section_id, date"
 BASE = ["natural_flow", "rainfall", "evaporation"]
@@ -163,10 +163,9 @@ def _gated(spark, folder):
 
 def _trained(spark, folder):
     """Gate rows, expert predictions and everything the gate gives, for the closed-form experts."""
-    rows = cut(_gated(spark, folder))
-    lag = split.forward_blocks(features.lag_view(rows), 3)
-    preds = cut(expert_predictions(split.forward_blocks(rows, 3), lag))
-    return (preds, *blend_experts(rows, preds, Settings()))
+    base, lag = write_views(_gated(spark, folder))
+    preds = cut(expert_predictions(base, lag))
+    return (preds, *blend_experts(base, preds, Settings()))
 
 
 @query("gate_train")
@@ -202,13 +201,12 @@ register(
 
 def _equal_parts(spark, folder):
     """Predictions, equal-weight blend and sizes: reports SQL can follow."""
-    flows = cut(split_flows(spark, folder))
-    base = split.forward_blocks(flows, 3)
-    preds = cut(expert_predictions(base, split.forward_blocks(features.lag_view(flows), 3)))
+    base, lag = two_views(spark, folder)
+    preds = cut(expert_predictions(base, lag))
     chosen = cut(ensemble.top_experts(ensemble.out_of_fold(preds)))
     full = ensemble.fill_expert_gaps(cut(ensemble.expert_matrix(preds, chosen, base)))
     blended = ensemble.blend(full.withColumn("w", ensemble.equal_weights()))
-    sizes = flows.select("section_id", "train_size", "test_size", "first_test_year").distinct()
+    sizes = base.select("section_id", "train_size", "test_size", "first_test_year").distinct()
     return preds, chosen, blended, sizes
 
 
@@ -311,12 +309,12 @@ def snk_station_report(spark, folder):
     }
     path = new_path(spark, "report")
     tables.write_report(parts, path)
-    counts = None
+    counts = []
     for name in parts:
         one = spark.read.parquet(f"{path}/{name}").groupBy("section_id").agg(F.count("*").alias("n"))
         one = one.select(F.lit(name).alias("part"), "section_id", "n")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+        counts.append(one)
+    return stack(counts)
 
 
 @query("rep_cv_time")

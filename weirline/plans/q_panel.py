@@ -11,7 +11,7 @@ from weirline.plans.queries import query
 from weirline.schema import HYDRO_CSV, OBSERVATIONS, RENAMED, USE_CSV, USES
 from weirline.series import Series
 from weirline.sources import panel, tables
-from weirline.sources.scratch import new_path
+from weirline.sources.scratch import new_path, stack
 
 OBS = ", ".join(OBSERVATIONS)
 USE4 = ", ".join(USES)
@@ -229,13 +229,13 @@ def win_ewma_memory_chunked(spark, folder):
 @query(
     "win_rolling_mean6",
     compose(
-        f"""SELECT {KEY}, {rounded(['M_nat6'], 3)} FROM (SELECT {KEY}, avg(runoff_natural) OVER (PARTITION BY section_id
+        f"""SELECT {KEY}, {rounded(['M_nat6'])} FROM (SELECT {KEY}, avg(runoff_natural) OVER (PARTITION BY section_id
             ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS M_nat6 FROM hydro)"""
     ),
 )
 def win_rolling_mean6(spark, folder):
     flows = panel.hydro(spark, folder).select("section_id", "date", "runoff_natural")
-    return tidy(features.rolling_memory(flows).drop("runoff_natural"), 3)
+    return tidy(features.rolling_memory(flows).drop("runoff_natural"))
 
 
 _SEQ_SQL = compose(
@@ -316,7 +316,7 @@ def sort_custom_order(spark, folder):
 @query("set_union_train_test", compose(f"SELECT {KEY}, split, measured_flow FROM split"))
 def set_union_train_test(spark, folder):
     rows = split_flows(spark, folder).select("section_id", "date", "split", "measured_flow")
-    return rows.where(F.col("split") == "train").unionByName(rows.where(F.col("split") == "test"))
+    return stack([rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")])
 
 
 @query(
@@ -328,4 +328,4 @@ def set_union_train_test(spark, folder):
 def set_union_stations(spark, folder):
     rows = split_flows(spark, folder).select("section_id", "date", "split", "measured_flow", "natural_flow", "rainfall")
     train = rows.where(F.col("split") == "train").drop("rainfall")
-    return train.unionByName(rows.where(F.col("split") == "test"), allowMissingColumns=True)
+    return stack([train, rows.where(F.col("split") == "test")], allow_missing=True)

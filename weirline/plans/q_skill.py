@@ -10,7 +10,7 @@ from weirline.plans.common import ALGS, blocks, expert_predictions, predictions,
 from weirline.plans.oracle import KNN_INPUTS, KNN_LAG_INPUTS, compose, register, rounded, suite
 from weirline.plans.queries import query
 from weirline.schema import METRICS
-from weirline.sources.scratch import cut
+from weirline.sources.scratch import cut, stack
 
 KEY = "section_id, date"
 
@@ -117,14 +117,12 @@ def _expert_query(name, algs, views):
 
 
 def _two_lines(base, _):
-    return linear.line_predictions(base, "natural_flow").unionByName(
-        linear.line_predictions(base, "rainfall", "MLR_RAIN")
-    )
+    return stack([linear.line_predictions(base, "natural_flow"), linear.line_predictions(base, "rainfall", "MLR_RAIN")])
 
 
 def _lag_twins(_, lag):
     near = neighbours.knn_predictions(lag, list(KNN_LAG_INPUTS), (5,), "KNN_LAG").drop("k")
-    return near.unionByName(linear.line_predictions(lag, "measured_flow_lag1", "MLR_LAG"))
+    return stack([near, linear.line_predictions(lag, "measured_flow_lag1", "MLR_LAG")])
 
 
 _expert_query("exp_phys", ["PHYS"], lambda base, _: ensemble.phys_predictions(base))
@@ -268,11 +266,11 @@ def _matrix(spark, folder):
     return ensemble.expert_matrix(preds, chosen, base)
 
 
-@query("agg_col_mean_impute", compose(f"SELECT {KEY}, alg, CAST(place - 1 AS integer) AS slot, {rounded(['v'])} FROM filled"))
+@query("agg_col_mean_impute", compose(f"SELECT {KEY}, alg, CAST(place - 1 AS integer) AS slot, {rounded(['v'], 3)} FROM filled"))
 def agg_col_mean_impute(spark, folder):
     full = ensemble.fill_expert_gaps(cut(_matrix(spark, folder)))
     cells = full.select("section_id", "date", F.posexplode(F.arrays_zip("experts", "yhat")).alias("slot", "c"))
-    return tidy(cells.select("section_id", "date", F.col("c.experts").alias("alg"), "slot", F.col("c.yhat").alias("v")))
+    return tidy(cells.select("section_id", "date", F.col("c.experts").alias("alg"), "slot", F.col("c.yhat").alias("v")), 3)
 
 
 @query(
@@ -375,7 +373,7 @@ def topk_winner(spark, folder):
     one = skill.metric_suite(test, ["section_id", "alg"])
     moe = ensemble.blend(soft_weights(spark, folder)).select("section_id", "date", F.col("measured_flow").alias("y"), "pred_MoE")
     two = skill.metric_suite(moe.withColumn("alg", F.lit("MoE")), ["section_id", "alg"], pred="pred_MoE")
-    return tidy(ensemble.section_winner(one.unionByName(two)))
+    return tidy(ensemble.section_winner(stack([one, two])))
 
 
 # ---- forward selection

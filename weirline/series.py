@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from weirline.sources.scratch import stack
+
 ROWS_PER_TASK = 100_000
 
 
@@ -107,7 +109,7 @@ def lookback(
         .withColumn("_chunk", F.col("_to._chunk"))
         .select(*chunked.columns, F.lit(True).alias("_copy"))
     )
-    both = chunked.withColumn("_copy", F.lit(False)).unionByName(tails)
+    both = stack([chunked.withColumn("_copy", F.lit(False)), tails])
     done = add(both, series.window("_chunk"))
     return done.where(~F.col("_copy")).drop("_copy", "_chunk")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,15 @@ def cut(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stack(parts: Iterable[DataFrame], allow_missing: bool = False) -> DataFrame:
+    """Union by name.
+
+    Spark 4.1.2 may take a union to be partitioned like its inputs and then
+    skip an exchange that a later window or aggregate needs, which loses rows
+    without an error. The setting below switches that off for the session.
+    """
+    parts = list(parts)
+    parts[0].sparkSession.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=allow_missing), parts)
