@@ -160,6 +160,6 @@ def densify_months(df: DataFrame) -> DataFrame:
     span = df.groupBy("section_id").agg(F.min("date").alias("a"), F.max("date").alias("b"))
     months = span.select(
         "section_id",
-        F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).cast("date").alias("date"),
+        F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("date"),
     )
     return months.join(df, ["section_id", "date"], "left").select(*df.columns)

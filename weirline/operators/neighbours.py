@@ -1,65 +1,100 @@
 """Nearest-neighbour prediction within a section, for all folds and k at once.
 
-The train rows of a section travel in blocks of bounded size. A block keeps, for
-each query row, only its own nearest rows; the few survivors of each block are
-then merged. Pairs of rows are compared inside an expression and never become
-rows of a table, and no block outgrows a task however long the section is.
+Rows of a section travel packed, in parts of bounded size: once as train rows,
+once as query rows. A task compares one query part with one train part and
+keeps only the nearest few per query row; the survivors of the parts are merged
+afterwards. Pairs of rows exist only as a small numeric tile inside a task,
+never as rows of a table, and no part outgrows a task however long a section is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_DAYS = 36_525  # a century of daily rows at most per block
+from weirline.sources.scratch import spread
+
+PART_DAYS = 10_000  # with daily rows at most this many rows per part
+TILE = 256
+
+_FOUND = (
+    "section_id string, day int, split string, block int, y double, "
+    "d array<double>, near_day array<int>, near_y array<double>"
+)
 
 
-def _point(features: list[str]) -> Column:
-    return F.array(*[F.col(c).cast("double") for c in features])
+def _packed(rows: DataFrame, features: list[str], y: str, prefix: str, part_days: int) -> DataFrame:
+    part = F.floor(F.datediff("date", F.lit("1900-01-01").cast("date")) / F.lit(part_days))
+    row = F.struct(
+        F.unix_date("date").alias("day"), F.col("block").alias("b"), F.col("split").alias("s"),
+        F.col(y).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
+    )
+    packed = rows.groupBy("section_id", part.alias(f"{prefix}_part")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    r = F.col("r")
+    fields = {"day": r["day"], "b": r["b"], "s": r["s"], "y": r["y"], "x": F.flatten(r["x"])}
+    return packed.select("section_id", *[c.alias(f"{prefix}_{n}") for n, c in fields.items()])
+
 
+def _tile_nearest(q: np.ndarray, t: np.ndarray, earlier: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances and positions of the k nearest allowed train rows per query row."""
+    total = np.zeros((len(q), len(t)))
+    for j in range(q.shape[1]):
+        gap = q[:, j, None] - t[None, :, j]
+        total += gap * gap
+    total[~earlier] = np.inf
+    # Train rows are in date order and the sort is stable: the earlier of equals comes first.
+    order = np.argsort(total, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(total, order, axis=1), order
 
-def _squared_distance(features: list[str], t: Column) -> Column:
-    """Distance in feature order, so that equal inputs give equal sums everywhere."""
-    total = None
-    for i, c in enumerate(features):
-        gap = F.col(c).cast("double") - t["x"][i]
-        total = gap * gap if total is None else total + gap * gap
-    return total
+
+def _search(width: int, k: int):
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                q, t = (np.asarray(v, dtype=float).reshape(-1, width) for v in (r.q_x, r.t_x))
+                q_block, t_block = np.asarray(r.q_b), np.asarray(r.t_b)
+                t_day, t_y = np.asarray(r.t_day), np.asarray(r.t_y, dtype=float)
+                for at in range(0, len(q), TILE):
+                    tile = slice(at, at + TILE)
+                    d, order = _tile_nearest(q[tile], t, t_block[None, :] < q_block[tile, None], k)
+                    for i, (di, oi) in enumerate(zip(d, order), start=at):
+                        real = np.isfinite(di)
+                        out.append(
+                            (r.section_id, r.q_day[i], r.q_s[i], q_block[i], r.q_y[i], di[real], t_day[oi[real]], t_y[oi[real]])
+                        )
+            yield pd.DataFrame(out, columns=["section_id", "day", "split", "block", "y", "d", "near_day", "near_y"])
+
+    return search
 
 
 def nearest(
-    blocks: DataFrame, features: list[str], k: int, y: str = "measured_flow", block_days: int = BLOCK_DAYS
+    blocks: DataFrame, features: list[str], k: int, y: str = "measured_flow", part_days: int = PART_DAYS
 ) -> DataFrame:
-    """Rows with block >= 0 plus ``near``: their k nearest earlier-block train rows.
+    """(section_id, date, split, block, y, near) of all rows with block >= 0.
 
-    ``near`` is an array of (d, date, y) by ascending distance, earlier date first.
-    Rows with a missing input are left out on both sides.
+    ``near`` holds (d, date, y) of the k nearest train rows of earlier blocks, by
+    ascending distance, earlier date first. Rows with a missing input are left
+    out on both sides.
     """
     ready = blocks.dropna(subset=features)
-    part = F.floor(F.datediff("date", F.lit("1900-01-01").cast("date")) / F.lit(block_days))
-    train = (
-        ready.where((F.col("split") == "train") & F.col(y).isNotNull())
-        .groupBy("section_id", part.alias("_part"))
-        .agg(
-            F.collect_list(
-                F.struct(F.col("block").alias("b"), F.col("date").alias("date"), F.col(y).alias("y"), _point(features).alias("x"))
-            ).alias("_train")
-        )
+    train = _packed(ready.where((F.col("split") == "train") & F.col(y).isNotNull()), features, y, "t", part_days)
+    queries = _packed(ready.where(F.col("block") >= 0), features, y, "q", part_days)
+    found = spread(queries, "section_id").join(train, "section_id").mapInPandas(_search(len(features), k), _FOUND)
+    cells = F.zip_with(
+        F.arrays_zip("d", "near_day"),
+        "near_y",
+        lambda a, v: F.struct(a["d"].alias("d"), F.date_from_unix_date(a["near_day"]).alias("date"), v.alias("y")),
     )
-    candidates = F.transform(
-        F.filter("_train", lambda t: t["b"] < F.col("block")),
-        lambda t: F.struct(_squared_distance(features, t).alias("d"), t["date"].alias("date"), t["y"].alias("y")),
-    )
-    local = F.slice(F.array_sort(candidates), 1, k)
-    rest = [c for c in ready.columns if c not in ("section_id", "date")]
-    queries = ready.where(F.col("block") >= 0)
-    return (
-        queries.join(train, "section_id")
-        .select("section_id", "date", F.struct(*rest).alias("_row"), local.alias("_local"))
-        .groupBy("section_id", "date")
-        .agg(F.first("_row").alias("_row"), F.flatten(F.collect_list("_local")).alias("_all"))
-        .select("section_id", "date", "_row.*", F.slice(F.array_sort("_all"), 1, k).alias("near"))
+    merged = found.groupBy("section_id", F.date_from_unix_date("day").alias("date")).agg(
+        F.first("split").alias("split"), F.first("block").alias("block"), F.first("y").alias("y"),
+        F.flatten(F.collect_list(cells)).alias("all"),
     )
+    return merged.select("section_id", "date", "split", "block", "y", F.slice(F.array_sort("all"), 1, k).alias("near"))
 
 
 def neighbour_mean(near: str, k: int) -> Column:
@@ -74,8 +109,5 @@ def knn_predictions(
 ) -> DataFrame:
     """Out-of-fold and test predictions for every k, from one neighbour search."""
     found = nearest(blocks, features, max(ks), y)
-    per_k = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), neighbour_mean("near", k).alias("pred")) for k in ks]))
-    return found.withColumn("_p", per_k).select(
-        "section_id", "date", "split", F.lit(alg).alias("alg"), F.col("block"), F.col(y).alias("y"),
-        F.col("_p.k").alias("k"), F.col("_p.pred").alias("pred"),
-    )
+    per_k = F.array(*[F.struct(F.lit(k).alias("k"), neighbour_mean("near", k).alias("pred")) for k in ks])
+    return found.select("section_id", "date", "split", F.lit(alg).alias("alg"), "block", "y", F.inline(per_k))
