@@ -25,7 +25,7 @@ from weirline.sources.scratch import cut, stack
 
 UNSCALED = ("season_sin", "season_cos", "I_t", "ag_share", "ind_share", "dom_share", "D_phase")
 
-# The small default grids. Depth 30 is the deepest Spark grows.
+# The parameter grids. Depth 30 is the deepest Spark grows.
 GRIDS: dict[str, list[dict]] = {
     "DT": [{"maxDepth": d, "minInstancesPerNode": m} for d in (5, 10) for m in (1, 5)],
     "RF": [{"numTrees": t, "maxDepth": d} for t in (100, 300) for d in (10, 30)],
@@ -37,6 +37,14 @@ GRIDS: dict[str, list[dict]] = {
     ],
     "AdaB": [{"rounds": n, "rate": r} for n in (100, 300) for r in (0.05, 0.2)],
 }
+# One or two settings per expert: what a run tries unless told otherwise.
+DEFAULTS: dict[str, list[dict]] = {
+    "DT": [{"maxDepth": 5, "minInstancesPerNode": 1}, {"maxDepth": 10, "minInstancesPerNode": 5}],
+    "RF": [{"numTrees": 100, "maxDepth": 10}],
+    "GB": [{"maxIter": 100, "maxDepth": 2}, {"maxIter": 100, "maxDepth": 3}],
+    "LGBM": [GRIDS["LGBM"][0]],
+    "AdaB": [{"rounds": 50, "rate": 0.1}],
+}
 _MAKERS = {"DT": DecisionTreeRegressor, "RF": RandomForestRegressor, "GB": GBTRegressor, "LGBM": GBTRegressor}
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from weirline.operators import curve, ensemble, features, forest, gate, linear, reports, split
 from weirline.plans.common import ALGS, expert_predictions, split_flows, split_panel, tidy, two_views, write_views
-from weirline.plans.oracle import compose, register, rounded, suite
-from weirline.plans.q_skill import soft_weights
+from weirline.plans.oracle import KNN_INPUTS, compose, register, rounded, suite
+from weirline.plans.q_skill import matrix_parts, soft_weights, weigh_softly
 from weirline.plans.queries import query
 from weirline.plans.workflow import Settings, blend_experts, run
 from weirline.schema import GATE_INPUTS, METRICS
@@ -15,7 +15,7 @@ from weirline.sources import panel, tables
 from weirline.sources.scratch import cut, new_path, stack
 
 KEY = "section_id, date"
-BASE = ["natural_flow", "rainfall", "evaporation"]
+BASE = list(KNN_INPUTS)
 TREE_INPUTS = ["natural_flow", "rainfall", "evaporation", "season_sin", "season_cos"]
 
 
@@ -23,10 +23,34 @@ def _tree_blocks(spark, folder, k=3):
     return split.forward_blocks(features.season(split_flows(spark, folder)), k)
 
 
-@query("exp_mlr")
+register(
+    "two_sums",
+    """SELECT q.section_id, q.date, q.split, q.block, any_value(q.measured_flow) AS y, any_value(q.natural_flow) AS x1,
+      any_value(q.rainfall) AS x2, avg(t.measured_flow) AS my, avg(t.natural_flow) AS m1, avg(t.rainfall) AS m2,
+      var_pop(t.natural_flow) AS s11, var_pop(t.rainfall) AS s22, covar_pop(t.natural_flow, t.rainfall) AS s12,
+      covar_pop(t.natural_flow, t.measured_flow) AS s1y, covar_pop(t.rainfall, t.measured_flow) AS s2y
+    FROM based q JOIN based t ON q.section_id = t.section_id AND t.split = 'train' AND t.block < q.block
+    WHERE q.block >= 0 GROUP BY 1, 2, 3, 4""",
+)
+
+
+@query(
+    "exp_mlr",
+    compose(
+        f"""SELECT {KEY}, split, 'MLR' AS alg, block, round(y, 6) + 0.0 AS y,
+        round(my + (s1y * s22 - s2y * s12) / (s11 * s22 - s12 ** 2) * (x1 - m1)
+                 + (s2y * s11 - s1y * s12) / (s11 * s22 - s12 ** 2) * (x2 - m2), 4) + 0.0 AS pred FROM two_sums"""
+    ),
+)
 def exp_mlr(spark, folder):
     base, _ = two_views(spark, folder)
-    return tidy(linear.mlr_predictions(base, BASE))
+    return tidy(linear.mlr_predictions(base, ["natural_flow", "rainfall"]).withColumn("pred", F.round("pred", 4)))
+
+
+@query("exp_mlr_many_inputs")
+def exp_mlr_many_inputs(spark, folder):
+    _, lag = two_views(spark, folder)
+    return tidy(linear.mlr_predictions(lag, list(features.LAG_INPUTS), "MLR_LAG"))
 
 
 @query("exp_gam")
@@ -177,8 +201,33 @@ def gate_train(spark, folder):
 # ---- reports
 
 
-@query("rep_test_wide")
+_soft_cells = ", ".join(
+    f"round(max(w) FILTER (WHERE alg = '{a}'), 6) + 0.0 AS \"gate_w_{a}\"" for a in ALGS
+)
+_test_cells = ", ".join(f"round(max(pred) FILTER (WHERE alg = '{a}'), 6) + 0.0 AS \"pred_{a}\"" for a in ALGS)
+register("soft_wide", f"SELECT {KEY}, {_soft_cells} FROM soft GROUP BY 1, 2")
+register("test_cells", f"SELECT {KEY}, {_test_cells} FROM tests GROUP BY 1, 2")
+
+
+@query(
+    "rep_test_wide",
+    compose(
+        f"""SELECT {KEY}, 'test' AS "set", round(s.measured_flow, 6) + 0.0 AS measured_flow,
+          round(s.natural_flow, 6) + 0.0 AS natural_flow, w.* EXCLUDE (section_id, date), c.* EXCLUDE (section_id, date),
+          gate_choice, round(gate_entropy, 6) + 0.0 AS gate_entropy, round(b."pred_MoE", 6) + 0.0 AS "pred_MoE", round(p.pred, 6) + 0.0 AS pred
+        FROM blended b JOIN split s USING (section_id, date) JOIN soft_wide w USING (section_id, date)
+        JOIN test_cells c USING (section_id, date)
+        LEFT JOIN (SELECT t.* FROM tests t JOIN top5 e ON e.section_id = t.section_id AND e.alg = t.alg AND e.place = 1) p USING (section_id, date)"""
+    ),
+)
 def rep_test_wide(spark, folder):
+    preds, chosen, matrix = matrix_parts(spark, folder)
+    blended = ensemble.gate_diagnostics(ensemble.blend(weigh_softly(matrix)))
+    return tidy(reports.test_wide(blended, preds, ALGS, chosen.where(F.col("place") == 1)))
+
+
+@query("rep_test_wide_trained")
+def rep_test_wide_trained(spark, folder):
     preds, chosen, _, blended = _trained(spark, folder)
     best = chosen.where(F.col("place") == 1)
     return tidy(reports.test_wide(blended, preds, ALGS, best))

@@ -258,12 +258,16 @@ register("slot_means", "SELECT section_id, alg, avg(pred) AS m FROM slots WHERE
 register("filled", "SELECT s.*, coalesce(pred, m) AS v FROM slots s JOIN slot_means USING (section_id, alg)")
 
 
-def _matrix(spark, folder):
-    """All rows with the chosen experts' predictions, gaps left as nulls."""
+def matrix_parts(spark, folder):
+    """Predictions, chosen experts, and all rows with their predictions, gaps left as nulls."""
     base, lag = two_views(spark, folder)
     preds = cut(expert_predictions(base, lag))
-    chosen = ensemble.top_experts(ensemble.out_of_fold(preds))
-    return ensemble.expert_matrix(preds, chosen, base)
+    chosen = cut(ensemble.top_experts(ensemble.out_of_fold(preds)))
+    return preds, chosen, ensemble.expert_matrix(preds, chosen, base)
+
+
+def _matrix(spark, folder):
+    return matrix_parts(spark, folder)[2]
 
 
 @query("agg_col_mean_impute", compose(f"SELECT {KEY}, alg, CAST(place - 1 AS integer) AS slot, {rounded(['v'], 3)} FROM filled"))
@@ -304,7 +308,11 @@ register(
 
 
 def soft_weights(spark, folder):
-    full = ensemble.fill_expert_gaps(cut(_matrix(spark, folder))).where(F.col("split") == "test")
+    return weigh_softly(_matrix(spark, folder))
+
+
+def weigh_softly(matrix):
+    full = ensemble.fill_expert_gaps(cut(matrix)).where(F.col("split") == "test")
     logits = F.transform("yhat", lambda v: -F.abs(v - F.col("natural_flow")) / F.col("natural_flow"))
     return full.withColumn("w", C.softmax(logits, 1.5))
 
