@@ -71,30 +71,26 @@ def pivot_experts(preds: DataFrame, algs: list[str]) -> DataFrame:
     return wide.withColumnsRenamed({a: f"pred_{a}" for a in algs})
 
 
-def fill_expert_gaps(matrix: DataFrame, fit_only: bool = False) -> DataFrame:
-    """Fill missing predictions with the expert's train mean, in train and test rows alike."""
-    slots = matrix.where(F.col("split") == "train").select(
-        "section_id", F.posexplode("yhat").alias("slot", "v")
-    )
-    means = slots.groupBy("section_id", "slot").agg(F.avg("v").alias("m"))
-    packed = means.groupBy("section_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("slot", "m"))), lambda s: s["m"]).alias("_means")
-    )
-    filled = F.zip_with("yhat", "_means", lambda v, m: F.coalesce(v, m))
-    out = matrix.join(packed, "section_id", "left")
-    if fit_only:
-        return out.withColumnRenamed("_means", "expert_means")
-    return out.withColumn("yhat", filled).drop("_means")
+def _train_mean(value: Column) -> Column:
+    """Section mean of the finite train values, as a window value: no join back."""
+    known = F.when((F.col("split") == "train") & C.finite(value), value)
+    return F.avg(known).over(Window.partitionBy("section_id"))
+
+
+def fill_expert_gaps(matrix: DataFrame, slots: int = 5) -> DataFrame:
+    """Fill missing predictions with the expert's train mean, in train and test rows alike.
+
+    ``slots`` is the most experts a section may have.
+    """
+    means = F.array(*[_train_mean(F.get(F.col("yhat"), F.lit(i))) for i in range(slots)])
+    filled = F.zip_with("yhat", F.slice("_means", 1, F.size("yhat")), lambda v, m: F.coalesce(v, m))
+    return matrix.withColumn("_means", means).withColumn("yhat", filled).drop("_means")
 
 
 def fill_gate_gaps(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Fill missing gate inputs of test rows with the section's train mean."""
-    means = df.where(F.col("split") == "train").groupBy("section_id").agg(
-        *[F.avg(F.when(C.finite(c), F.col(c))).alias(f"_{c}") for c in columns]
-    )
-    test = F.col("split") == "test"
-    fills = {c: F.when(test & ~F.coalesce(C.finite(c), F.lit(False)), F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
-    return df.join(means, "section_id", "left").withColumns(fills).drop(*[f"_{c}" for c in columns])
+    gap = {c: (F.col("split") == "test") & ~F.coalesce(C.finite(c), F.lit(False)) for c in columns}
+    return df.withColumns({c: F.when(gap[c], _train_mean(F.col(c))).otherwise(F.col(c)) for c in columns})
 
 
 def finite_rows(df: DataFrame, columns: tuple[str, ...], array: str = "yhat", y: str = "measured_flow") -> DataFrame:

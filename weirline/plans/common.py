@@ -39,9 +39,7 @@ def split_panel(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def gated(spark: SparkSession, folder: str) -> DataFrame:
-    rows = split_panel(spark, folder)
-    meta = curve.fit_gate_meta(rows.where(F.col("split") == "train"))
-    return curve.apply_gate_meta(rows, meta)
+    return curve.fit_and_apply_gate(split_panel(spark, folder))
 
 
 def blocks(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:

@@ -9,17 +9,18 @@ from weirline.plans.common import gated, split_flows, split_panel, tidy
 from weirline.plans.oracle import compose, rounded
 from weirline.plans.queries import query
 from weirline.schema import GATE_INPUTS
+from weirline.sources.scratch import cut
 
 KEY = "section_id, date"
 
 
 @query(
     "agg_fdc_grid",
-    compose("SELECT section_id, CAST(step AS integer) AS step, round(q_grid[step + 1], 2) + 0.0 AS q FROM meta, range(101) r(step)"),
+    compose("SELECT section_id, CAST(step AS integer) AS step, round(ln(q_grid[step + 1]), 9) AS log_q FROM meta, range(101) r(step)"),
 )
 def agg_fdc_grid(spark, folder):
     train = split_flows(spark, folder).where(F.col("split") == "train")
-    return tidy(curve.fit_curve(train).select("section_id", F.posexplode("q_grid").alias("step", "q")), 2)
+    return tidy(curve.fit_curve(train).select("section_id", F.posexplode("q_grid").alias("step", "q")).select("section_id", "step", F.ln("q").alias("log_q")), 9)
 
 
 _SC = ["hai1_mu", "hai1_sd", "hai3_mu", "hai3_sd"]
@@ -33,7 +34,9 @@ def agg_scaler_fit(spark, folder):
 
 @query("join_meta_apply", compose(f"SELECT {KEY}, {rounded(['gate_r_t1', 'gate_HAI1_t1'])} FROM gated"))
 def join_meta_apply(spark, folder):
-    return tidy(gated(spark, folder).select("section_id", "date", "gate_r_t1", "gate_HAI1_t1"))
+    rows = cut(split_panel(spark, folder))
+    meta = curve.fit_gate_meta(rows.where(F.col("split") == "train"))
+    return tidy(curve.apply_gate_meta(rows, meta).select("section_id", "date", "gate_r_t1", "gate_HAI1_t1"))
 
 
 _RANKS = ["gate_r_t1", "gate_r_t2", "gate_dr_t1"]

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weirline.operators import curve, ensemble, features, forest, gate, linear, reports, split
-from weirline.plans.common import ALGS, expert_predictions, split_flows, split_panel, tidy, two_views, write_views
+from weirline.operators import ensemble, features, forest, gate, linear, reports, split
+from weirline.plans.common import ALGS, expert_predictions, gated, split_flows, tidy, two_views, write_views
 from weirline.plans.oracle import KNN_INPUTS, compose, register, rounded, suite
 from weirline.plans.q_skill import matrix_parts, soft_weights, weigh_softly
 from weirline.plans.queries import query
@@ -172,7 +172,7 @@ register(
     ),
 )
 def gate_apply(spark, folder):
-    rows = _gated(spark, folder).where(F.col("split") == "test")
+    rows = gated(spark, folder).where(F.col("split") == "test")
     nested = lambda m: F.array(*[F.array(*map(F.lit, r)) for r in m])
     flat = lambda v: F.array(*map(F.lit, v))
     one = rows.withColumns({"w1": nested(NET["w1"]), "b1": flat(NET["b1"]), "w2": nested(NET["w2"]), "b2": flat(NET["b2"])})
@@ -180,14 +180,9 @@ def gate_apply(spark, folder):
     return tidy(one.select("section_id", "date", F.posexplode(w).alias("slot", "w")))
 
 
-def _gated(spark, folder):
-    rows = cut(split_panel(spark, folder))
-    return curve.apply_gate_meta(rows, curve.fit_gate_meta(rows.where(F.col("split") == "train")))
-
-
 def _trained(spark, folder):
     """Gate rows, expert predictions and everything the gate gives, for the closed-form experts."""
-    base, lag = write_views(_gated(spark, folder))
+    base, lag = write_views(gated(spark, folder))
     preds = cut(expert_predictions(base, lag))
     return (preds, *blend_experts(base, preds, Settings()))
 

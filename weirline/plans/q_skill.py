@@ -270,11 +270,13 @@ def _matrix(spark, folder):
     return matrix_parts(spark, folder)[2]
 
 
-@query("agg_col_mean_impute", compose(f"SELECT {KEY}, alg, CAST(place - 1 AS integer) AS slot, {rounded(['v'], 3)} FROM filled"))
+@query("agg_col_mean_impute", compose(f"SELECT {KEY}, alg, CAST(place - 1 AS integer) AS slot, round(ln(1 + abs(v)), 9) AS log_v FROM filled"))
 def agg_col_mean_impute(spark, folder):
     full = ensemble.fill_expert_gaps(cut(_matrix(spark, folder)))
+    # Means of few-digit flows often end in an exact half; their logs never do, and round alike everywhere.
+    log_v = F.ln(1 + F.abs("c.yhat")).alias("log_v")
     cells = full.select("section_id", "date", F.posexplode(F.arrays_zip("experts", "yhat")).alias("slot", "c"))
-    return tidy(cells.select("section_id", "date", F.col("c.experts").alias("alg"), "slot", F.col("c.yhat").alias("v")), 3)
+    return tidy(cells.select("section_id", "date", F.col("c.experts").alias("alg"), "slot", log_v), 9)
 
 
 @query(
