@@ -173,3 +173,17 @@ def test_row_feature_edges(spark):
     assert b["I_t"] == 4.0 / 1e-9 and b["D_phase"] == 0 and b["ag_share"] is None and b["U_total"] == 4.0
     assert c["I_t"] is None and c["U_total"] == 0.0 and c["target"] is None
     assert d["dom_share"] == 0.0 and d["I_t"] == -0.25
+
+
+def test_gbk_source(spark, tmp_path):
+    """Text in the encoding the source files come in."""
+    from weirline.schema import HYDRO_CSV
+
+    header = "section_id,date,rainfall,evaporation,runoff_measured,runoff_natural"
+    (tmp_path / "h.csv").write_bytes((header + "\n三两,200001,1.5,2,3,4\n").encode("gbk"))
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    try:
+        row = tables.coerce_types(tables.read_source_csv(spark, str(tmp_path / "h.csv"), HYDRO_CSV, "GBK")).first()
+    finally:
+        spark.conf.unset("spark.sql.legacy.javaCharsets")
+    assert row["section_id"] == "三两" and row["date"] == dt.date(2000, 1, 1) and row["runoff_natural"] == 4.0

@@ -259,15 +259,17 @@ def _equal_parts(spark, folder):
     compose(
         f"""SELECT s.section_id, s.alg, {rounded(METRICS)}, round(f."cv_mean_NSE", 6) + 0.0 AS "cv_mean_NSE",
           round(f."cv_mean_Hmean", 6) + 0.0 AS "cv_mean_Hmean", train_size, test_size, first_test_year,
-          b.alg IS NOT NULL AS is_best, '{{}}' AS best_params
+          b.alg IS NOT NULL AS is_best,
+          CASE WHEN s.alg = 'MoE' THEN '{{"experts":["' || experts || '"],"gate_cols":["{'","'.join(GATE_INPUTS)}"]}}' ELSE '{{}}' END AS best_params
         FROM all_suite s JOIN sizes USING (section_id)
+        JOIN (SELECT section_id, string_agg(alg, '","' ORDER BY place) AS experts FROM top5 GROUP BY 1) t USING (section_id)
         LEFT JOIN (SELECT * FROM fold_means WHERE alg <> 'PHYS') f ON f.section_id = s.section_id AND f.alg = s.alg
         LEFT JOIN single_best b ON b.section_id = s.section_id AND b.alg = s.alg"""
     ),
 )
 def rep_summary(spark, folder):
-    preds, _, blended, sizes = _equal_parts(spark, folder)
-    return tidy(reports.summary(preds, blended, sizes))
+    preds, chosen, blended, sizes = _equal_parts(spark, folder)
+    return tidy(reports.summary(preds, blended, sizes, reports.moe_params(chosen)))
 
 
 _OOF_NAMES = {"NSE": "oof_nse", "logNSE": "oof_lognse", "RMSE": "oof_rmse", "FHV": "oof_fhv", "FLV": "oof_flv"}
@@ -302,7 +304,7 @@ register(
     LEFT JOIN fold_means f ON f.section_id = b.section_id AND f.alg = b.alg""",
 )
 _BEST_SQL = compose(
-    "SELECT section_id, alg, train_size, test_size, first_test_year, is_best_overall, "
+    "SELECT section_id, alg, train_size, test_size, first_test_year, is_best_overall, '{}' AS best_params, "
     + ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in (*_BEST, "TEST_Hmean", "cv_mean_NSE", "cv_mean_Hmean"))
     + " FROM station_best"
 )
