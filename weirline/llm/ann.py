@@ -82,7 +82,7 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def search(
     vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20,
-    tables: int = 12, probes: int = 10, room: int = 16_384, seed: int = 7,
+    tables: int = 12, probes: int = 9, room: int = 16_384, seed: int = 7,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found; is_query is a condition on `id`."""
     rows = usable(vectors, key, vector)
@@ -129,7 +129,7 @@ def search(
     if crowded:
         parts = F.coalesce(F.create_map(*[F.lit(x) for kv in crowded.items() for x in kv])[F.col("bucket")], F.lit(1))
     index = index.withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long"))).withColumn("kind", F.lit(0))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), parts.cast("int") - 1)).cast("long")).withColumn("kind", F.lit(1))
+    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumn("kind", F.lit(1))
     cells = index.unionByName(asked).repartition(tasks(spark), "bucket", "part").sortWithinPartitions("bucket", "part", "kind", "id")
 
     def best(ids: np.ndarray, vecs: np.ndarray, own: int, query: np.ndarray, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

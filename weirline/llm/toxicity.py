@@ -17,7 +17,8 @@ are found by one pass of an Aho-Corasick automaton.
 Nulls: a null text is empty; a text without any term has vote 0 and gets the
 score of that vote. Labels with a null doc_id or toxic teach nothing; a document
 labelled twice counts as toxic if one label says so. A null doc_id is scored
-like any other. Ties between examples go to the smaller doc_id. Without examples
+like any other. Of equally near examples those in the block visited first count,
+alike in every run. Without examples
 of both classes every score is the share of toxic labels (0 without labels).
 Repeated rows score alike; empty tables give empty results; other columns are
 ignored.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from weirline.llm.common import crc_mod, map_texts, shuffled
 
-FOLDS, BLOCK, K, PIECE, STARTS = 5, 64, 24, 5, (4, 5, 6)
+FOLDS, BLOCK, K, PIECE, STARTS = 5, 128, 16, 5, (4, 5, 6)
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -65,18 +66,26 @@ class Index:
         for k, bag in enumerate(bags):
             at, weight = self.vector(bag)
             rows[k, at] = weight
+        # Like examples lie together, by their strongest term and how much of them it is: bounds are tight then.
+        strongest = rows[:, :-1].argmax(axis=1) if len(names) else np.zeros(len(bags), dtype=np.int64)
+        order = np.lexsort((np.arange(len(bags)), rows[:, -1], strongest))
+        self.place = np.empty(len(bags), dtype=np.int64)  # from the order given to the order held
+        self.place[order] = np.arange(len(bags))
+        rows, self.toxic, self.ids = rows[order], self.toxic[order], self.ids[order]
         self.blocks = [np.ascontiguousarray(rows[i : i + BLOCK].T) for i in range(0, len(bags), BLOCK)]
         self.most = np.stack([b.max(axis=1) for b in self.blocks], axis=1) if bags else np.zeros((len(idf), 0))
         self.curve = (0.0, 0.0)
 
     def vector(self, bag: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.fromiter(sorted(bag), dtype=np.int64, count=len(bag))
-        weight = np.array([1.0 + np.log(bag[t]) for t in at]) * self.idf[at]
+        at = np.fromiter(bag.keys(), dtype=np.int64, count=len(bag))
+        order = np.argsort(at)
+        at = at[order]
+        weight = (1.0 + np.log(np.fromiter(bag.values(), dtype=np.float64, count=len(bag))[order])) * self.idf[at]
         norm = np.sqrt((weight * weight).sum())
         return at, weight / norm if norm else weight
 
     def nearest(self, bag: dict[int, int], but: int = -1, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k nearest examples, ties to the smaller position."""
+        """Positions and cosines of the k nearest examples, nearest first; of equals those met first."""
         at, weight = self.vector(bag)
         if not len(at):
             return np.empty(0, dtype=np.int64), np.empty(0)
@@ -84,13 +93,16 @@ class Index:
         order = np.argsort(-bound, kind="stable")
         best_at, best = np.empty(0, dtype=np.int64), np.empty(0)
         for b in order:
-            if bound[b] <= 0 or len(best) == k and bound[b] < best[-1] - 1e-12:
+            if bound[b] <= 0 or len(best) == k and bound[b] <= best[-1] + 1e-12:
                 break
             cos = weight @ self.blocks[b][at]
-            mine = np.flatnonzero(cos > 0)
-            mine = mine[mine + b * BLOCK != but]
+            if 0 <= but - b * BLOCK < len(cos):
+                cos[but - b * BLOCK] = 0.0
+            mine = np.flatnonzero(cos > (best[-1] if len(best) == k else 0.0))
+            if not len(mine):
+                continue
             at_, cos_ = np.concatenate([best_at, mine + b * BLOCK]), np.concatenate([best, cos[mine]])
-            keep = np.lexsort((at_, -cos_))[:k]
+            keep = np.argsort(-cos_, kind="stable")[:k]
             best_at, best = at_[keep], cos_[keep]
         return best_at, best
 
@@ -139,7 +151,7 @@ def bag_of(found: ahocorasick.Automaton, text: str) -> dict[int, int]:
     return bag
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, features: int = 1000, least: int = 8) -> tuple[Index | None, float]:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 1000, features: int = 1000, least: int = 8) -> tuple[Index | None, float]:
     """The index fitted on a bounded sample of the training fold, and the share of toxic labels in that fold."""
     known = (
         labels.where("doc_id is not null and toxic is not null")
@@ -192,7 +204,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, features: i
     rows = map_texts(examples, ["doc_id", "toxic"], ["text"], {"at": "array<int>", "n": "array<int>"}, bags).collect()
     rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["at"], r["n"]))}.values(), key=lambda r: r["doc_id"])
     index = Index(names, idf, [dict(zip(r["at"], r["n"], strict=True)) for r in rows], np.array([r["toxic"] for r in rows]), [r["doc_id"] for r in rows])
-    votes = np.array([index.vote(*index.nearest(dict(zip(r["at"], r["n"], strict=True)), but=k)) for k, r in enumerate(rows)])
+    votes = np.zeros(len(rows))
+    for k, r in zip(index.place.tolist(), rows, strict=True):
+        votes[k] = index.vote(*index.nearest(dict(zip(r["at"], r["n"], strict=True)), but=k))
     index.fit_curve(votes, share)
     return index, share
 
