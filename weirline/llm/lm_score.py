@@ -46,7 +46,7 @@ FOLDS, BLOCK, ADD, CLASSES = 10, 12_000_000, 0.1, 48
 #: No word has a space, so this hash belongs to the end alone.
 END = xxh64_intdigest(b" end")
 
-ROW = "block string, kind string, part int, a binary, b binary, ids array<long>"
+ROW = "block string, kind string, part int, a binary, b binary, c binary, ids array<long>"
 SCORED = (
     "doc_id long, n_tokens long, n_known long, base_score double, arcs double, "
     "taken array<long>, failed array<long>, once array<long>"
@@ -69,8 +69,8 @@ def unpacked(data: bytes, kind: type, ascending: bool = False) -> np.ndarray:
 
 
 def rows(made: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
-    names = ["block", "kind", "part", "a", "b", "ids"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    names = ["block", "kind", "part", "a", "b", "c", "ids"]
     return pa.RecordBatch.from_arrays([pa.array([m[i] for m in made], type=k) for i, k in enumerate(kinds)], names=names)
 
 
@@ -79,7 +79,7 @@ def in_training(doc_id: int | None) -> bool:
 
 
 def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to blocks: sorted hashes of the distinct tokens, and each text as places in them."""
+    """Texts to blocks: each text as places (a) among the sorted hashes of the distinct tokens (c), and its length (b)."""
     n = 0
     place: defaultdict = defaultdict()
     place.default_factory = place.__len__
@@ -95,7 +95,7 @@ def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(t) for t in texts], dtype=np.uint32)
         name = f"{TaskContext.get().partitionId()}-{n}"
         n += 1
-        out = rows([(name, "text", None, packed(tokens), packed(lengths), list(ids)), (name, "words", None, packed(found, True), None, None)])
+        out = rows([(name, "text", None, packed(tokens), packed(lengths), packed(found, True), list(ids))])
         place.clear()
         ids.clear()
         texts.clear()
@@ -158,7 +158,7 @@ class Blocks:
 
 def opened(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """hashes, tokens, lengths, training flag of each token, hashes of token pairs."""
-    hashes = unpacked(block["words"]["a"], np.uint64, True)
+    hashes = unpacked(block["text"]["c"], np.uint64, True)
     tokens = unpacked(block["text"]["a"], np.uint32).astype(np.int64)
     lengths = unpacked(block["text"]["b"], np.uint32).astype(np.int64)
     trains = np.repeat(np.array([in_training(i) for i in block["text"]["ids"]]), lengths)
@@ -181,7 +181,7 @@ def requests(n_parts: int):
                 ends = np.concatenate([[0], np.searchsorted(keys, cuts(n_parts)), [len(keys)]])
                 yield rows(
                     [
-                        (block["block"], kind, p, packed(keys[ends[p] : ends[p + 1]], True), packed(n[ends[p] : ends[p + 1]].astype(np.uint32)), None)
+                        (block["block"], kind, p, packed(keys[ends[p] : ends[p + 1]], True), packed(n[ends[p] : ends[p + 1]].astype(np.uint32)), None, None)
                         for p in range(n_parts) if ends[p + 1] > ends[p]
                     ]
                 )
@@ -199,8 +199,8 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, at = distinct(np.concatenate(hashes))
         sums = np.bincount(at, weights=counts, minlength=len(keys)).astype(np.uint64)
         ends = np.cumsum([0] + [len(h) for h in hashes])
-        made = [(name, kind, part, packed(sums[at[ends[i] : ends[i + 1]]]), None, None) for i, (name, _, _) in enumerate(asked)]
-        return rows(made + [("", kind, part, None, None, [int(sums.sum()), int((sums > 0).sum())])])
+        made = [(name, kind, part, packed(sums[at[ends[i] : ends[i + 1]]]), None, None, None) for i, (name, _, _) in enumerate(asked)]
+        return rows(made + [("", kind, part, None, None, None, [int(sums.sum()), int((sums > 0).sum())])])
 
     key, asked = None, []
     for b in batches:
@@ -255,8 +255,7 @@ def score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = tasks(spark)
     blocks = cut(docs.select("doc_id", "text").mapInArrow(coded, ROW))
-    # Both rows of a block lie next to each other in one file split.
-    asked = blocks.repartition(parts, "block").sortWithinPartitions("block", "kind").mapInArrow(requests(parts), ROW)
+    asked = blocks.mapInArrow(requests(parts), ROW)
     replies = cut(asked.repartition(parts, "part").sortWithinPartitions("kind", "part", "block").mapInArrow(answers, ROW))
     sums = replies.where("kind = 'one' and block = ''").agg(F.sum(F.col("ids")[0]).alias("n"), F.sum(F.col("ids")[1]).alias("v")).first()
     n_all, v_all = sums["n"] or 0, sums["v"] or 0
