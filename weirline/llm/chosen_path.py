@@ -148,8 +148,19 @@ def joined(n: int, links: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Buckets to edges of a forest that connects the sets with like sketches."""
+    """Buckets to edges of a forest that connects the sets with like sketches.
+
+    A task gives an edge only between sets it has not connected yet, so that a group
+    met in many buckets gives as many edges as it has members.
+    """
     left, right = [], []
+    known: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while known.setdefault(x, x) != x:
+            known[x] = known[known[x]]
+            x = known[x]
+        return x
 
     def out() -> pa.RecordBatch:
         made = pa.RecordBatch.from_pydict({"a": pa.array(left, type=pa.int64()), "b": pa.array(right, type=pa.int64())})
@@ -171,8 +182,13 @@ def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     root[np.isin(root, parts)] = parts[0]
         for i, r in enumerate(root.tolist()):
             if r != i:
-                left.append(group[r][0])
-                right.append(group[i][0])
+                a, b = find(group[r][0]), find(group[i][0])
+                if a != b:
+                    known[b] = a
+                    left.append(group[r][0])
+                    right.append(group[i][0])
+        if len(known) > 500_000:
+            known.clear()
         if len(left) > 50_000:
             yield out()
     yield out()
@@ -291,8 +307,8 @@ def buckets(reps: DataFrame, room: int, depth: int) -> DataFrame:
         if last:
             break
         more = met.where(F.col("size") > room).select("path", "s").join(reps.select("s", "pool"), "s")
-        child = more.select("s", "path", F.size("pool").alias("n"), F.explode("pool").alias("t"))
-        rows = child.where(F.pmod(F.xxhash64("path", "t"), F.lit(1_000_000)) * F.col("n") < 2_000_000).select("s", F.xxhash64("t", "path").alias("path")).distinct()
+        sampled = F.filter("pool", lambda t: F.pmod(F.xxhash64("path", t), F.lit(1_000_000)) * F.size("pool") < 2_000_000)
+        rows = more.select("s", F.explode(F.transform(sampled, lambda t: F.xxhash64(t, "path"))).alias("path")).distinct()
     return stack(done)
 
 
