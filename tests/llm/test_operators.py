@@ -194,7 +194,7 @@ def test_split_buckets_and_tiled_families_equal_brute_force(spark):
             mine[p] = f"m{k}"
         rows.append((100 + k, " ".join(mine)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert rows_of(chosen_path.join(docs, room=8, depth=2)) == jaccard_classes(rows)
+    assert rows_of(chosen_path.join(docs, room=8, depth=2, tile=8)) == jaccard_classes(rows)
 
 
 def test_one_of_each_class_stays(docs):

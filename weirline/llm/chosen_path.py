@@ -15,7 +15,7 @@ splits is compared completely, block against block.
 
 Check: what the search connects is a family; families are disjoint, so each set
 travels once. The exact Jaccard similarity of all pairs of a family is taken in
-tiles of at most `room` by `room` sets. No pair is ever a row: a tile returns,
+tiles of about `tile` by `tile` sets. No pair is ever a row: a tile returns,
 per set, the links found and the smallest member of its connected part.
 
 Result: one row per document with class_id, the smallest doc_id of its class
@@ -312,7 +312,7 @@ def buckets(reps: DataFrame, room: int, depth: int) -> DataFrame:
     return stack(done)
 
 
-def classes_of(docs: DataFrame, threshold: float = THRESHOLD, room: int = 512, depth: int = 3) -> DataFrame:
+def classes_of(docs: DataFrame, threshold: float = THRESHOLD, room: int = 2048, depth: int = 3, tile: int = 512) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), class_key, class_id and n_links of every document."""
     spark = docs.sparkSession
     parts = tasks(spark)
@@ -338,7 +338,7 @@ def classes_of(docs: DataFrame, threshold: float = THRESHOLD, room: int = 512, d
         return {"own": [np.uint64(xxh64_intdigest(x.tobytes())).astype(np.int64) for x in made], "shingles": [x.tobytes() for x in made]}
 
     whole = map_texts(found, ["family", "s", "size", "copies"], ["text"], {"own": "long", "shingles": "binary"}, sets_of).where("own = s")
-    tiled = blocked(whole, "size", room).select("family", "i", "j", "s", "mine", "copies", "shingles")
+    tiled = blocked(whole, "size", tile).select("family", "i", "j", "s", "mine", "copies", "shingles")
     tiled = tiled.repartition(parts, "family", "i", "j").sortWithinPartitions("family", "i", "j")
     linked = cut(tiled.mapInArrow(checked(threshold), "family long, s long, root long, links long"))
     links = linked.groupBy("s").agg(F.sum("links").alias("links"))
