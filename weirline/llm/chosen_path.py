@@ -6,7 +6,8 @@ shingle). Equal sets are one representative from the start.
 Search: a set joins the bucket of each of its shingles whose hash falls under
 RUNS / size, about RUNS independent draws, in which two sets draw alike as far
 as they overlap. A bucket above `room` sets is split again: each set follows
-about two more of its shingles, sampled by a hash of the path so far, so that
+1.25 more of its shingles on average (one over the threshold), sampled by a hash
+of the path so far, so that
 similar sets tend to stay together and others part. Buckets within `room` are
 compared by brute force on sketches of 64 min-hash values, with a margin below
 the threshold. A pair at similarity 0.8 misses all draws with probability
@@ -307,7 +308,7 @@ def buckets(reps: DataFrame, room: int, depth: int) -> DataFrame:
         if last:
             break
         more = met.where(F.col("size") > room).select("path", "s").join(reps.select("s", "pool"), "s")
-        sampled = F.filter("pool", lambda t: F.pmod(F.xxhash64("path", t), F.lit(1_000_000)) * F.size("pool") < 2_000_000)
+        sampled = F.filter("pool", lambda t: F.pmod(F.xxhash64("path", t), F.lit(1_000_000)) * F.size("pool") < 1_250_000)
         rows = more.select("s", F.explode(F.transform(sampled, lambda t: F.xxhash64(t, "path"))).alias("path")).distinct()
     return stack(done)
 
