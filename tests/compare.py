@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -66,6 +67,7 @@ def main(argv: list[str]) -> int:
     folder, names = argv[0], argv[1:]
     spark = (
         SparkSession.builder.master("local[8]")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="weirline-"))
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")

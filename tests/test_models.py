@@ -299,3 +299,15 @@ def test_run_end_to_end(spark, tmp_path):
     assert counts == len(summary)
     pairs = itertools.combinations(sorted(result.chosen.toPandas().groupby("section_id")["alg"].apply(tuple)), 2)
     assert all(len(a) == len(b) == 5 for a, b in pairs)
+
+
+def test_gaps_of_any_number_of_experts_are_filled(spark):
+    rows = [("a", "train", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]), ("a", "test", [None] * 7)]
+    got = ensemble.fill_expert_gaps(spark.createDataFrame(rows, "section_id string, split string, yhat array<double>"))
+    assert [list(r.yhat) for r in got.where("split = 'test'").collect()] == [[1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]]
+
+
+def test_a_section_without_flow_keeps_its_scale(spark):
+    rows = [("dry", b, "train", 0.0) for b in range(3)] + [("wet", b, "train", 4.0) for b in range(3)]
+    got = forest._scales(spark.createDataFrame(rows, "section_id string, block int, split string, y double"), "y").collect()
+    assert {(r.section_id, r._scale) for r in got} == {("dry", 1.0), ("wet", 4.0)}

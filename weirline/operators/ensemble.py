@@ -77,12 +77,13 @@ def _train_mean(value: Column) -> Column:
     return F.avg(known).over(Window.partitionBy("section_id"))
 
 
-def fill_expert_gaps(matrix: DataFrame, slots: int = 5) -> DataFrame:
+def fill_expert_gaps(matrix: DataFrame) -> DataFrame:
     """Fill missing predictions with the expert's train mean, in train and test rows alike.
 
-    ``slots`` is the most experts a section may have.
+    Sections may have any number of experts: the longest array says how many means are taken.
     """
-    means = F.array(*[_train_mean(F.get(F.col("yhat"), F.lit(i))) for i in range(slots)])
+    slots = matrix.agg(F.max(F.size("yhat"))).first()[0] or 1
+    means = F.array(*[_train_mean(F.get(F.col("yhat"), F.lit(i))) for i in range(max(1, slots))])
     filled = F.zip_with("yhat", F.slice("_means", 1, F.size("yhat")), lambda v, m: F.coalesce(v, m))
     return matrix.withColumn("_means", means).withColumn("yhat", filled).drop("_means")
 

@@ -27,7 +27,7 @@ UNSCALED = ("season_sin", "season_cos", "I_t", "ag_share", "ind_share", "dom_sha
 
 # The parameter grids. Depth 30 is the deepest Spark grows.
 GRIDS: dict[str, list[dict]] = {
-    "DT": [{"maxDepth": d, "minInstancesPerNode": m} for d in (5, 10) for m in (1, 5)],
+    "DT": [{"maxDepth": d, "minInstancesPerNode": m} for d in (5, 10, 30) for m in (1, 5)],
     "RF": [{"numTrees": t, "maxDepth": d} for t in (100, 300) for d in (10, 30)],
     "GB": [{"maxIter": n, "maxDepth": d} for n in (100, 300) for d in (2, 3)],
     "LGBM": [
@@ -35,7 +35,7 @@ GRIDS: dict[str, list[dict]] = {
         for s in (0.05, 0.1)
         for m in (5, 20)
     ],
-    "AdaB": [{"rounds": n, "rate": r} for n in (100, 300) for r in (0.05, 0.2)],
+    "AdaB": [{"rounds": n, "rate": r} for n in (100, 300) for r in (0.05, 0.1, 0.2)],
 }
 # One or two settings per expert: what a run tries unless told otherwise.
 DEFAULTS: dict[str, list[dict]] = {
@@ -57,16 +57,16 @@ def assemble(df: DataFrame, features: list[str], out: str = "_x") -> DataFrame:
 
 
 def _scales(ready: DataFrame, y: str) -> DataFrame:
-    """(section_id, block, _scale): mean train flow known before each block."""
+    """(section_id, block, _scale): mean train flow known before each block; 1 where that is not above 0."""
     parts = ready.groupBy("section_id", "block").agg(
         F.sum(F.when(F.col("split") == "train", F.col(y))).alias("s"),
         F.count(F.when(F.col("split") == "train", F.col(y))).alias("n"),
     )
     before = Window.partitionBy("section_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        parts.withColumn("_scale", F.try_divide(F.sum("s").over(before), F.sum("n").over(before)))
-        .where((F.col("block") >= 0) & (F.col("_scale") > 0))
-        .select("section_id", "block", "_scale")
+        parts.withColumn("mean", F.try_divide(F.sum("s").over(before), F.sum("n").over(before)))
+        .where((F.col("block") >= 0) & F.col("mean").isNotNull())
+        .select("section_id", "block", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("_scale"))
     )
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 from functools import reduce
@@ -11,20 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only for local runs without it."""
+    """The cluster's checkpoint folder; without one, the session's warehouse, and that in local runs only."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if folder:
         return folder
-    chosen = spark.conf.get("weirline.local.folder", None)
-    if chosen:
-        return chosen
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    chosen = tempfile.mkdtemp(prefix="weirline-")
-    spark.conf.set("weirline.local.folder", chosen)
-    return chosen
+    return spark.conf.get("spark.sql.warehouse.dir")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
