@@ -46,6 +46,11 @@ def blocks(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
     return split.forward_blocks(split_flows(spark, folder), k)
 
 
+def base_view(spark: SparkSession, folder: str, k: int = 3) -> DataFrame:
+    """Base rows with their blocks, written once, for experts that use no lags."""
+    return cut(blocks(spark, folder, k))
+
+
 def two_views(spark: SparkSession, folder: str, k: int = 3) -> tuple[DataFrame, DataFrame]:
     """Base rows and lag rows with their blocks.
 

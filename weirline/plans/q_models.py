@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirline.operators import ensemble, features, forest, gate, linear, reports, split
-from weirline.plans.common import ALGS, expert_predictions, gated, split_flows, tidy, two_views, write_views
+from weirline.plans.common import ALGS, base_view, expert_predictions, gated, split_flows, tidy, two_views, write_views
 from weirline.plans.oracle import KNN_INPUTS, compose, register, rounded, suite
 from weirline.plans.q_skill import matrix_parts, soft_weights, weigh_softly
 from weirline.plans.queries import query
@@ -43,7 +43,7 @@ register(
     ),
 )
 def exp_mlr(spark, folder):
-    base, _ = two_views(spark, folder)
+    base = base_view(spark, folder)
     return tidy(linear.mlr_predictions(base, ["natural_flow", "rainfall"]).withColumn("pred", F.round("pred", 4)))
 
 
@@ -55,8 +55,7 @@ def exp_mlr_many_inputs(spark, folder):
 
 @query("exp_gam")
 def exp_gam(spark, folder):
-    base, _ = two_views(spark, folder)
-    return tidy(linear.gam_predictions(base, BASE))
+    return tidy(linear.gam_predictions(base_view(spark, folder), BASE))
 
 
 # Trees in small numbers here; the library's own grids are in forest.GRIDS.
@@ -189,7 +188,7 @@ def _trained(spark, folder):
 
 @query("gate_train")
 def gate_train(spark, folder):
-    _, _, gates, _ = _trained(spark, folder)
+    _, _, gates, _, _ = _trained(spark, folder)
     return tidy(gates.select("section_id", "epochs", "check_loss", F.size("b2").alias("experts")))
 
 
@@ -200,6 +199,11 @@ _soft_cells = ", ".join(
     f"round(max(w) FILTER (WHERE alg = '{a}'), 6) + 0.0 AS \"gate_w_{a}\"" for a in ALGS
 )
 _test_cells = ", ".join(f"round(max(pred) FILTER (WHERE alg = '{a}'), 6) + 0.0 AS \"pred_{a}\"" for a in ALGS)
+register(
+    "single_best",
+    """SELECT section_id, alg FROM fold_means WHERE alg <> 'PHYS'
+    QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY "cv_mean_Hmean" DESC NULLS LAST, alg) = 1""",
+)
 register("soft_wide", f"SELECT {KEY}, {_soft_cells} FROM soft GROUP BY 1, 2")
 register("test_cells", f"SELECT {KEY}, {_test_cells} FROM tests GROUP BY 1, 2")
 
@@ -212,20 +216,19 @@ register("test_cells", f"SELECT {KEY}, {_test_cells} FROM tests GROUP BY 1, 2")
           gate_choice, round(gate_entropy, 6) + 0.0 AS gate_entropy, round(b."pred_MoE", 6) + 0.0 AS "pred_MoE", round(p.pred, 6) + 0.0 AS pred
         FROM blended b JOIN split s USING (section_id, date) JOIN soft_wide w USING (section_id, date)
         JOIN test_cells c USING (section_id, date)
-        LEFT JOIN (SELECT t.* FROM tests t JOIN top5 e ON e.section_id = t.section_id AND e.alg = t.alg AND e.place = 1) p USING (section_id, date)"""
+        LEFT JOIN (SELECT t.* FROM tests t JOIN single_best e ON e.section_id = t.section_id AND e.alg = t.alg) p USING (section_id, date)"""
     ),
 )
 def rep_test_wide(spark, folder):
-    preds, chosen, matrix = matrix_parts(spark, folder)
+    preds, _, matrix = matrix_parts(spark, folder)
     blended = ensemble.gate_diagnostics(ensemble.blend(weigh_softly(matrix)))
-    return tidy(reports.test_wide(blended, preds, ALGS, chosen.where(F.col("place") == 1)))
+    return tidy(reports.test_wide(blended, preds, ALGS, reports.best_fitted(preds)))
 
 
 @query("rep_test_wide_trained")
 def rep_test_wide_trained(spark, folder):
-    preds, chosen, _, blended = _trained(spark, folder)
-    best = chosen.where(F.col("place") == 1)
-    return tidy(reports.test_wide(blended, preds, ALGS, best))
+    preds, _, _, blended, _ = _trained(spark, folder)
+    return tidy(reports.test_wide(blended, preds, ALGS, reports.best_fitted(preds)))
 
 
 register("equal_blend", 'SELECT section_id, date, split, any_value(y) AS y, avg(v) AS "pred_MoE" FROM filled GROUP BY 1, 2, 3')
@@ -236,12 +239,6 @@ register(
 )
 register("all_suite", suite("all_test", "section_id, alg"))
 register("sizes", "SELECT DISTINCT section_id, train_size, test_size, first_test_year FROM split")
-register(
-    "single_best",
-    """SELECT section_id, alg FROM fold_means WHERE alg <> 'PHYS'
-    QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY "cv_mean_Hmean" DESC NULLS LAST, alg) = 1""",
-)
-
 
 def _equal_parts(spark, folder):
     """Predictions, equal-weight blend and sizes: reports SQL can follow."""
@@ -284,7 +281,8 @@ _OOF_NAMES = {"NSE": "oof_nse", "logNSE": "oof_lognse", "RMSE": "oof_rmse", "FHV
         + ", ".join(f"round(o.{m}, 6) + 0.0 AS {n}" for m, n in _OOF_NAMES.items())
         + f""", moe_experts, '{{}}' AS best_params, '{"|".join(GATE_INPUTS)}' AS moe_gate_cols
         FROM fold_means f JOIN oof_suite o ON o.section_id = f.section_id AND o.alg = f.alg
-        JOIN (SELECT section_id, string_agg(alg, '|' ORDER BY place) AS moe_experts FROM top5 GROUP BY 1) t ON t.section_id = f.section_id"""
+        JOIN (SELECT section_id, string_agg(alg, '|' ORDER BY place) AS moe_experts FROM top5 GROUP BY 1) t ON t.section_id = f.section_id
+        WHERE f.alg <> 'PHYS'"""
     ),
 )
 def rep_model_selection(spark, folder):
@@ -294,33 +292,59 @@ def rep_model_selection(spark, folder):
 
 _BEST = [f"TEST_{m}" for m in METRICS]
 register(
-    "station_best",
-    f"""SELECT w.section_id, w.alg, {', '.join(f'w.{m} AS "TEST_{m}"' for m in METRICS)}, w."TEST_Hmean",
-      f."cv_mean_NSE", f."cv_mean_Hmean", train_size, test_size, first_test_year, true AS is_best_overall
-    FROM (SELECT *, 2 * NSE * logNSE / (NSE + logNSE + 1e-12) AS "TEST_Hmean" FROM all_suite a
-          WHERE alg = 'MoE' OR EXISTS (SELECT 1 FROM single_best b WHERE b.section_id = a.section_id AND b.alg = a.alg)
-          QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY "TEST_Hmean" DESC NULLS LAST, CASE WHEN alg = 'MoE' THEN 1 ELSE 0 END) = 1) w
-    JOIN sizes USING (section_id) LEFT JOIN single_best b ON b.section_id = w.section_id AND b.alg = w.alg
-    LEFT JOIN fold_means f ON f.section_id = b.section_id AND f.alg = b.alg""",
+    "validated",
+    """SELECT o.section_id, o.date, o.alg, o.y, o.pred FROM oof o JOIN single_best b ON b.section_id = o.section_id AND b.alg = o.alg
+    WHERE o.pred IS NOT NULL""",
 )
-_BEST_SQL = compose(
-    "SELECT section_id, alg, train_size, test_size, first_test_year, is_best_overall, '{}' AS best_params, "
-    + ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in (*_BEST, "TEST_Hmean", "cv_mean_NSE", "cv_mean_Hmean"))
-    + " FROM station_best"
+register(
+    "both_sides",
+    """SELECT section_id, date, alg, y, pred FROM validated
+    UNION ALL SELECT e.section_id, e.date, 'MoE', e.y, e."pred_MoE" FROM equal_blend e JOIN validated v ON v.section_id = e.section_id AND v.date = e.date""",
 )
+register("both_suite", suite("both_sides", "section_id, alg"))
+
+
+def _station_best(judged_on: str) -> str:
+    """Winner by the scores in ``judged_on``, with its test metrics."""
+    return f"""SELECT w.section_id, w.alg, {', '.join(f'w.{m} AS "TEST_{m}"' for m in METRICS)}, w."TEST_Hmean",
+      f."cv_mean_NSE", f."cv_mean_Hmean", train_size, test_size, first_test_year, true AS is_best_overall
+    FROM (SELECT a.*, 2 * a.NSE * a.logNSE / (a.NSE + a.logNSE + 1e-12) AS "TEST_Hmean"
+          FROM all_suite a LEFT JOIN {judged_on} o ON o.section_id = a.section_id AND o.alg = a.alg
+          WHERE a.alg = 'MoE' OR EXISTS (SELECT 1 FROM single_best b WHERE b.section_id = a.section_id AND b.alg = a.alg)
+          QUALIFY row_number() OVER (PARTITION BY a.section_id
+            ORDER BY 2 * o.NSE * o.logNSE / (o.NSE + o.logNSE + 1e-12) DESC NULLS LAST, CASE WHEN a.alg = 'MoE' THEN 1 ELSE 0 END) = 1) w
+    JOIN sizes USING (section_id) LEFT JOIN single_best b ON b.section_id = w.section_id AND b.alg = w.alg
+    LEFT JOIN fold_means f ON f.section_id = b.section_id AND f.alg = b.alg"""
+
 
+register("station_best", _station_best("all_suite"))
+register("station_best_oof", _station_best("both_suite"))
 
-def _best_table(spark, folder):
+
+def _best_sql(source: str) -> str:
+    return compose(
+        "SELECT section_id, alg, train_size, test_size, first_test_year, is_best_overall, '{}' AS best_params, "
+        + ", ".join(f'round("{c}", 6) + 0.0 AS "{c}"' for c in (*(f"TEST_{m}" for m in METRICS), "TEST_Hmean", "cv_mean_NSE", "cv_mean_Hmean"))
+        + f" FROM {source}"
+    )
+
+
+def _best_table(spark, folder, select_on="test"):
     preds, _, blended, sizes = _equal_parts(spark, folder)
-    return tidy(reports.station_best(preds, blended, sizes, select_on="test"))
+    return tidy(reports.station_best(preds, blended, sizes, select_on=select_on))
 
 
-@query("rep_station_best", _BEST_SQL)
+@query("rep_station_best", _best_sql("station_best"))
 def rep_station_best(spark, folder):
     return _best_table(spark, folder)
 
 
-@query("snk_summary_csv", _BEST_SQL)
+@query("rep_station_best_oof", _best_sql("station_best_oof"))
+def rep_station_best_oof(spark, folder):
+    return _best_table(spark, folder, select_on="oof")
+
+
+@query("snk_summary_csv", _best_sql("station_best"))
 def snk_summary_csv(spark, folder):
     table = _best_table(spark, folder)
     path = new_path(spark, "summary")
@@ -334,7 +358,7 @@ register(
     UNION ALL SELECT 'test_predictions', section_id, count(*) FROM split WHERE split = 'test' GROUP BY ALL
     UNION ALL SELECT 'predictions_all', section_id, count(*) FROM split GROUP BY ALL
     UNION ALL SELECT 'summary_one_station', section_id, count(*) FROM all_suite GROUP BY ALL
-    UNION ALL SELECT 'model_selection', section_id, count(*) FROM fold_means GROUP BY ALL""",
+    UNION ALL SELECT 'model_selection', section_id, count(*) FROM fold_means WHERE alg <> 'PHYS' GROUP BY ALL""",
 )
 
 
@@ -342,7 +366,7 @@ register(
 def snk_station_report(spark, folder):
     """Written and read back: rows per part and section. Timings have no section and are left out here."""
     preds, chosen, blended, sizes = _equal_parts(spark, folder)
-    best = chosen.where(F.col("place") == 1)
+    best = cut(reports.best_fitted(preds).select("section_id", "alg"))
     blended = cut(ensemble.gate_diagnostics(blended))
     train = reports.train_oof(blended, preds, best)
     test = reports.test_wide(blended, preds, ALGS, best)

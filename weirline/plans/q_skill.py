@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirline.functions import columns as C
-from weirline.operators import ensemble, linear, neighbours, skill
-from weirline.plans.common import ALGS, blocks, expert_predictions, predictions, split_flows, tidy, two_views
+from weirline.operators import ensemble, linear, neighbours, reports, skill
+from weirline.plans.common import ALGS, base_view, blocks, expert_predictions, predictions, split_flows, tidy, two_views
 from weirline.plans.oracle import KNN_INPUTS, KNN_LAG_INPUTS, compose, register, rounded, suite
 from weirline.plans.queries import query
 from weirline.schema import METRICS
@@ -107,28 +107,32 @@ def loss_mse_logmse(spark, folder):
 _PRED_COLUMNS = ["section_id", "date", "split", "alg", "block", "y", "pred"]
 
 
-def _expert_query(name, algs, views):
+def _expert_query(name, algs, view, experts):
     listed = ", ".join(f"'{a}'" for a in algs)
     sql = f"SELECT section_id, date, split, alg, block, {rounded(['y', 'pred'])} FROM preds WHERE alg IN ({listed})"
 
     @query(name, compose(sql))
     def run(spark, folder):
-        return tidy(views(*two_views(spark, folder)).select(*_PRED_COLUMNS))
+        return tidy(experts(view(spark, folder)).select(*_PRED_COLUMNS))
 
 
-def _two_lines(base, _):
+def _two_lines(base):
     return stack([linear.line_predictions(base, "natural_flow"), linear.line_predictions(base, "rainfall", "MLR_RAIN")])
 
 
-def _lag_twins(_, lag):
+def _lag_rows(spark, folder):
+    return two_views(spark, folder)[1]
+
+
+def _lag_twins(lag):
     near = neighbours.knn_predictions(lag, list(KNN_LAG_INPUTS), (5,), "KNN_LAG").drop("k")
     return stack([near, linear.line_predictions(lag, "measured_flow_lag1", "MLR_LAG")])
 
 
-_expert_query("exp_phys", ["PHYS"], lambda base, _: ensemble.phys_predictions(base))
-_expert_query("exp_knn", ["KNN"], lambda base, _: neighbours.knn_predictions(base, list(KNN_INPUTS), (5,)))
-_expert_query("exp_mlr_one_input", ["MLR", "MLR_RAIN"], _two_lines)
-_expert_query("exp_lag_twins", ["KNN_LAG", "MLR_LAG"], _lag_twins)
+_expert_query("exp_phys", ["PHYS"], blocks, ensemble.phys_predictions)
+_expert_query("exp_knn", ["KNN"], base_view, lambda base: neighbours.knn_predictions(base, list(KNN_INPUTS), (5,)))
+_expert_query("exp_mlr_one_input", ["MLR", "MLR_RAIN"], base_view, _two_lines)
+_expert_query("exp_lag_twins", ["KNN_LAG", "MLR_LAG"], _lag_rows, _lag_twins)
 
 
 @query(
@@ -270,11 +274,11 @@ def _matrix(spark, folder):
     return matrix_parts(spark, folder)[2]
 
 
-@query("agg_col_mean_impute", compose(f"SELECT {KEY}, alg, CAST(place - 1 AS integer) AS slot, round(ln(1 + abs(v)), 9) AS log_v FROM filled"))
+@query("agg_col_mean_impute", compose(f"SELECT {KEY}, alg, CAST(place - 1 AS integer) AS slot, round(sign(v) * ln(1 + abs(v)), 9) + 0.0 AS log_v FROM filled"))
 def agg_col_mean_impute(spark, folder):
     full = ensemble.fill_expert_gaps(cut(_matrix(spark, folder)))
     # Means of few-digit flows often end in an exact half; their logs never do, and round alike everywhere.
-    log_v = F.ln(1 + F.abs("c.yhat")).alias("log_v")
+    log_v = (F.signum("c.yhat") * F.ln(1 + F.abs("c.yhat"))).alias("log_v")
     cells = full.select("section_id", "date", F.posexplode(F.arrays_zip("experts", "yhat")).alias("slot", "c"))
     return tidy(cells.select("section_id", "date", F.col("c.experts").alias("alg"), "slot", log_v), 9)
 
@@ -374,14 +378,11 @@ register(
 
 @query("topk_winner", compose(f"SELECT section_id, alg, {rounded(METRICS)}, round(\"TEST_Hmean\", 6) + 0.0 AS \"TEST_Hmean\" FROM winner"))
 def topk_winner(spark, folder):
-    preds = cut(predictions(spark, folder))
-    oof = ensemble.out_of_fold(preds)
-    singles = ensemble.best_by(
-        skill.fold_means(oof.where(F.col("alg") != "PHYS"), ["section_id", "alg"]), ["section_id"], "cv_mean_Hmean", ["alg"]
-    ).select("section_id", "alg")
+    preds, _, matrix = matrix_parts(spark, folder)
+    singles = reports.best_fitted(preds).select("section_id", "alg")
     test = preds.where(F.col("split") == "test").join(singles, ["section_id", "alg"])
     one = skill.metric_suite(test, ["section_id", "alg"])
-    moe = ensemble.blend(soft_weights(spark, folder)).select("section_id", "date", F.col("measured_flow").alias("y"), "pred_MoE")
+    moe = ensemble.blend(weigh_softly(matrix)).select("section_id", "date", F.col("measured_flow").alias("y"), "pred_MoE")
     two = skill.metric_suite(moe.withColumn("alg", F.lit("MoE")), ["section_id", "alg"], pred="pred_MoE")
     return tidy(ensemble.section_winner(stack([one, two])))
 
