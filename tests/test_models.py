@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirline.functions import columns as C
-from weirline.operators import curve, ensemble, forest, gate, linear, neighbours, screening, skill
+from weirline.operators import curve, ensemble, forest, gate, linear, neighbours, reports, screening, skill
 from weirline.plans.workflow import Settings, run
 from weirline.sources import panel
 
@@ -169,6 +169,36 @@ def test_vif_and_pruning(blocks):
     assert list(kept["A"]) == ["a", "b", "c"] and len(kept["B"]) == 2
 
 
+def test_inflation_uses_the_rows_a_subset_has(spark):
+    draw = np.random.default_rng(8)
+    x = draw.normal(0, 1, (90, 3))
+    x[:, 1] += x[:, 0]
+    x[:40, 2] = np.nan
+    x[85:, 0] = np.nan
+    rows = [("A", d, *[None if np.isnan(v) else float(v) for v in r]) for d, r in zip(days(90), x)]
+    df = spark.createDataFrame(rows, "section_id string, date date, a double, b double, c double")
+    parts = screening.moments(df, ["a", "b", "c"]).first()["parts"]
+    for at in ([0, 1], [0, 1, 2], [2]):
+        kept = x[:, at][~np.isnan(x[:, at]).any(axis=1)]
+        np.testing.assert_allclose(screening._added(parts, at, 3), np.atleast_2d(np.cov(kept.T, bias=True)), atol=1e-12)
+    assert screening._added([p for p in parts if "0" in p["mask"]], [0, 1, 2], 3) is None
+
+
+def test_winner_is_decided_on_rows_both_sides_have(spark):
+    y = [float(v) for v in (3, 9, 4, 8, 5, 7, 2, 6)]
+    near, far = [v + 0.1 for v in y], [v + 1.0 for v in y]
+    preds = [("A", d, "KNN", "train" if i < 6 else "test", 0, y[i], near[i]) for i, d in enumerate(days(8)) if i > 1]
+    preds = spark.createDataFrame(preds, "section_id string, date date, alg string, split string, block int, y double, pred double")
+    # The blend is perfect only where the single expert has no prediction or where its gate was fitted.
+    blend = [("A", d, "train" if i < 6 else "test", y[i], y[i] if i < 4 else far[i]) for i, d in enumerate(days(8))]
+    blended = spark.createDataFrame(blend, "section_id string, date date, split string, measured_flow double, pred_MoE double")
+    sizes = spark.createDataFrame([("A", 6, 2)], "section_id string, train_size int, test_size int")
+    unseen = spark.createDataFrame([("A", d) for d in days(6)[4:]], "section_id string, date date")
+    assert reports.station_best(preds, blended, sizes, unseen=unseen).first()["alg"] == "KNN"
+    nothing = unseen.where("section_id = 'B'")
+    assert reports.station_best(preds, blended, sizes, unseen=nothing).first()["alg"] == "KNN"
+
+
 def test_pruning_keeps_the_one_closer_to_the_target(spark):
     draw = np.random.default_rng(2)
     y = draw.normal(0, 1, 80)
@@ -290,6 +320,10 @@ def test_run_end_to_end(spark, tmp_path):
     settings = Settings(forests={"DT": [{"maxDepth": 4}]}, stability=None)
     result = run(*source, settings, str(tmp_path / "out"))
     summary = result.tables["summary"].toPandas()
+    report = result.tables["test_predictions"].join(
+        result.tables["summary_one_station"].where("is_best").select("section_id", "alg"), "section_id").toPandas()
+    said = [r[f"pred_{r['alg']}"] for _, r in report.iterrows()]
+    np.testing.assert_array_equal(report["pred"].astype(float), np.array(said, dtype=float))
     assert summary["section_id"].is_unique and summary["TEST_NSE"].median() > 0.5
     blended = result.blended.toPandas()
     low, high = np.array([min(v) for v in blended["yhat"]]), np.array([max(v) for v in blended["yhat"]])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirline.operators import features, split
-from weirline.series import DEFAULT, ROWS_PER_TASK, Series, exponential_memory, number, series_for
+from weirline.series import DEFAULT, Series, exponential_memory, number, series_for
 from weirline.sources import tables
 
 CHUNKED = Series(span_days=40)
@@ -81,11 +81,18 @@ def test_rolling_and_windows(spark, gaps, series):
     assert wide.count() == len(gaps) - 2 * 4
 
 
-def test_measured_choice(spark):
+def test_memory_of_a_very_long_section(spark):
+    n = 70_000
+    df = spark.range(n).select(F.lit("A").alias("section_id"), F.date_add(F.lit(dt.date(1900, 1, 1)), F.col("id").cast("int")).alias("date"),
+                               F.when(F.col("id") % 7 > 0, (F.col("id") % 101).cast("double")).alias("x"))
+    got = exponential_memory(df, DEFAULT, "x", "m").orderBy("date").toPandas()
+    want = got["x"].astype(float).ewm(alpha=0.2, adjust=False).mean()
+    np.testing.assert_allclose(got["m"].astype(float), want, rtol=1e-9)
+
+
+def test_one_row_per_date(spark):
     one = spark.createDataFrame([("A", dt.date(2000, 1, i)) for i in range(1, 9)], "section_id string, date date")
-    assert series_for(one).span_days is None
-    assert series_for(one, limit=5).span_days == 5
-    assert ROWS_PER_TASK >= 73_050  # two centuries of days
+    assert series_for(one) == DEFAULT and series_for(one, CHUNKED) == CHUNKED
     with pytest.raises(ValueError):
         series_for(one.union(one))
 

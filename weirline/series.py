@@ -4,9 +4,9 @@ A section is a series of rows in date order. With one row per (section, date)
 and a DateType order, the number of rows of a section is bounded by the
 calendar (two centuries of days are 73,050 rows) no matter how many raw records
 fed it, and a plain window over the section is safe. ``series_for`` checks that
-on the data; when a section is longer than one task should sort, it sets
-``span_days``, and the functions here cut the calendar into chunks, work on
-(section, chunk) groups and pass only the small border state between chunks.
+on the data. A caller may set ``span_days``: the functions here then cut the
+calendar into chunks, work on (section, chunk) groups and pass only the small
+border state between chunks. The exponential memory always works in chunks.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from pyspark.sql.window import Window
 
 from weirline.sources.scratch import stack
 
-ROWS_PER_TASK = 100_000
+#: Days in a chunk of the exponential memory, whose cost grows with the square of a chunk's rows.
+MEMORY_DAYS = 1_024
 
 
 @dataclass(frozen=True)
@@ -41,24 +42,18 @@ class Series:
 DEFAULT = Series()
 
 
-def series_for(df: DataFrame, series: Series = DEFAULT, limit: int = ROWS_PER_TASK) -> Series:
-    """Check the longest section and choose plain or chunked work.
+def series_for(df: DataFrame, series: Series = DEFAULT) -> Series:
+    """``series``, once the data are known to have one row per (section, date).
 
-    One partially aggregated count; only the maxima reach the driver. Rejects
-    panels with several rows for one (section, date), whose order is undefined.
+    Such a section is bounded by the calendar. Rejects panels with several rows
+    for one (section, date), whose order is undefined; one flag reaches the driver.
     """
     if not isinstance(df.schema[series.order].dataType, T.DateType):
         raise TypeError(f"{series.order} must be a date column")
     per_day = df.groupBy(*series.keys, series.order).agg(F.count("*").alias("_c"))
-    per_section = per_day.groupBy(*series.keys).agg(
-        F.sum("_c").alias("_n"), F.max("_c").alias("_c")
-    )
-    top = per_section.agg(F.max("_n").alias("n"), F.max("_c").alias("c")).first()
-    if top["c"] is not None and top["c"] > 1:
+    if per_day.agg(F.max("_c")).first()[0] not in (None, 1):
         raise ValueError(f"several rows share one {series.keys + (series.order,)}")
-    if top["n"] is None or top["n"] <= limit:
-        return replace(series, span_days=None)
-    return replace(series, span_days=limit)
+    return series
 
 
 def _key_order(series: Series) -> WindowSpec:
@@ -155,30 +150,25 @@ def exponential_memory(
     """Exponentially weighted mean along each section.
 
     The first observation seeds the mean. A missing observation keeps the mean
-    and fades its weight by (1 - alpha).
+    and fades its weight by (1 - alpha). Chunks keep the work linear in the rows.
     """
     step = _memory_step(alpha)
-    none = F.lit(None).cast("double")
-    chunked = series.span_days is not None
-    group = [*series.keys, "_chunk"] if chunked else list(series.keys)
+    if series.span_days is None:
+        series = replace(series, span_days=MEMORY_DAYS)
+    group = [*series.keys, "_chunk"]
     rest = [c for c in df.columns if c not in series.keys]
-    src = df.withColumn("_chunk", series.chunk()) if chunked else df
+    src = df.withColumn("_chunk", series.chunk())
     entry = F.struct(F.col(series.order).alias("_o"), F.col(value).alias("_x"), F.struct(*rest).alias("_row"))
     packed = src.groupBy(*group).agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
     xs = F.transform("_rows", lambda r: r["_x"])
-
-    if chunked:
-        packed = packed.join(_memory_carry(packed.select(*group, xs.alias("_xs")), series, alpha), group)
-        y0, w0 = F.col("_y"), F.col("_w")
-    else:
-        y0, w0 = none, F.lit(1.0)
+    packed = packed.join(_memory_carry(packed.select(*group, xs.alias("_xs")), series, alpha), group)
 
     def merge(acc, x):
         y, w = step(acc["y"], acc["w"], x)
         return F.struct(y.alias("y"), w.alias("w"), F.concat(acc["out"], F.array(y)).alias("out"))
 
     start = F.struct(
-        y0.alias("y"), w0.alias("w"), F.array().cast("array<double>").alias("out")
+        F.col("_y").alias("y"), F.col("_w").alias("w"), F.array().cast("array<double>").alias("out")
     )
     memory = F.aggregate(xs, start, merge, lambda acc: acc["out"])
     zipped = F.zip_with("_rows", memory, lambda r, m: F.struct(r["_row"].alias("r"), m.alias("m")))
