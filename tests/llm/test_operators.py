@@ -43,6 +43,15 @@ def test_rules_longest_wins(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_lexicon_takes_whole_levels_of_frequency(spark):
+    pages = spark.createDataFrame([("one " * 9 + "two " * 5 + "red blue " * 2 + "once",)], "html string")
+    assert set(url_filter.lexicon(pages, 10)) == {"one", "two", "red", "blue", "once"}
+    # Of words equally frequent all come or none.
+    assert set(url_filter.lexicon(pages, 3)) == {"one", "two"}
+    assert url_filter.lexicon(pages, 2)["one"] == pytest.approx(math.log(9 / 14))
+    assert url_filter.lexicon(pages.limit(0), 3) == {}
+
+
 def test_segmentation_is_the_best_of_all_splits():
     words = {w: math.log(p) for w, p in {"th": 0.1, "the": 0.3, "her": 0.05, "on": 0.2, "eron": 0.01, "tion": 0.2, "er": 0.14}.items()}
 

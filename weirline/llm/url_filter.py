@@ -5,8 +5,8 @@ visible text, splits each host label at its most likely places (Viterbi). The
 words of host and path are the tokens of a multinomial naive Bayes model, which
 learns from all urls that a rule decides and judges the urls no rule fits.
 
-Bounded model: the lexicon holds the `lexicon` most frequent words of at most
-LONGEST letters, the Bayes model 2^14 hashed token buckets. All pages count.
+Bounded model: the lexicon holds at most `size` words of at most LONGEST letters,
+the most frequent ones by whole levels of frequency (LEVELS to a doubling), the Bayes model 2^14 hashed token buckets. All pages count.
 
 Nulls: a null url, or one without "://", has empty host and path, fits no rule
 and is judged by the class shares alone. A null page_id is kept. Repeated rows
@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
 from weirline.llm.common import map_texts
+from weirline.sources.scratch import cut
 
 #: The rules: (host, path) and what they decide.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-LONGEST, BUCKETS = 24, 1 << 14
+LONGEST, BUCKETS, LEVELS = 24, 1 << 14, 64
 MARKUP = re.compile(r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>|&#?\w+;")
 LETTERS = re.compile(r"[^\W\d_]+")
 PATH_TOKEN = re.compile(r"[^\W\d_]+|\d+")
@@ -56,7 +57,11 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
 
 
 def lexicon(pages: DataFrame, size: int) -> dict[str, float]:
-    """Log probabilities of the most frequent words of the pages' visible text."""
+    """Log probabilities of the most frequent words of the pages' visible text.
+
+    Words are taken by whole levels of frequency, so that only the lexicon itself, at
+    most size words, and one count per level (some 4,000) come to the driver.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -73,8 +78,15 @@ def lexicon(pages: DataFrame, size: int) -> dict[str, float]:
         if seen:
             yield out()
 
-    counts = pages.select("html").mapInArrow(count, "word string, n long").where(F.length("word") <= LONGEST)
-    top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size).collect()
+    found = pages.select("html").mapInArrow(count, "word string, n long").where(F.length("word") <= LONGEST)
+    counts = cut(found.groupBy("word").agg(F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * LEVELS).cast("int")))
+    least, room = 0, size
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():
+        room -= r["count"]
+        if room < 0:
+            least = r["level"] + 1
+            break
+    top = counts.where(F.col("level") >= least).select("word", "n").collect()
     total = sum(r["n"] for r in top) or 1
     return {r["word"]: math.log(r["n"] / total) for r in top}
 
