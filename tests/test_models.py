@@ -169,6 +169,27 @@ def test_vif_and_pruning(blocks):
     assert list(kept["A"]) == ["a", "b", "c"] and len(kept["B"]) == 2
 
 
+def test_rank_correlations_of_columns_null_in_different_rows(spark):
+    draw = np.random.default_rng(12)
+    x = draw.integers(0, 9, (120, 5)).astype(float)
+    x[10:40, 1] = x[10:40, 2] = np.nan
+    x[30:70, 3] = np.nan
+    x[:60, 4] = 4.0
+    rows = [("A" if i < 60 else "B", *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    rows += [("C", 1.0, None, 2.0, None, 3.0)]
+    df = spark.createDataFrame(rows, "section_id string, a double, b double, c double, d double, e double")
+    pairs = list(itertools.combinations("abcde", 2))
+    got = {(r["section_id"], r["a"], r["b"]): r["rho"] for r in screening.spearman(df, pairs).collect()}
+    want = {}
+    for section, part in pd.DataFrame(rows, columns=["s", *"abcde"]).groupby("s"):
+        for a, b in pairs:
+            both = part[[a, b]].dropna().rank()
+            if len(both):
+                rho = both[a].corr(both[b]) if both[a].nunique() > 1 and both[b].nunique() > 1 else 0.0
+                want[section, a, b] = rho
+    assert got == pytest.approx(want)
+
+
 def test_inflation_uses_the_rows_a_subset_has(spark):
     draw = np.random.default_rng(8)
     x = draw.normal(0, 1, (90, 3))

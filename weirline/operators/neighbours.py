@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,35 +39,40 @@ def _packed(rows: DataFrame, features: list[str], y: str, prefix: str, part_days
     return packed.select("section_id", *[c.alias(f"{prefix}_{n}") for n, c in fields.items()])
 
 
-def _tile_nearest(q: np.ndarray, t: np.ndarray, earlier: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances and positions of the k nearest allowed train rows per query row."""
+def _tile_nearest(q: np.ndarray, t: np.ndarray, earlier: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many allowed train rows each query row gets (k at most), and their squared distances and positions, nearest first."""
     total = np.zeros((len(q), len(t)))
     for j in range(q.shape[1]):
         gap = q[:, j, None] - t[None, :, j]
         total += gap * gap
     total[~earlier] = np.inf
-    # Train rows are in date order and the sort is stable: the earlier of equals comes first.
-    order = np.argsort(total, axis=1, kind="stable")[:, :k]
-    return np.take_along_axis(total, order, axis=1), order
+    last = np.partition(total, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
+    row, at = np.nonzero((total <= last[:, None]) & earlier)
+    d = total[row, at]
+    # Train rows are in date order: of rows equally far the earlier comes first.
+    order = np.lexsort((at, d, row))
+    row, at, d = row[order], at[order], d[order]
+    few = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return np.bincount(row[few], minlength=len(q)), d[few], at[few]
 
 
 def _search(width: int, k: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                q, t = (np.asarray(v, dtype=float).reshape(-1, width) for v in (r.q_x, r.t_x))
-                q_block, t_block = np.asarray(r.q_b), np.asarray(r.t_b)
-                t_day, t_y = np.asarray(r.t_day), np.asarray(r.t_y, dtype=float)
-                for at in range(0, len(q), TILE):
-                    tile = slice(at, at + TILE)
-                    d, order = _tile_nearest(q[tile], t, t_block[None, :] < q_block[tile, None], k)
-                    for i, (di, oi) in enumerate(zip(d, order), start=at):
-                        real = np.isfinite(di)
-                        out.append(
-                            (r.section_id, r.q_day[i], r.q_s[i], q_block[i], r.q_y[i], di[real], t_day[oi[real]], t_y[oi[real]])
-                        )
-            yield pd.DataFrame(out, columns=["section_id", "day", "split", "block", "y", "d", "near_day", "near_y"])
+            for i, section in enumerate(batch.column("section_id").to_pylist()):
+                own = {c: batch.column(c)[i].values for c in batch.schema.names if c != "section_id"}
+                q, t = (own[c].to_numpy(zero_copy_only=False).reshape(-1, width) for c in ("q_x", "t_x"))
+                q_block, t_block = own["q_b"].to_numpy(), own["t_b"].to_numpy()
+                tiles = [
+                    _tile_nearest(q[at : at + TILE], t, t_block[None, :] < q_block[at : at + TILE, None], k) for at in range(0, len(q), TILE)
+                ]
+                counts, d, at = (np.concatenate(x) for x in zip(*tiles))
+                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), type=pa.int32())
+                near = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(d), own["t_day"].take(pa.array(at)), own["t_y"].take(pa.array(at)))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.repeat(pa.scalar(section, pa.string()), len(q)), own["q_day"], own["q_s"], own["q_b"], own["q_y"], *near],
+                    names=["section_id", "day", "split", "block", "y", "d", "near_day", "near_y"],
+                )
 
     return search
 
@@ -84,7 +89,7 @@ def nearest(
     ready = blocks.dropna(subset=features)
     train = _packed(ready.where((F.col("split") == "train") & F.col(y).isNotNull()), features, y, "t", part_days)
     queries = _packed(ready.where(F.col("block") >= 0), features, y, "q", part_days)
-    found = spread(queries, "section_id").join(train, "section_id").mapInPandas(_search(len(features), k), _FOUND)
+    found = spread(queries, "section_id").join(train, "section_id").mapInArrow(_search(len(features), k), _FOUND)
     cells = F.zip_with(
         F.arrays_zip("d", "near_day"),
         "near_y",
