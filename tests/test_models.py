@@ -169,6 +169,18 @@ def test_vif_and_pruning(blocks):
     assert list(kept["A"]) == ["a", "b", "c"] and len(kept["B"]) == 2
 
 
+def test_one_long_section_in_many_parts(spark):
+    draw = np.random.default_rng(21)
+    x = draw.integers(0, 6, (1500, 2)).astype(float)  # many equal distances
+    rows = [("A", d, "train" if i < 1200 else "test", i // 300 - 1, float(i), *map(float, r)) for i, (d, r) in enumerate(zip(days(1500), x))]
+    df = spark.createDataFrame(rows, "section_id string, date date, split string, block int, measured_flow double, a double, b double")
+    whole, parts = (
+        neighbours.nearest(df, ["a", "b"], 4, part_days=n).orderBy("date").toPandas() for n in (10_000, 70)
+    )
+    assert len(whole) == 1200
+    pd.testing.assert_frame_equal(whole, parts)
+
+
 def test_rank_correlations_of_columns_null_in_different_rows(spark):
     draw = np.random.default_rng(12)
     x = draw.integers(0, 9, (120, 5)).astype(float)

@@ -33,10 +33,10 @@ def _packed(rows: DataFrame, features: list[str], y: str, prefix: str, part_days
         F.unix_date("date").alias("day"), F.col("block").alias("b"), F.col("split").alias("s"),
         F.col(y).cast("double").alias("y"), F.array(*[F.col(c).cast("double") for c in features]).alias("x"),
     )
-    packed = rows.groupBy("section_id", part.alias(f"{prefix}_part")).agg(F.sort_array(F.collect_list(row)).alias("r"))
+    packed = rows.groupBy("section_id", part.cast("int").alias(f"{prefix}_part")).agg(F.sort_array(F.collect_list(row)).alias("r"))
     r = F.col("r")
     fields = {"day": r["day"], "b": r["b"], "s": r["s"], "y": r["y"], "x": F.flatten(r["x"])}
-    return packed.select("section_id", *[c.alias(f"{prefix}_{n}") for n, c in fields.items()])
+    return packed.select("section_id", f"{prefix}_part", *[c.alias(f"{prefix}_{n}") for n, c in fields.items()])
 
 
 def _tile_nearest(q: np.ndarray, t: np.ndarray, earlier: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,13 +83,17 @@ def nearest(
     """(section_id, date, split, block, y, near) of all rows with block >= 0.
 
     ``near`` holds (d, date, y) of the k nearest train rows of earlier blocks, by
-    ascending distance, earlier date first. Rows with a missing input are left
-    out on both sides.
+    ascending distance, earlier date first. Blocks grow with the date within a
+    section. Rows with a missing input are left out on both sides.
     """
     ready = blocks.dropna(subset=features)
     train = _packed(ready.where((F.col("split") == "train") & F.col(y).isNotNull()), features, y, "t", part_days)
     queries = _packed(ready.where(F.col("block") >= 0), features, y, "q", part_days)
-    found = spread(queries, "section_id").join(train, "section_id").mapInArrow(_search(len(features), k), _FOUND)
+    # Blocks follow the dates, so a train part goes to the query parts that are not earlier; the query parts of a section lie apart.
+    wanted = queries.select("section_id", "q_part")
+    sent = train.join(wanted, "section_id").where("t_part <= q_part")
+    met = spread(queries, "section_id", "q_part").join(sent, ["section_id", "q_part"])
+    found = met.drop("q_part", "t_part").mapInArrow(_search(len(features), k), _FOUND)
     cells = F.zip_with(
         F.arrays_zip("d", "near_day"),
         "near_y",
