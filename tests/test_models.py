@@ -154,6 +154,23 @@ def test_weighted_median(spark):
     assert [r[0] for r in df.select(forest.weighted_median("v", "w")).collect()] == [2.0, 3.0]
 
 
+def test_stable_features_by_importance(spark):
+    rows = [("A", "a", 0.9, 0.1), ("A", "b", 0.8, 0.3), ("A", "c", 0.2, 0.9), ("B", "a", 0.1, 0.1), ("B", "b", 0.1, 0.2), ("B", "c", 0.0, 0.2)]
+    freq = spark.createDataFrame(rows, "section_id string, feature string, freq double, importance double")
+    got = dict(tuple(r) for r in screening.stable_features(freq, ["a", "b", "c"]).collect())
+    assert got == {"A": ["b", "a"], "B": ["b", "c", "a"]}
+
+
+def test_boosting_keeps_a_perfect_tree_and_stops(spark):
+    # Two values of the input explain everything: the first tree is perfect, and alone decides.
+    x = [float(i % 2) for i in range(60)]
+    rows = [("A", d, "train" if i < 50 else "test", -1 if i < 50 else 0, 1.0 + 2 * v, v) for i, (d, v) in enumerate(zip(days(60), x))]
+    df = spark.createDataFrame(rows, "section_id string, date date, split string, block int, measured_flow double, a double")
+    got = forest.forest_predictions(df, ["a"], "AdaB", {"rounds": 3, "rate": 0.5}, k=0).toPandas()
+    assert len(got) == 10
+    np.testing.assert_allclose(got["pred"], got["y"], rtol=1e-9)
+
+
 def test_vif_and_pruning(blocks):
     pdf = blocks.toPandas()
     got = screening.vif(blocks, ["a", "b", "c"]).toPandas().set_index(["section_id", "feature"])["vif"]

@@ -183,7 +183,7 @@ def _boosted(rounds: int = 10, rate: float = 0.1, depth: int = 3, seed: int = 42
 
     def fit(train: DataFrame, rows: DataFrame) -> DataFrame:
         one = Window.partitionBy("section_id")
-        state = train.withColumn("_w", F.lit(1.0) / F.count("*").over(one))
+        state = train.withColumn("_w", F.lit(1.0) / F.count("*").over(one)).withColumn("_over", F.lit(False))
         models, says = [], None
         for r in range(rounds):
             tree = DecisionTreeRegressor(
@@ -196,13 +196,15 @@ def _boosted(rounds: int = 10, rate: float = 0.1, depth: int = 3, seed: int = 42
                 .withColumn("_l", F.coalesce(loss, F.lit(0.0)))
                 .withColumn("_bar", F.sum(F.col("_w") * F.col("_l")).over(one))
             )
-            # A section whose mean loss reaches one half gains nothing more from this tree.
-            useful = (F.col("_bar") < 0.5) & (F.col("_bar") > 0)
+            # A section stops at a perfect tree, which counts, or at a mean loss of one half, where the tree counts only if it is the first.
+            useful = ~F.col("_over") & (F.col("_bar") < 0.5) & (F.col("_bar") > 0)
             beta = F.col("_bar") / (F.lit(1.0) - F.col("_bar"))
+            say = F.when(useful, F.lit(-rate) * F.ln(beta)).when(~F.col("_over") & (F.col("_bar") <= 0), 1.0).otherwise(0.0 if r else 1e-12)
             moved = F.when(useful, F.col("_w") * F.pow(beta, (F.lit(1.0) - F.col("_l")) * F.lit(rate))).otherwise(F.col("_w"))
             judged = cut(
-                judged.withColumn("_say", F.when(useful, F.lit(-rate) * F.ln(beta)).otherwise(F.lit(0.0 if r else 1e-12)))
+                judged.withColumn("_say", say)
                 .withColumn("_new", moved)
+                .withColumn("_over", ~useful)
                 .withColumn("_w", F.col("_new") / F.sum("_new").over(one))
                 .drop("_e", "_l", "_bar", "_new", "_pred")
             )
