@@ -58,11 +58,11 @@ def exp_gam(spark, folder):
     return tidy(linear.gam_predictions(base_view(spark, folder), BASE))
 
 
-# Trees in small numbers here; the library's own grids are in forest.GRIDS.
-_SMALL = {
+# Forest and boosting at full size, LGBM-style boosting with few trees; the library's own grids are in forest.GRIDS.
+_TREES = {
     "exp_dt": ("DT", {"maxDepth": 5, "minInstancesPerNode": 5}),
-    "exp_rf": ("RF", {"numTrees": 10, "maxDepth": 5}),
-    "exp_gb": ("GB", {"maxIter": 5, "maxDepth": 3}),
+    "exp_rf": ("RF", {"numTrees": 100, "maxDepth": 10}),
+    "exp_gb": ("GB", {"maxIter": 100, "maxDepth": 2}),
     "exp_lgbm": ("LGBM", {"maxIter": 5, "stepSize": 0.2, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}),
 }
 
@@ -73,7 +73,7 @@ def _tree_query(name, alg, params):
         return tidy(forest.forest_predictions(_tree_blocks(spark, folder), TREE_INPUTS, alg, params))
 
 
-for _name, (_alg, _params) in _SMALL.items():
+for _name, (_alg, _params) in _TREES.items():
     _tree_query(_name, _alg, _params)
 
 
