@@ -206,6 +206,35 @@ def test_split_buckets_and_tiled_families_equal_brute_force(spark):
     assert rows_of(chosen_path.join(docs, room=8, depth=2, tile=8)) == jaccard_classes(rows)
 
 
+def test_isolated_pairs_in_buckets_split_three_times(spark):
+    """Pairs at 0.8 that share only shingles of large buckets: all have the same common words, pairs are told apart by which of them."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(-(2**62), 2**62, 100)
+    rows, pairs = [], []
+    for p in range(1200):
+        shared = rng.permutation(common)[:80]
+        pairs.append((2 * p, 2 * p + 1))
+        for s in pairs[-1]:
+            own = rng.integers(-(2**62), 2**62, 10)  # 80 of 100 shingles shared: similarity 0.8
+            values = np.unique(np.concatenate([shared, own])).astype(np.uint64)
+            sizes = np.full(len(values), len(values))
+            take = lambda count, seed: values[chosen_path.drawn(values, sizes, count, seed)].astype(np.int64).tolist()  # noqa: B023, E731
+            rows.append((s, take(chosen_path.RUNS, 0x5EED), take(2 * chosen_path.RUNS, 0x5EED), take(chosen_path.POOL, 0xF00D)))
+    reps = spark.createDataFrame(rows, "s long, draws array<long>, twice array<long>, pool array<long>")
+    # Buckets of the last level only: in blocks of one set nothing is small enough before.
+    held = collections.defaultdict(set)
+    for r in chosen_path.buckets(reps, 1, 3, 1).select("path", "s").collect():
+        held[r.s].add(r.path)
+    missed = sum(not held[a] & held[b] for a, b in pairs)
+    assert missed == 0
+
+
+def test_buckets_up_to_some_blocks_are_compared_whole(spark):
+    rows = [(s, [7], [7], [7]) for s in range(24)]
+    reps = spark.createDataFrame(rows, "s long, draws array<long>, twice array<long>, pool array<long>")
+    assert rows_of(chosen_path.buckets(reps, 3, 3, 8).select("path", "s", "size")) == sorted(((7, s, 24) for s in range(24)), key=repr)
+
+
 def test_one_of_each_class_stays(docs):
     stays = chosen_path.one_each(docs)
     assert stays.columns == docs.columns

@@ -5,14 +5,19 @@ shingle). Equal sets are one representative from the start.
 
 Search: a set joins the bucket of each of its shingles whose hash falls under
 RUNS / size, about RUNS independent draws, in which two sets draw alike as far
-as they overlap. A bucket above `room` sets is split again: each set follows
-1.25 more of its shingles on average (one over the threshold), sampled by a hash
-of the path so far, so that
-similar sets tend to stay together and others part. Buckets within `room` are
-compared by brute force on sketches of 64 min-hash values, with a margin below
-the threshold. A pair at similarity 0.8 misses all draws with probability
-exp(-0.8 * RUNS), under 1 in 100,000. A bucket still too large after `depth`
-splits is compared completely, block against block.
+as they overlap. Buckets are compared by brute force on sketches of 64 min-hash
+values, with a margin below the threshold: whole within `room` sets, block
+against block up to `blocks` times room. Only larger ones are split. Their sets
+start over with twice the draws, and where a bucket is still too large each set
+follows PATHS more of its shingles on average, sampled by a hash of the path so
+far, so that similar sets tend to stay together and others part. What is still
+too large after `depth` splits is compared completely, block against block.
+
+A pair at similarity 0.8 shares no draw with probability exp(-0.8 * RUNS), 3 in a
+million. If a bucket they share is split, both start over; that all of their
+shared draws are in buckets split three times and no path holds them together
+has a probability under 1 in a million (computed: 1e-8 for sets of equal size,
+6e-7 for a set within the other).
 
 Check: what the search connects is a family; families are disjoint, so each set
 travels once. The exact Jaccard similarity of all pairs of a family is taken in
@@ -45,6 +50,8 @@ from weirline.llm.quality import mixed
 from weirline.sources.scratch import cut, stack
 
 WORDS, THRESHOLD, RUNS, POOL, SKETCH = 5, 0.8, 16, 24, 64
+#: Shingles a set follows on average where a bucket is split; a pair at the threshold follows 1.6 of them together.
+PATHS = 2.0
 #: Equal sketch values for a pair to be checked; 64 * 0.8 less five standard deviations.
 LIKELY = 35
 
@@ -89,14 +96,14 @@ def described(texts: list[str]) -> dict:
     full = np.flatnonzero(sizes)
     out = {
         "n": sizes, "set_hash": [np.uint64(xxh64_intdigest(s.tobytes())).astype(np.int64) if len(s) else None for s in sets],
-        "draws": [[] for _ in sets], "pool": [[] for _ in sets], "sketch": [b""] * len(sets),
+        "draws": [[] for _ in sets], "twice": [[] for _ in sets], "pool": [[] for _ in sets], "sketch": [b""] * len(sets),
     }
     if not len(full):
         return out
     values = np.concatenate([sets[k] for k in full])
     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
     wide = np.repeat(sizes[full], sizes[full])
-    for name, count, seed in (("draws", RUNS, 0x5EED), ("pool", POOL, 0xF00D)):
+    for name, count, seed in (("draws", RUNS, 0x5EED), ("twice", 2 * RUNS, 0x5EED), ("pool", POOL, 0xF00D)):
         which = drawn(values, wide, count, seed)
         picked, ends = values[which].astype(np.int64), np.cumsum(np.add.reduceat(which.astype(np.int64), starts))
         for k, a, b in zip(full, np.concatenate([[0], ends[:-1]]), ends, strict=True):
@@ -296,37 +303,44 @@ def blocked(df: DataFrame, size: str, room: int, s: str = "s") -> DataFrame:
     )
 
 
-def buckets(reps: DataFrame, room: int, depth: int) -> DataFrame:
+def buckets(reps: DataFrame, room: int, depth: int, blocks: int) -> DataFrame:
     """path, s and size of the buckets with two sets or more."""
+    most = blocks * room
     rows = reps.select("s", F.explode("draws").alias("path"))
     done = []
-    for level in range(depth + 1):
+    for level in range(-1, depth + 1):
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         met = cut(rows.join(sizes, "path"))
-        last = level == depth or met.where(F.col("size") > room).limit(1).count() == 0
-        done.append(met if last else met.where(F.col("size") <= room))
+        last = level == depth or met.where(F.col("size") > most).limit(1).count() == 0
+        done.append(met if last else met.where(F.col("size") <= most))
         if last:
             break
-        more = met.where(F.col("size") > room).select("path", "s").join(reps.select("s", "pool"), "s")
-        sampled = F.filter("pool", lambda t: F.pmod(F.xxhash64("path", t), F.lit(1_000_000)) * F.size("pool") < 1_250_000)
+        more = met.where(F.col("size") > most).select("path", "s")
+        if level < 0:  # both sets of a pair in a split bucket start over, so every draw they share counts
+            again = more.select("s").distinct().join(reps.select("s", "twice"), "s")
+            rows = again.select("s", F.explode(F.transform("twice", lambda t: F.xxhash64(t))).alias("path"))
+            continue
+        share = F.lit(1_000_000 * PATHS)
+        sampled = F.filter("pool", lambda t: F.pmod(F.xxhash64("path", t), F.lit(1_000_000)) * F.size("pool") < share)  # noqa: B023
+        more = more.join(reps.select("s", "pool"), "s")
         rows = more.select("s", F.explode(F.transform(sampled, lambda t: F.xxhash64(t, "path"))).alias("path")).distinct()
     return stack(done)
 
 
-def classes_of(docs: DataFrame, threshold: float = THRESHOLD, room: int = 2048, depth: int = 3, tile: int = 512) -> DataFrame:
+def classes_of(docs: DataFrame, threshold: float = THRESHOLD, room: int = 2048, depth: int = 3, tile: int = 512, blocks: int = 8) -> DataFrame:
     """doc_id, row (a hash of doc_id and text), class_key, class_id and n_links of every document."""
     spark = docs.sparkSession
     parts = tasks(spark)
-    fields = {"n": "long", "set_hash": "long", "draws": "array<long>", "pool": "array<long>", "sketch": "binary"}
+    fields = {"n": "long", "set_hash": "long", "draws": "array<long>", "twice": "array<long>", "pool": "array<long>", "sketch": "binary"}
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
     sets = cut(map_texts(keyed, ["doc_id", "row"], ["text"], fields, described))
-    held = F.struct("draws", "pool", "sketch")
+    held = F.struct("draws", "twice", "pool", "sketch")
     reps = cut(
         sets.where("n > 0").groupBy(F.col("set_hash").alias("s"))
         .agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first(held).alias("h"))
         .select("s", "id", "copies", "h.*")
     )
-    met = blocked(buckets(reps, room, depth), "size", room).select("path", "i", "j", "s")
+    met = blocked(buckets(reps, room, depth, blocks), "size", room).select("path", "i", "j", "s")
     tiles = met.join(reps.select("s", "sketch"), "s").repartition(parts, "path", "i", "j").sortWithinPartitions("path", "i", "j")
     families = components(tiles.select("path", "i", "j", "s", "sketch").mapInArrow(likely, "a long, b long"))
     members = cut(stack([families.select(F.col("root").alias("family"), F.col("node").alias("s")), families.select(F.col("root").alias("family"), F.col("root").alias("s")).distinct()]))
