@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirline.functions import columns as C
-from weirline.operators import curve, ensemble, forest, gate, linear, neighbours, reports, screening, skill
+from weirline.operators import curve, ensemble, forest, gate, linear, neighbours, reports, screening, skill, split
+from weirline.plans import q_models
 from weirline.plans.workflow import Settings, run
 from weirline.sources import panel
 
@@ -385,6 +386,19 @@ def test_run_end_to_end(spark, tmp_path):
     assert all(len(a) == len(b) == 5 for a, b in pairs)
 
 
+def test_all_sections_with_a_rule_are_reported(spark):
+    """sf0.01 has sections without a rule: an error for users, left to join_rules_missing by the query."""
+    folder = "/root/testdata/sf0.01"
+    hydro, rules = panel.hydro(spark, folder).select("section_id", "date"), panel.station_rules(spark, folder)
+    missing = {r[0] for r in split.missing_rules(hydro, rules).select("section_id").collect()}
+    assert missing
+    with pytest.raises(ValueError, match="without first_test_year"):
+        split.require_rules(hydro, rules)
+    known = {r[0] for r in split.train_test(hydro, rules).select("section_id").distinct().collect()}
+    got = [r.section_id for r in q_models.run_all_sections(spark, folder).select("section_id").collect()]
+    assert sorted(got) == sorted(known) and not missing & set(got)
+
+
 def test_gaps_of_any_number_of_experts_are_filled(spark):
     rows = [("a", "train", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 7.0]), ("a", "test", [None] * 7)]
     got = ensemble.fill_expert_gaps(spark.createDataFrame(rows, "section_id string, split string, yhat array<double>"))

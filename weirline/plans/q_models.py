@@ -429,7 +429,12 @@ def exp_perturbation(spark, folder):
 
 @query("run_all_sections")
 def run_all_sections(spark, folder):
-    """From the two source tables to the best choice per section, in one call."""
+    """From the two source tables to the best choice per section, in one call.
+
+    Sections without a rule, an error in ``run``, are listed by ``join_rules_missing``.
+    """
     settings = Settings(forests={"DT": [{"maxDepth": 5, "minInstancesPerNode": 5}]}, stability=None)
-    result = run(panel.hydro(spark, folder), panel.water_use(spark, folder), panel.station_rules(spark, folder), settings)
+    rules = panel.station_rules(spark, folder)
+    hydro, use = [f(spark, folder).join(rules, "section_id", "left_semi") for f in (panel.hydro, panel.water_use)]
+    result = run(hydro, use, rules, settings)
     return tidy(result.tables["summary"])
