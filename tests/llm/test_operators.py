@@ -375,6 +375,38 @@ def test_recall_and_crowded_buckets(spark):
     assert np.mean(hits) >= 0.9
 
 
+def recall(spark, ids, x, **how):
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    found = collections.defaultdict(set)
+    for r in ann.search(rows, F.col("id") % 20 == 0, **how).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = []
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits.append(len(set(ids[np.argsort(-score)[:20]].tolist()) & found[ids[q]]) / 20)
+    return np.mean(hits), min(len(v) for v in found.values()), len(found)
+
+
+@pytest.mark.parametrize("norms", ["spread", "outlier", "hashed spread"])
+def test_recall_of_unequal_norms(spark, norms):
+    t = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").dropDuplicates(["vec_id"]).collect()
+    x, ids = np.array([r.embedding for r in t], dtype=np.float64), np.array([r.vec_id for r in t])
+    if norms == "outlier":
+        x[1] *= 10
+    else:
+        x *= np.random.default_rng(0).uniform(0.5, 1.5, (len(x), 1))
+    got, least, answered = recall(spark, ids, x, **({"few": 0} if norms == "hashed spread" else {}))
+    assert got >= 0.9 and least == 20 and answered == (ids % 20 == 0).sum()
+
+
+def test_queries_without_near_buckets_are_filled_up(spark):
+    x = np.random.default_rng(1).normal(size=(60, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert recall(spark, np.arange(60), x) == (1.0, 20, 3)
+    assert recall(spark, np.arange(60), x, few=0, room=7, tables=1, probes=1) == (1.0, 20, 3)
+
+
 # ---------------------------------------------------------------- op9
 def test_index_finds_the_exact_nearest():
     rng = np.random.default_rng(0)

@@ -5,11 +5,13 @@ turns a unit vector; its bucket in a table is the signed axis nearest to it. A
 query looks into its `probes` nearest axes of each of `tables` tables and ranks
 all it finds by the inner product of the original vectors in double precision.
 
-Vectors of unequal norm are first made comparable: sqrt(M^2 - |x|^2) is appended
-as one more component (M the largest norm), for queries 0, so that the order by
-angle is the order by inner product.
+Vectors are told apart by bands of their norm, a quarter of a doubling wide, within
+which the order by angle is nearly the order by inner product; a query looks into
+each band. A band of at most `few` vectors is one bucket, compared whole: a norm
+outlier meets every query. A query that finds less than it could
+(k, or all others of its dimension) is compared with all of them, in blocks.
 
-Buckets are a fixed number (tables * 2 * dimension). A bucket with more than
+Buckets are a fixed number per band (tables * 2 * dimension). A bucket with more than
 `room` vectors is dealt over several keys, and its queries to all of them, so no
 task holds more. Of equal vectors only the k + 1 smallest vec_ids can be in any
 answer; the others leave by a ranked window before any exchange of vectors.
@@ -32,6 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirline.llm.common import tasks
+from weirline.sources.scratch import cut, stack
 
 ROUNDS = 3
 
@@ -82,55 +85,67 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def search(
     vectors: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 20,
-    tables: int = 12, probes: int = 9, room: int = 16_384, seed: int = 7,
+    tables: int = 12, probes: int = 9, room: int = 16_384, seed: int = 7, few: int = 1024,
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k nearest found; is_query is a condition on `id`."""
     rows = usable(vectors, key, vector)
     spark = vectors.sparkSession
-    size = rows.agg(F.max("norm").alias("most"), F.min("norm").alias("least")).first()
-    most = size["most"] or 1.0
-    uneven = size["least"] is not None and size["least"] < most * (1 - 1e-5)
+    most = rows.agg(F.max("norm")).first()[0] or 1.0
     equal = W.partitionBy("vec").orderBy("id")
     members = rows.dropDuplicates(["id", "vec"]).withColumn("copy", F.row_number().over(equal)).where(F.col("copy") <= k + 1)
+    members = members.withColumn("band", F.round(4 * F.log2(F.lit(most) / F.col("norm"))).cast("int"))
+    sizes = members.groupBy(F.size("vec").alias("d"), "band").agg(F.count_distinct("id").alias("n")).collect()
+    bands: dict[int, dict[int, bool]] = {}  # per dimension, whether a band is compared whole
+    for r in sizes:
+        bands.setdefault(r["d"], {})[r["band"]] = r["n"] <= few
 
     def hashed(query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids, vecs = b.column("id").to_pylist(), b.column("vec").to_pylist()
-                by_size: dict[int, list[int]] = {}
+                mine = [None] * len(ids) if query else b.column("band").to_pylist()
+                groups: dict[tuple, list[int]] = {}
                 for i, v in enumerate(vecs):
-                    by_size.setdefault(len(v), []).append(i)
-                for d, at in by_size.items():
+                    groups.setdefault((len(v), mine[i]), []).append(i)
+                for (d, band), at in groups.items():
                     x = np.array([vecs[i] for i in at])
-                    norm = np.sqrt((x * x).sum(axis=1, keepdims=True))
-                    unit = x / norm if query else x / most
-                    if uneven:
-                        rest = np.zeros_like(norm) if query else np.sqrt(np.maximum(0.0, 1.0 - (norm / most) ** 2))
-                        unit = np.concatenate([unit, rest], axis=1)
+                    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
                     blob = [v.tobytes() for v in x]
-                    for t in range(tables):
-                        near = axes(unit, seed, t, probes if query else 1)
-                        n = near.shape[1]
-                        yield pa.RecordBatch.from_pydict(
+
+                    def made(names: list[str], n: int) -> pa.RecordBatch:
+                        return pa.RecordBatch.from_pydict(
                             {
-                                "bucket": pa.array([f"{d}:{t}:{a}" for a in near.ravel()], type=pa.string()),
-                                "id": pa.array(np.repeat([ids[i] for i in at], n), type=pa.int64()),
-                                "vec": pa.array([v for v in blob for _ in range(n)], type=pa.binary()),
+                                "bucket": pa.array(names, type=pa.string()),
+                                "id": pa.array(np.repeat([ids[i] for i in at], n), type=pa.int64()),  # noqa: B023
+                                "vec": pa.array([v for v in blob for _ in range(n)], type=pa.binary()),  # noqa: B023
                             }
                         )
 
+                    to = bands.get(d, {}) if query else {band: bands[d][band]}
+                    for whole in (c for c, w in to.items() if w):
+                        yield made([f"{d}:{whole}:all"] * len(at), 1)
+                    hashed_to = [c for c, w in to.items() if not w]
+                    for t in range(tables if hashed_to else 0):
+                        near = axes(unit, seed, t, probes if query else 1)
+                        for c in hashed_to:
+                            yield made([f"{d}:{c}:{t}:{a}" for a in near.ravel()], near.shape[1])
+
         return run
 
     kind = "bucket string, id long, vec binary"
-    index = members.select("id", "vec").mapInArrow(hashed(False), kind)
-    asked = rows.dropDuplicates(["id", "vec"]).where(is_query).select("id", "vec").mapInArrow(hashed(True), kind)
+    index = members.select("id", "vec", "band").mapInArrow(hashed(False), kind)
+    asking = rows.dropDuplicates(["id", "vec"]).where(is_query).select("id", "vec")
+    asked = asking.mapInArrow(hashed(True), kind)
     crowded = {r["bucket"]: -(-r["count"] // room) for r in index.groupBy("bucket").count().where(F.col("count") > room).collect()}
     parts = F.lit(1)
     if crowded:
         parts = F.coalesce(F.create_map(*[F.lit(x) for kv in crowded.items() for x in kv])[F.col("bucket")], F.lit(1))
-    index = index.withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long"))).withColumn("kind", F.lit(0))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumn("kind", F.lit(1))
-    cells = index.unionByName(asked).repartition(tasks(spark), "bucket", "part").sortWithinPartitions("bucket", "part", "kind", "id")
+
+    def dealt(index: DataFrame, asked: DataFrame, parts: Column) -> DataFrame:
+        index = index.withColumn("part", F.pmod(F.xxhash64("id"), parts.cast("long"))).withColumn("kind", F.lit(0))
+        asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).withColumn("kind", F.lit(1))
+        both = stack([index.select("bucket", "part", "kind", "id", "vec"), asked.select("bucket", "part", "kind", "id", "vec")])
+        return both.repartition(tasks(spark), "bucket", "part").sortWithinPartitions("bucket", "part", "kind", "id")
 
     def best(ids: np.ndarray, vecs: np.ndarray, own: int, query: np.ndarray, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest of the candidates, scored once more row by row so that equal vectors score alike."""
@@ -194,8 +209,6 @@ def search(
         if found:
             yield out()
 
-    partial = cells.select("bucket", "part", "kind", "id", "vec").mapInArrow(tile, "query_id long, ids array<long>, scores array<double>")
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Lists of one query come together; they are merged as they come."""
         query, held = None, {}
@@ -219,5 +232,33 @@ def search(
         if held:
             yield out()
 
-    lists = partial.repartition(tasks(spark), "query_id").sortWithinPartitions("query_id")
-    return lists.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    def nearest(cells: DataFrame) -> DataFrame:
+        partial = cells.mapInArrow(tile, "query_id long, ids array<long>, scores array<double>")
+        lists = partial.repartition(tasks(spark), "query_id").sortWithinPartitions("query_id")
+        return lists.mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+
+    found = cut(nearest(dealt(index, asked, parts)))
+    others = members.groupBy(F.size("vec").alias("d")).agg((F.count_distinct("id") - 1).alias("others"))
+    answers = found.groupBy(F.col("query_id").alias("id")).agg(F.count(F.lit(1)).alias("got"))
+    could = asking.select("id", F.size("vec").alias("d")).join(others, "d").join(answers, "id", "left")
+    short = cut(could.where(F.coalesce("got", F.lit(0)) < F.least(F.lit(k), "others")).select("id").distinct())
+    if short.limit(1).count() == 0:
+        return found
+    # Few queries, if any: their whole dimension, block against block.
+    again = asking.join(short, "id").withColumn("d", F.size("vec"))
+    rest = members.withColumn("d", F.size("vec")).join(again.select("d").distinct(), "d", "left_semi")
+    blocks = {r["d"]: -(-r["n"] // room) for r in rest.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = F.create_map(*[F.lit(x) for kv in blocks.items() for x in (str(kv[0]), kv[1])])[F.col("bucket")]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vecs = b.column("vec").to_pylist()
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "bucket": pa.array([str(len(v)) for v in vecs], type=pa.string()), "id": b.column("id"),
+                    "vec": pa.array([np.array(v, dtype=np.float64).tobytes() for v in vecs], type=pa.binary()),
+                }
+            )
+
+    filled = nearest(dealt(*[x.select("id", "vec").mapInArrow(whole, kind) for x in (rest, again)], parts))
+    return stack([found.join(short, F.col("query_id") == F.col("id"), "left_anti"), filled])
