@@ -90,6 +90,20 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def test_article_of_several_elements_is_whole():
+    prose = [f"<p>Sentence {i}, with words, marks; and more of them, so that it is long.</p>" for i in range(10)]
+    plain = [p[3:-4] for p in prose]
+    whole = "\n\n".join(plain)
+    for page in ("<article><h1>Title</h1><div class=body>%s</div></article>", "<div><div><h1>Title</h1><div class=body>%s</div></div><p>x</p></div>"):
+        assert html_text.content("<body>" + page % "".join(prose) + "</body>").startswith("Title\n\n" + whole)
+    sections = f"<article><section>{''.join(prose[:6])}</section><section>{''.join(prose[6:])}</section></article>"
+    assert html_text.content(f"<body>{sections}</body>") == whole
+    items = "".join(f"<li>{p}</li>" for p in plain[3:])
+    assert html_text.content(f"<body><article>{''.join(prose[:3])}<ul>{items}</ul></article></body>") == whole
+    # On a chosen path, though outside of the element that holds nearly all.
+    assert "Outside" in html_text.content(f"<body><div><article>{''.join(prose * 3)}</article></div><div><article><p>Outside, {plain[0]}</p></article></div></body>")
+
+
 def test_long_page_is_whole():
     body = "".join(f"<p>Paragraph {i}, with some text.</p>" for i in range(5000))
     assert html_text.content(f"<body><nav>x</nav><div>{body}</div></body>").count("\n\n") == 4999

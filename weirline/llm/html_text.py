@@ -6,7 +6,8 @@ summed; the paths' ratios (characters, and punctuation, per block) are smoothed
 over neighbouring paths, fused, and compared with a threshold from the page's own
 values. Paths above it are content. Shorter blocks of the article (headings,
 lists) stand beside them: a block is taken, too, when it lies in the smallest
-element that holds most of the content. Menus, headers, footers, sidebars,
+element that holds nearly all of the content (in the article or main around it, if
+there is one), or is a heading just before or after that element. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are never taken;
 they are known by tag, role, class and id.
 
@@ -177,16 +178,30 @@ def content(html: str, width: int = 1) -> str:
             for d, k in enumerate(ids):
                 size[k] += len(said)
                 depth[k] = d
-    holds = [k for k in size if size[k] * 2 > total]
+    holds = [k for k in size if size[k] >= NEARLY_ALL * total]
     home = max(holds, key=lambda k: (depth[k], k)) if holds else 0
     # A single paragraph may hold most of a page: its siblings belong to the article as well.
     for ids, path, _, _ in found:
         if home in ids and path.rsplit("/", 1)[-1] in LEAF and ids[-1] == home and len(ids) > 1:
             home = ids[-2]
             break
-    return "\n\n".join(said for ids, path, _, said in found if home in ids or path in chosen and not home)
+    around = 0
+    for ids, path, _, _ in found:
+        if home in ids:
+            at = ids.index(home)
+            articles = [k for k, tag in zip(ids[: at + 1], path.split("/"), strict=False) if tag in ("article", "main")]
+            home, around = (articles[-1], 0) if articles else (home, ids[at - 1] if at else 0)
+            break
+
+    def beside(ids: tuple[int, ...], path: str) -> bool:
+        return len(ids) > 1 and ids[-2] == around and path.rsplit("/", 1)[-1] in HEADING
+
+    return "\n\n".join(said for ids, path, _, said in found if not home or home in ids or path in chosen or beside(ids, path))
 
 
+#: Share of the chosen text that the article's element holds.
+NEARLY_ALL = 0.9
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li td th dd dt blockquote pre".split())
 
 
