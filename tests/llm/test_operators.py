@@ -104,6 +104,23 @@ def test_article_of_several_elements_is_whole():
     assert "Outside" in html_text.content(f"<body><div><article>{''.join(prose * 3)}</article></div><div><article><p>Outside, {plain[0]}</p></article></div></body>")
 
 
+@pytest.mark.parametrize(
+    "wrapper",
+    ['div class="page has-sidebar"', 'div class="content-with-sidebar"', 'div class="no-sidebar"', 'div class="site has-header"', 'div class="post-search-result"',
+     'div id="main-thread"', "form", "fieldset", 'div class="sidebar"'],
+)
+def test_names_of_wrappers_do_not_remove_the_page(wrapper):
+    prose = "".join(f"<p>Sentence {i}, with words, marks; and more of them, so that it is long.</p>" for i in range(10))
+    noise = '<nav><p>Menu one, two, three, four.</p></nav><div class="site-header"><p>A site, of pages.</p></div><div class="comments"><article><p>I like it, a lot, really.</p></article></div>'
+    want = html_text.content(f"<body><div>{prose}</div></body>")
+    tag = wrapper.split()[0]
+    assert want.count("Sentence") == 10
+    for inner in (f"<article>{prose}</article>", f"<main>{prose}</main>"):
+        assert html_text.content(f"<body><{wrapper}>{inner}{noise}</{tag}></body>") == want
+    side = '<div class="side-bar"><p>Related, and other things.</p></div>'
+    assert html_text.content(f"<body><{wrapper}>{prose}{side}</{tag}></body>") == want
+
+
 def test_long_page_is_whole():
     body = "".join(f"<p>Paragraph {i}, with some text.</p>" for i in range(5000))
     assert html_text.content(f"<body><nav>x</nav><div>{body}</div></body>").count("\n\n") == 4999

@@ -9,7 +9,10 @@ lists) stand beside them: a block is taken, too, when it lies in the smallest
 element that holds nearly all of the content (in the article or main around it, if
 there is one), or is a heading just before or after that element. Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are never taken;
-they are known by tag, role, class and id.
+they are known by tag, role, class and id. A class or id counts by whole tokens
+("site-header"); one with other words in it ("has-sidebar") leaves its blocks to
+the path ratios. No name, form or fieldset removes what holds the page's first
+article or main or, without any, most of its text.
 
 Per page, without shuffle. Nulls: a null html is empty and gives empty text; a
 null page_id and url are kept. A page without content blocks gives empty text.
@@ -43,38 +46,84 @@ CLOSED_BY_BLOCK = frozenset(
 )
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-APART_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebars?|side|aside|widgets?|comments?|replies|reply|respond|disqus"
+APART_WORD = re.compile(
+    r"ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|header|masthead|footer|sidebars?|side|aside|widgets?|comments?|replies|reply|respond|disqus"
     r"|cookies?|consent|gdpr|notices?|notifications?|alerts?|popups?|modal|overlay|newsletter|subscribe|subscription|signup|login|search|share|sharing|social|related|recommended|toolbar"
-    r"|pagination|pager|copyright|legal|disclaimer|skip\w*|toc|hidden|sr-only|user-?content|ugc|thread)(?=$|[\s_-])",
+    r"|pagination|pager|copyright|legal|disclaimer|skip\w*|toc|hidden|sr|only|user-?content|ugc|thread",
     re.I,
 )
+#: Words that may stand beside those of APART_WORD in a name without changing what it says.
+PLACE_WORD = re.compile(r"site|main|top|bottom|left|right|box|bar|list|links?|area|wrap(?:per)?|container|section|block|global|primary|secondary|items?|user|content|\d+", re.I)
 APART_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 MARKS = re.compile(r"[.,;:!?…。，、；：！？·¿¡]")
 
 
-def apart(tag: str, rest: str, within_main: bool) -> bool:
+#: What a tag or name says of an element: part of the article, perhaps not (its paths decide), not by its name, not at all.
+FREE, DOUBTFUL, NAMED, APART_ALWAYS = range(4)
+
+
+def named(value: str) -> int:
+    """NAMED if a token of a class or id says nothing but "apart", DOUBTFUL if it says so among other things."""
+    most = FREE
+    for token in value.split():
+        if APART_WORD.fullmatch(token):
+            return NAMED
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        if any(APART_WORD.fullmatch(w) for w in words):
+            if all(APART_WORD.fullmatch(w) or PLACE_WORD.fullmatch(w) for w in words):
+                return NAMED
+            most = DOUBTFUL
+    return most
+
+
+def apart(tag: str, rest: str, within_main: bool) -> int:
     """Whether an element is no part of the article. A header within the article is its heading."""
-    if tag in APART and not (tag in ("header", "figure", "figcaption") and within_main):
-        return True
+    most = FREE
+    if tag in ("form", "fieldset"):
+        most = NAMED
+    elif tag in APART and not (tag in ("header", "figure", "figcaption") and within_main):
+        return APART_ALWAYS
     if tag in ("html", "body", "main", "article") or not rest:
-        return False
+        return most
     for m in ATTRIBUTE.finditer(rest):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id") and APART_NAME.search(value):
-            return True
-        if name == "role" and value.lower() in APART_ROLE or name == "style" and HIDDEN.search(value):
-            return True
+        if name in ("class", "id"):
+            most = max(most, named(value))
+        if name == "role" and value.lower() in ("form", "search"):
+            most = NAMED
+        elif name == "role" and value.lower() in APART_ROLE or name == "style" and HIDDEN.search(value):
+            return APART_ALWAYS
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-    return False
+            return APART_ALWAYS
+    return most
+
+
+def settled(found: list, kinds: dict[int, int], first: tuple[int, ...]) -> list[tuple[tuple[int, ...], str, int, str]]:
+    """Blocks with the kind of what holds them. A name does not count on an element that holds the page's first article
+    or main, or without any, most of the text."""
+    holders = set(first)
+    if not first:
+        size: dict[int, int] = defaultdict(int)
+        total = 0
+        for ids, _, all_, said in found:
+            if not any(kinds[k] == APART_ALWAYS for k in all_):
+                total += len(said)
+                for k in all_:
+                    size[k] += len(said)
+        holders = {k for k, n in size.items() if 2 * n > total}
+    return [
+        (ids, path, max((kinds[k] for k in all_ if k not in holders or kinds[k] == APART_ALWAYS), default=FREE), said)
+        for ids, path, all_, said in found
+    ]
 
 
-def blocks(html: str) -> list[tuple[tuple[int, ...], str, bool, str]]:
-    """(numbers of the open elements, tag path, apart, text) of each block in page order."""
+def blocks(html: str) -> list[tuple[tuple[int, ...], str, int, str]]:
+    """(numbers of the open elements, tag path, FREE to APART_ALWAYS, text) of each block in page order."""
     out: list = []
-    stack: list[tuple[str, int, bool]] = []
+    stack: list[tuple[str, int, int]] = []
+    kinds: dict[int, int] = {}
+    first: tuple[int, ...] = ()
     text: list[str] = []
     count = 0
 
@@ -84,7 +133,7 @@ def blocks(html: str) -> list[tuple[tuple[int, ...], str, bool, str]]:
             text.clear()
             if said:
                 open_ = [x for x in stack if x[0] not in INLINE]
-                out.append((tuple(x[1] for x in open_), "/".join(x[0] for x in open_), bool(stack) and any(x[2] for x in stack), said))
+                out.append((tuple(x[1] for x in open_), "/".join(x[0] for x in open_), tuple(x[1] for x in stack), said))
 
     def pop(to: int) -> None:
         if any(x[0] not in INLINE for x in stack[to:]):
@@ -144,13 +193,16 @@ def blocks(html: str) -> list[tuple[tuple[int, ...], str, bool, str]]:
         count += 1
         out_ = apart(tag, m[3], any(x[0] in ("article", "main") for x in stack))
         stack.append((tag, count, out_))
+        kinds[count] = out_
+        if tag in ("article", "main") and not first and all(x[2] != APART_ALWAYS for x in stack):
+            first = tuple(x[1] for x in stack)
     flush()
-    return out
+    return settled(out, kinds, first)
 
 
 def content(html: str, width: int = 1) -> str:
     """The page's main text, blocks joined by an empty line."""
-    found = [b for b in blocks(html) if not b[2]]
+    found = [b for b in blocks(html) if b[2] <= DOUBTFUL]
     if not found:
         return ""
     sums: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0])
@@ -196,7 +248,9 @@ def content(html: str, width: int = 1) -> str:
     def beside(ids: tuple[int, ...], path: str) -> bool:
         return len(ids) > 1 and ids[-2] == around and path.rsplit("/", 1)[-1] in HEADING
 
-    return "\n\n".join(said for ids, path, _, said in found if not home or home in ids or path in chosen or beside(ids, path))
+    return "\n\n".join(
+        said for ids, path, kind, said in found if path in chosen or kind == FREE and (not home or home in ids or beside(ids, path))
+    )
 
 
 #: Share of the chosen text that the article's element holds.
