@@ -58,3 +58,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     spark = df.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return df.repartition(tasks, *keys)
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Delete a table that this library has written and no longer needs."""
+    if "/weirline-" not in path:
+        raise ValueError(f"not a table of this library: {path}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
