@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirline.llm import ann, chosen_path, html_text, lm_score, mixing, packing, quality, suffix_dedup, toxicity, url_filter
+from weirline.llm import (
+    ann, chosen_path, hilbert, html_text, lm_score, merkle, mixing, packing, quality, suffix_dedup, toxicity, url_filter, vector_codes,
+)
 from weirline.llm.common import table
 
 
@@ -49,11 +51,26 @@ def op10_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf, "documents"))
+
+
+def op13_hilbert(spark: SparkSession, sf: str) -> DataFrame:
+    return hilbert.shard(table(spark, sf, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_html_text, op3_lm_score, op4_quality, op5_chosen_path, op6_mixing, op7_suffix_dedup, op8_ann, op9_toxicity, op10_packing,
+        op11_vector_codes, op12_merkle, op13_hilbert,
     )
 }
 #: The others have no SQL: they are tested against brute force, exact round trips or held-out labels.
-SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+SQL: dict[str, str] = {
+    "op6_mixing": mixing.SQL, "op11_vector_codes": vector_codes.SQL, "op12_merkle": merkle.SQL, "op13_hilbert": hilbert.SQL,
+}
