@@ -24,19 +24,15 @@ result. Other columns are ignored, so their names cannot clash.
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirline.functions.columns import bind
 from weirline.llm.order import numbered
 from weirline.sources.scratch import cut
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STRIDE = 5
-_NODES = "tree string, n long, level int, lo long, hi long, digest string"
 
 
 def digest(parts: list[Column]) -> Column:
@@ -52,64 +48,56 @@ def _shift(lo: str, level: str) -> Column:
     return F.expr(f"shiftright({lo}, {level})")
 
 
-def _grow(base: int, stride: int):
-    def above(run: list[tuple], n: int) -> Iterator[tuple]:
-        """(level, lo, hi, digest) of the nodes above neighbours of level base, as far as the tree goes."""
-        for level in range(base, base + stride):
-            if (n - 1) >> level == 0:
-                return
-            pairs = [run[i : i + 2] for i in range(0, len(run), 2)]
-            run = [(p[0][0], p[-1][1], hashlib.sha256("".join(d for _, _, d in p).encode()).hexdigest()) for p in pairs]
-            yield from ((level + 1, *node) for node in run)
+def _nodes_above(entries: DataFrame, base: int, stride: int) -> DataFrame:
+    """The nodes of the next levels over the nodes of level base, as far as their trees go."""
+    runs = entries.groupBy("tree", "n", _shift("lo", str(base + stride)).alias("top")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "digest"))).alias("run"))
+    nothing = F.array().cast("array<struct<lo:bigint,hi:bigint,digest:string>>")
+
+    def pair(run: Column, i: Column) -> Column:
+        a, b = F.get(run, i * 2), F.get(run, i * 2 + 1)
+        return F.struct(a["lo"].alias("lo"), F.coalesce(b["hi"], a["hi"]).alias("hi"), digest([a["digest"], F.coalesce(b["digest"], F.lit(""))]).alias("digest"))
+
+    def up(held: Column, level: Column) -> Column:
+        run = held["run"]
+        pairs = F.transform(F.sequence(F.lit(0), F.floor((F.size(run) - 1) / 2).cast("int")), lambda i: pair(run, i))
+        whole = F.when(F.call_function("shiftright", F.col("n") - 1, level) > 0, pairs).otherwise(nothing)
+        return bind(
+            whole,
+            lambda r: F.struct(
+                r.alias("run"),
+                F.concat(held["out"], F.transform(r, lambda v: F.struct((level + 1).alias("level"), v["lo"].alias("lo"), v["hi"].alias("hi"), v["digest"].alias("digest")))).alias("out"),
+            ),
+        )
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [
-                (r["tree"], r["n"], *node)
-                for r in batch.to_pylist()
-                for node in above([(e["lo"], e["hi"], e["digest"]) for e in r["run"]], r["n"])
-            ]
-            columns = list(zip(*rows)) if rows else [[]] * 6
-            kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names=["tree", "n", "level", "lo", "hi", "digest"])
+    start = F.struct(F.col("run"), F.array().cast("array<struct<level:int,lo:bigint,hi:bigint,digest:string>>").alias("out"))
+    built = F.aggregate(F.sequence(F.lit(base), F.lit(base + stride - 1)), start, up, lambda held: held["out"])
+    return runs.select("tree", "n", F.inline(built))
 
-    return work
 
+def _steps(nodes: DataFrame) -> DataFrame:
+    """(tree, level, lo, hi, step) of all nodes but the roots.
 
-def _nodes_above(entries: DataFrame, base: int, stride: int) -> DataFrame:
-    """The nodes of the next levels over the nodes of level base."""
-    top = _shift("lo", str(base + stride))
-    runs = entries.groupBy("tree", "n", top.alias("top")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "digest"))).alias("run"))
-    return runs.drop("top").mapInArrow(_grow(base, stride), _NODES)
+    Nodes meet under their parent, two at most, whose interval is what they cover together.
+    """
+    children = nodes.where(_shift("n - 1", "level") > 0).withColumn("bucket", _shift("lo", "level + 1"))
+    families = children.groupBy("tree", "level", "bucket").agg(
+        F.min("lo").alias("p_lo"), F.max("hi").alias("p_hi"), F.collect_list(F.struct("lo", "hi", "digest")).alias("held")
+    )
 
+    def sibling(own: Column) -> Column:
+        """What is left of the parent's interval without the node's own; null for a lone node."""
+        left, right = own["lo"] > F.col("p_lo"), own["hi"] < F.col("p_hi")
+        o_lo = F.when(left, F.col("p_lo")).when(right, own["hi"] + 1)
+        o_hi = F.when(left, own["lo"] - 1).when(right, F.col("p_hi"))
+        return F.get(F.filter("held", lambda other: (other["lo"] == o_lo) & (other["hi"] == o_hi)), F.lit(0))
 
-def _steps(nodes: DataFrame) -> DataFrame:
-    """(tree, level, lo, hi, step) of all nodes but the roots, from the parent's interval."""
-    children = nodes.where(_shift("n - 1", "level") > 0)
-    own = children.withColumns({"up": F.col("level") + 1, "bucket": _shift("lo", "level + 1")})
-    parents = nodes.select(
-        F.col("tree").alias("p_tree"), F.col("level").alias("p_level"), _shift("lo", "level").alias("p_bucket"), F.col("lo").alias("p_lo"), F.col("hi").alias("p_hi")
-    )
-    under = own.join(
-        parents,
-        (F.col("tree") == F.col("p_tree")) & (F.col("up") == F.col("p_level")) & (F.col("bucket") == F.col("p_bucket"))
-        & (F.col("p_lo") <= F.col("lo")) & (F.col("hi") <= F.col("p_hi")),
-    )
-    left, right = F.col("lo") > F.col("p_lo"), F.col("hi") < F.col("p_hi")
-    rest = under.select(
-        "tree", "level", "lo", "hi",
-        F.when(left, F.col("p_lo")).when(right, F.col("hi") + 1).alias("o_lo"), F.when(left, F.col("lo") - 1).when(right, F.col("p_hi")).alias("o_hi"),
-    )
-    others = children.select(
-        F.col("tree").alias("s_tree"), F.col("level").alias("s_level"), F.col("lo").alias("s_lo"), F.col("hi").alias("s_hi"), F.col("digest").alias("s_digest")
-    )
-    met = rest.join(
-        others,
-        (F.col("tree") == F.col("s_tree")) & (F.col("level") == F.col("s_level")) & (F.col("o_lo") == F.col("s_lo")) & (F.col("o_hi") == F.col("s_hi")),
-        "left",
-    )
-    side = F.when(F.col("s_lo") < F.col("lo"), F.lit("L")).otherwise(F.lit("R"))
-    return met.select("tree", "level", "lo", "hi", F.when(F.col("o_lo").isNull(), F.lit("-")).otherwise(F.concat(side, F.col("s_digest"))).alias("step"))
+    def step(own: Column) -> Column:
+        other = sibling(own)
+        side = F.when(other["lo"] < own["lo"], F.lit("L")).otherwise(F.lit("R"))
+        return F.when(other.isNull(), F.lit("-")).otherwise(F.concat(side, other["digest"]))
+
+    stepped = F.transform("held", lambda own: F.struct(own["lo"].alias("lo"), own["hi"].alias("hi"), step(own).alias("step")))
+    return families.select("tree", "level", F.inline(stepped))
 
 
 def _attached(entries: DataFrame, steps: DataFrame, base: int, stride: int) -> DataFrame:
@@ -120,8 +108,9 @@ def _attached(entries: DataFrame, steps: DataFrame, base: int, stride: int) -> D
     holder = steps.select(
         F.col("tree").alias("a_tree"), F.col("level").alias("a_level"), _shift("lo", "level").alias("a_bucket"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), "step"
     )
+    # Both sides grow with the rows: merged, never broadcast.
     inside = below.join(
-        holder,
+        holder.hint("merge"),
         (F.col("tree") == F.col("a_tree")) & (F.col("level") == F.col("a_level")) & (F.col("bucket") == F.col("a_bucket"))
         & (F.col("a_lo") <= F.col("lo")) & (F.col("hi") <= F.col("a_hi")),
     )
@@ -154,7 +143,7 @@ def forest(leaves: DataFrame, stride: int = STRIDE) -> tuple[DataFrame, DataFram
             continue
         higher = full.select(F.col("tree").alias("h_tree"), _shift("lo", str(base + stride)).alias("h_bucket"), F.col("path").alias("rest"))
         met = own.withColumn("bucket", _shift("lo", str(base + stride))).join(
-            higher, (F.col("tree") == F.col("h_tree")) & (F.col("bucket") == F.col("h_bucket")), "left"
+            higher.hint("merge"), (F.col("tree") == F.col("h_tree")) & (F.col("bucket") == F.col("h_bucket")), "left"
         )
         full = cut(met.select("tree", "lo", F.concat("path", F.coalesce("rest", F.array().cast("array<string>"))).alias("path")))
     if full is None:
@@ -197,7 +186,7 @@ def proved(docs: DataFrame) -> DataFrame:
     top = cut(top.select(F.col("lang_tree").alias("tree"), F.col("digest").alias("subroot"), F.col("path").alias("crown_path"), "root"))  # one row per lang
     none = F.array().cast("array<string>")
     whole = F.concat(F.coalesce("path", none), F.coalesce("crown_path", none))
-    return ranked.join(paths, ["tree", "lo"], "left").join(top, "tree").select(
+    return ranked.join(paths.hint("merge"), ["tree", "lo"], "left").join(top, "tree").select(
         "doc_id", F.col("digest").alias("leaf"), "tampered", whole.alias("path"), "subroot", "root"
     )
 
