@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirline.functions import columns as C
-from weirline.operators import curve, ensemble, forest, gate, linear, neighbours, reports, screening, skill, split
+from weirline.operators import curve, ensemble, forest, gate, linear, neighbours, reports, screening, skill, splines, split
 from weirline.plans import q_models
 from weirline.plans.workflow import Settings, run
 from weirline.sources import panel
@@ -139,15 +139,23 @@ def test_gam_bends(spark):
     x = draw.uniform(-3, 3, 200)
     rows = [("A", d, "train" if i < 160 else "test", -1 if i < 160 else 0, float(abs(x[i])), float(x[i])) for i, d in enumerate(days(200))]
     df = spark.createDataFrame(rows, "section_id string, date date, split string, block int, measured_flow double, x double")
-    bent = linear.gam_predictions(df, ["x"], knots=5, ridges=(0.001,)).toPandas()
+    bent = splines.spline_predictions(df, ["x"], (10,), (0.01,), k=0).toPandas()
     assert np.abs(bent["pred"] - bent["y"]).mean() < 0.15
 
 
-def test_trees_beat_the_mean(blocks):
-    for alg, params in (("RF", {"numTrees": 10, "maxDepth": 5}), ("AdaB", {"rounds": 3, "rate": 0.5})):
-        preds = forest.forest_predictions(blocks, ["a", "b", "c"], alg, params)
-        scored = skill.metric_suite(preds.where("split = 'test'"), ["section_id"]).toPandas()
-        assert (scored["NSE"] > 0.2).all(), (alg, scored)
+@pytest.mark.parametrize("alg,params,scope", [
+    ("RF", {"numTrees": 10, "maxDepth": 5}, "section"), ("RF", {"numTrees": 10, "maxDepth": 5}, "panel"),
+    ("AdaB", {"rounds": 3, "rate": 0.5}, "section"), ("DT", {"maxDepth": None}, "section"), ("DT", {"maxDepth": None}, "panel"),
+])
+def test_trees_beat_the_mean(blocks, alg, params, scope):
+    preds = forest.forest_predictions(blocks, ["a", "b", "c"], alg, params, scope=scope)
+    scored = skill.metric_suite(preds.where("split = 'test'"), ["section_id"]).toPandas()
+    assert (scored["NSE"] > 0.2).all(), scored
+
+
+def test_boosting_by_reweighting_is_per_section(blocks):
+    with pytest.raises(ValueError, match="per section only"):
+        forest.forest_predictions(blocks, ["a", "b", "c"], "AdaB", {"rounds": 3, "rate": 0.5}, scope="panel")
 
 
 def test_weighted_median(spark):

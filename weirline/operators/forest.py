@@ -1,9 +1,9 @@
-"""Tree experts on pyspark.ml, fitted forward in time.
+"""Tree experts, fitted forward in time: one model per section, or one for all.
 
-One distributed fit serves all sections (``scope='panel'``): target and
-flow-like inputs are divided by the section's mean train flow, which leaves a
-single-section tree unchanged and makes sections comparable. ``scope='section'``
-fits a model per listed section instead.
+``scope='section'`` (the default) fits every section and fold by itself, all in one
+job, and answers a whole grid from as few fits as it takes (``trees``, ``ensembles``).
+``scope='panel'`` is one distributed ``pyspark.ml`` fit for all sections: target and
+flow-like inputs are divided by the section's mean train flow, which makes sections comparable.
 """
 
 from __future__ import annotations
@@ -19,36 +19,35 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weirline.functions import columns as C
+from weirline.operators import ensembles, trees
 from weirline.operators.ensemble import best_by
+from weirline.operators.screening import importance_from_copies, permuted_copies
 from weirline.operators.skill import scores
 from weirline.sources.scratch import cut, stack
 
 UNSCALED = ("season_sin", "season_cos", "I_t", "ag_share", "ind_share", "dom_share", "D_phase")
 
-# The parameter grids. Depth 30 is the deepest Spark grows.
+# The parameter grids. A depth of None is no limit.
 GRIDS: dict[str, list[dict]] = {
-    "DT": [{"maxDepth": d, "minInstancesPerNode": m} for d in (5, 10, 30) for m in (1, 5)],
-    "RF": [{"numTrees": t, "maxDepth": d} for t in (100, 300) for d in (10, 30)],
+    "DT": [{"maxDepth": d, "minInstancesPerNode": m} for d in (None, 5, 10) for m in (1, 5)],
+    "RF": [{"numTrees": t, "maxDepth": d} for t in (100, 300) for d in (None, 10)],
     "GB": [{"maxIter": n, "maxDepth": d} for n in (100, 300) for d in (2, 3)],
     "LGBM": [
-        {"maxIter": 200, "stepSize": s, "maxDepth": 5, "minInstancesPerNode": m, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+        {"maxIter": n, "stepSize": s, "maxDepth": 5, "minInstancesPerNode": m, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}
+        for n in (200, 400)
         for s in (0.05, 0.1)
         for m in (5, 20)
     ],
     "AdaB": [{"rounds": n, "rate": r} for n in (100, 300) for r in (0.05, 0.1, 0.2)],
 }
-# One or two settings per expert: what a run tries unless told otherwise.
-DEFAULTS: dict[str, list[dict]] = {
-    "DT": [{"maxDepth": 5, "minInstancesPerNode": 1}, {"maxDepth": 10, "minInstancesPerNode": 5}],
-    "RF": [{"numTrees": 100, "maxDepth": 10}],
-    "GB": [{"maxIter": 100, "maxDepth": 2}, {"maxIter": 100, "maxDepth": 3}],
-    "LGBM": [GRIDS["LGBM"][0]],
-    "AdaB": [{"rounds": 50, "rate": 0.1}],
-}
+#: The deepest tree that pyspark.ml grows.
+_POOLED_DEPTH = 30
 _MAKERS = {"DT": DecisionTreeRegressor, "RF": RandomForestRegressor, "GB": GBTRegressor, "LGBM": GBTRegressor}
 
 
 def estimator(alg: str, seed: int = 42, **params):
+    if params.get("maxDepth", 0) is None:
+        params["maxDepth"] = _POOLED_DEPTH
     return _MAKERS[alg.removesuffix("_LAG")](featuresCol="_x", labelCol="_y", predictionCol="_pred", seed=seed, **params)
 
 
@@ -112,31 +111,51 @@ def _forward(blocks: DataFrame, features: list[str], fit: Fit, alg: str, k: int,
         return stack(pool.map(one, range(k + 1)))
 
 
-def forest_predictions(
+def _in_section(
+    blocks: DataFrame, features: list[str], alg: str, grid: list[dict], k: int, y: str, seed: int
+) -> DataFrame:
+    base = alg.removesuffix("_LAG")
+    if base == "DT":
+        return trees.tree_predictions(blocks, features, alg, grid, k, y)
+    unlimited = [{**g, "maxDepth": ensembles.UNLIMITED} if g.get("maxDepth", 0) is None else g for g in grid]
+    return ensembles.staged_predictions(blocks, features, alg, unlimited, k, y, seed)
+
+
+def grid_predictions(
     blocks: DataFrame,
     features: list[str],
     alg: str,
-    params: dict,
+    grid: list[dict],
     k: int = 3,
     y: str = "measured_flow",
     seed: int = 42,
-    scope: str = "panel",
-    sections: list[str] | None = None,
+    scope: str = "section",
     threads: int = 4,
 ) -> DataFrame:
-    """Out-of-fold (blocks below k) and test (block k) predictions of one setting."""
+    """Out-of-fold (blocks below k) and test (block k) predictions of every setting, its number in ``point``."""
+    if scope == "section":
+        return _in_section(blocks, features, alg, grid, k, y, seed)
+    if scope != "panel":
+        raise ValueError(f"scope must be section or panel, not {scope}")
     if alg.startswith("AdaB"):
-        fit = _boosted(seed=seed, **params)
-    else:
-        fit = _plain(lambda: estimator(alg, seed, **params))
-    if scope == "panel":
-        return _forward(blocks, features, fit, alg, k, y, threads)
-    if not sections:
-        raise ValueError("scope='section' needs the sections to fit")
-    parts = [
-        _forward(blocks.where(F.col("section_id") == s), features, fit, alg, k, y, threads) for s in sections
+        raise ValueError("AdaBoost is fitted per section only: its weights belong to a section")
+    tried = [
+        _forward(blocks, features, _plain(lambda params=params: estimator(alg, seed, **params)), alg, k, y, threads)
+        .withColumn("point", F.lit(i))
+        for i, params in enumerate(grid)
     ]
-    return stack(parts)
+    return stack(tried)
+
+
+def forest_predictions(blocks: DataFrame, features: list[str], alg: str, params: dict, k: int = 3, **kw) -> DataFrame:
+    """Out-of-fold and test predictions of one setting."""
+    return grid_predictions(blocks, features, alg, [params], k, **kw).drop("point")
+
+
+def grid_scores(preds: DataFrame) -> DataFrame:
+    """(section_id, point, score): mean fold score of every setting."""
+    per_fold = scores(preds.where(F.col("split") == "train"), ["section_id", "point", "block"], C.HMEAN_GRID)
+    return per_fold.groupBy("section_id", "point").agg(F.avg("hmean").alias("score"))
 
 
 def grid_search(
@@ -149,19 +168,13 @@ def grid_search(
     """
     began = time.perf_counter()
     grid = grid if grid is not None else GRIDS[alg.removesuffix("_LAG")]
-    tried = [
-        forest_predictions(blocks, features, alg, params, k, **kw).withColumn("point", F.lit(i))
-        for i, params in enumerate(grid)
-    ]
-    preds = cut(stack(tried))
-    per_fold = scores(preds.where(F.col("split") == "train"), ["section_id", "point", "block"], C.HMEAN_GRID)
-    means = per_fold.groupBy("section_id", "point").agg(F.avg("hmean").alias("score"))
-    best = cut(best_by(means, ["section_id"], "score", ["point"]))
+    preds = cut(grid_predictions(blocks, features, alg, grid, k, **kw))
+    best = cut(best_by(grid_scores(preds), ["section_id"], "score", ["point"]))
     kept = preds.join(best.select("section_id", "point"), ["section_id", "point"]).drop("point")
     return best, kept, time.perf_counter() - began
 
 
-# ---- AdaBoost.R2 (Drucker 1997) with weighted trees
+# ---- the weighted median behind AdaBoost.R2, as a column
 
 
 def weighted_median(values, weights) -> Column:
@@ -178,52 +191,11 @@ def weighted_median(values, weights) -> Column:
     return F.aggregate(pairs, start, walk, lambda acc: acc["hit"])
 
 
-def _boosted(rounds: int = 10, rate: float = 0.1, depth: int = 3, seed: int = 42) -> Fit:
-    """Boosting by reweighting. Row weights and expert weights are kept per section."""
-
-    def fit(train: DataFrame, rows: DataFrame) -> DataFrame:
-        one = Window.partitionBy("section_id")
-        state = train.withColumn("_w", F.lit(1.0) / F.count("*").over(one)).withColumn("_over", F.lit(False))
-        models, says = [], None
-        for r in range(rounds):
-            tree = DecisionTreeRegressor(
-                featuresCol="_x", labelCol="_y", predictionCol="_pred", weightCol="_w", maxDepth=depth, seed=seed + r
-            ).fit(state)
-            loss = F.try_divide(F.col("_e"), F.max("_e").over(one))
-            judged = (
-                tree.transform(state)
-                .withColumn("_e", F.abs(F.col("_y") - F.col("_pred")))
-                .withColumn("_l", F.coalesce(loss, F.lit(0.0)))
-                .withColumn("_bar", F.sum(F.col("_w") * F.col("_l")).over(one))
-            )
-            # A section stops at a perfect tree, which counts, or at a mean loss of one half, where the tree counts only if it is the first.
-            useful = ~F.col("_over") & (F.col("_bar") < 0.5) & (F.col("_bar") > 0)
-            beta = F.col("_bar") / (F.lit(1.0) - F.col("_bar"))
-            say = F.when(useful, F.lit(-rate) * F.ln(beta)).when(~F.col("_over") & (F.col("_bar") <= 0), 1.0).otherwise(0.0 if r else 1e-12)
-            moved = F.when(useful, F.col("_w") * F.pow(beta, (F.lit(1.0) - F.col("_l")) * F.lit(rate))).otherwise(F.col("_w"))
-            judged = cut(
-                judged.withColumn("_say", say)
-                .withColumn("_new", moved)
-                .withColumn("_over", ~useful)
-                .withColumn("_w", F.col("_new") / F.sum("_new").over(one))
-                .drop("_e", "_l", "_bar", "_new", "_pred")
-            )
-            say = judged.groupBy("section_id").agg(F.max("_say").alias(f"_say{r}"))
-            says = say if says is None else says.join(say, "section_id")
-            state = judged.drop("_say")
-            models.append(tree)
-        out = rows.join(says, "section_id")
-        for r, tree in enumerate(models):
-            out = tree.transform(out).withColumnRenamed("_pred", f"_pred{r}")
-        every = range(rounds)
-        median = weighted_median(F.array(*[F.col(f"_pred{r}") for r in every]), F.array(*[F.col(f"_say{r}") for r in every]))
-        return out.withColumn("_pred", median)
-
-    return fit
-
-
 # ---- stability screening with two kinds of trees
 
+#: What a permuted copy is known by: repeat, shuffled input + 1 and day in one number.
+_REPEAT, _INPUT, _DAY0 = 1 << 44, 1 << 28, 1 << 27
+
 
 def stability_importances(
     blocks: DataFrame,
@@ -233,34 +205,46 @@ def stability_importances(
     repeats: int = 8,
     models: dict[str, dict] | None = None,
     y: str = "measured_flow",
-    threads: int = 4,
 ) -> DataFrame:
-    """(section_id, seed, model, fold, feature, importance) over seeds x models x folds."""
-    from weirline.operators.screening import permutation_importance
-
-    models = models or {"RF": {"numTrees": 200, "maxDepth": 10}, "LGBM": {"maxIter": 400, "stepSize": 0.1, "maxDepth": 5}}
-    train_rows = blocks.where(F.col("split") == "train").dropna(subset=[*features, y])
-    ready = cut(train_rows.select("section_id", "date", "split", "block", y, *features))
-    scales = cut(_scales(ready, y))
-
-    def run(job: tuple[int, str, int]) -> DataFrame:
-        seed, alg, fold = job
-        scale = scales.where(F.col("block") == fold).select("section_id", "_scale")
-        scaled = ready.join(scale, "section_id").select(
-            "section_id", "date", "block", (F.col(y) / F.col("_scale")).alias("y"),
-            *[F.col(c).cast("double").alias(c) if c in UNSCALED else (F.col(c) / F.col("_scale")).alias(c) for c in features],
+    """(section_id, seed, model, fold, feature, importance) over seeds x models x folds.
+
+    Every seed counts as k folds of its own, so one job per model fits all seeds, folds
+    and sections and scores all permuted copies on the way.
+    """
+    models = models or {
+        "RF": {"numTrees": 200, "maxDepth": None},
+        "LGBM": {"maxIter": 400, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20},
+    }
+    ready = blocks.where(F.col("split") == "train").dropna(subset=[*features, y])
+    ready = cut(ready.select("section_id", "date", "block", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in features]))
+    x = F.array(*[F.col(c) for c in features])
+    each = F.explode(F.array(*[F.lit(i * k) for i in range(len(seeds))]))
+    later = F.sequence(F.greatest(F.col("block") + 1, F.lit(0)), F.lit(k - 1))
+    teach = (
+        ready.where(F.col("block") < k - 1)
+        .withColumn("_first", each)
+        .select("section_id", F.explode(F.transform(later, lambda f: F.col("_first") + f)).alias("fold"), F.lit(True).alias("train"), F.unix_date("date").cast("long").alias("tag"), "y", x.alias("x"))
+    )
+    asked = ready.where("block >= 0").withColumn("_first", each).withColumn("fold", F.col("_first") + F.col("block")).drop("_first")
+    copies = permuted_copies(asked, features, 0, repeats, ["section_id", "fold"])
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, features)), F.col("shuffled")), F.lit(0))
+    tag = F.col("repeat").cast("long") * _REPEAT + number * _INPUT + F.unix_date("date").cast("long") + _DAY0
+    cases = cut(stack([teach, copies.select("section_id", "fold", F.lit(False).alias("train"), tag.alias("tag"), "y", x.alias("x"))]))
+
+    def run(name: str) -> DataFrame:
+        params = models[name]
+        params = {**params, "maxDepth": ensembles.UNLIMITED} if params["maxDepth"] is None else params
+        found = ensembles.case_predictions(cases, len(features), name, [params])
+        place = F.expr(f"(tag % {_REPEAT}) div {_INPUT}").cast("int")
+        scored = found.select(
+            "section_id", F.col("fold").alias("run"), "y", F.col("preds")[0].alias("pred"), F.expr(f"(tag div {_REPEAT})").cast("int").alias("repeat"),
+            F.when(place > 0, F.get(F.array(*map(F.lit, features)), place - 1)).alias("shuffled"),
         )
-        fitted = estimator(alg, seed, **models[alg]).fit(
-            assemble(scaled.where(F.col("block") < fold), features).withColumnRenamed("y", "_y")
+        seed = F.get(F.array(*map(F.lit, seeds)), F.expr(f"run div {k}").cast("int"))
+        return cut(
+            importance_from_copies(scored, ["section_id", "run"])
+            .withColumns({"seed": seed, "model": F.lit(name), "fold": F.pmod("run", F.lit(k))})
+            .drop("run")
         )
 
-        def score(copies: DataFrame) -> DataFrame:
-            return fitted.transform(assemble(copies, features)).withColumnRenamed("_pred", "pred")
-
-        val = scaled.where(F.col("block") == fold).withColumn("fold", F.lit(fold))
-        found = permutation_importance(val, features, score, seed, repeats)
-        return cut(found.withColumns({"seed": F.lit(seed), "model": F.lit(alg)}))
-
-    jobs = [(s, m, f) for s in seeds for m in models for f in range(k)]
-    with ThreadPoolExecutor(threads) as pool:
-        return stack(pool.map(run, jobs))
+    return stack([run(name) for name in models])

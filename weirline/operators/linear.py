@@ -149,35 +149,3 @@ def line_predictions(blocks: DataFrame, feature: str, alg: str = "MLR", y: str =
             (F.col("_my") + F.col("_slope") * (x - F.col("_mx"))).alias("pred"),
         )
     )
-
-
-# Additive smooth terms: straight line plus hinges at train quantiles of each input.
-
-
-def hinge_knots(train: DataFrame, features: list[str], knots: int) -> DataFrame:
-    """(section_id, <feature>_knots): inner quantiles of each input on train rows."""
-    shares = F.array(*[F.lit((i + 1) / (knots + 1)) for i in range(knots)])
-    return train.groupBy("section_id").agg(
-        *[F.percentile(F.col(c).cast("double"), shares).alias(f"{c}_knots") for c in features]
-    )
-
-
-def gam_predictions(
-    blocks: DataFrame,
-    features: list[str],
-    knots: int = 3,
-    ridges: tuple[float, ...] = (0.1, 1.0, 10.0),
-    y: str = "measured_flow",
-) -> DataFrame:
-    """Additive spline regression per section, penalised on the hinge terms only."""
-    placed = hinge_knots(blocks.where(F.col("split") == "train"), features, knots)
-    # One array column instead of a column per hinge keeps the plan small.
-
-    def above(c: str) -> Column:
-        return F.transform(f"{c}_knots", lambda k: F.greatest(F.col(c).cast("double") - k, F.lit(0.0)))
-
-    hinges = [above(c) for c in features]
-    wide = plain_design(blocks, features).join(placed, "section_id")
-    designed = wide.withColumn("design", F.concat("design", *hinges)).select(*blocks.columns, "design")
-    betas = fit_linear(designed, len(features) * (knots + 1), y, ridges, ridge_free=len(features))
-    return predict_linear(designed, betas, "GAM", y)

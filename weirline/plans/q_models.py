@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weirline.operators import ensemble, features, forest, gate, linear, reports, split
+from weirline.functions import columns as C
+from weirline.operators import ensemble, features, forest, gate, linear, reports, sequence, skill, splines, split
 from weirline.plans.common import ALGS, base_view, expert_predictions, gated, split_flows, tidy, two_views, write_views
 from weirline.plans.oracle import KNN_INPUTS, compose, register, rounded, suite
 from weirline.plans.q_skill import matrix_parts, soft_weights, weigh_softly
@@ -53,66 +54,143 @@ def exp_mlr_many_inputs(spark, folder):
     return tidy(linear.mlr_predictions(lag, list(features.LAG_INPUTS), "MLR_LAG"))
 
 
+def _best_of(tried, names):
+    """Predictions of each section's best setting by mean fold score."""
+    tried = cut(tried)
+    per_fold = skill.scores(ensemble.out_of_fold(tried), ["section_id", *names, "fold"], C.HMEAN_GRID)
+    means = per_fold.groupBy("section_id", *names).agg(F.avg("hmean").alias("score"))
+    best = ensemble.best_by(means, ["section_id"], "score", names).select("section_id", *names)
+    return tried.join(best, ["section_id", *names])
+
+
 @query("exp_gam")
 def exp_gam(spark, folder):
-    return tidy(linear.gam_predictions(base_view(spark, folder), BASE))
+    """Splines in 10 and 20 pieces under three penalties; the best setting of each section."""
+    return tidy(_best_of(splines.spline_predictions(base_view(spark, folder), BASE), ["splines", "lam"]))
 
 
-# Forest and boosting at full size, LGBM-style boosting with few trees; the library's own grids are in forest.GRIDS.
-_TREES = {
-    "exp_dt": ("DT", {"maxDepth": 5, "minInstancesPerNode": 5}),
-    "exp_rf": ("RF", {"numTrees": 100, "maxDepth": 10}),
-    "exp_gb": ("GB", {"maxIter": 100, "maxDepth": 2}),
-    "exp_lgbm": ("LGBM", {"maxIter": 5, "stepSize": 0.2, "maxDepth": 5, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"}),
-}
+# The whole grid of every tree expert, one model per section and fold; the setting with the best fold score gives the predictions.
+def _tree_expert(name, alg):
+    @query(name)
+    def fit(spark, folder):
+        _, kept, _ = forest.grid_search(cut(_tree_blocks(spark, folder)), TREE_INPUTS, alg)
+        return tidy(kept)
+
+
+for _name, _alg in (("exp_dt", "DT"), ("exp_rf", "RF"), ("exp_gb", "GB"), ("exp_lgbm", "LGBM"), ("exp_adab", "AdaB")):
+    _tree_expert(_name, _alg)
 
 
-def _tree_query(name, alg, params):
+def _lag_twin(name, alg):
     @query(name)
     def fit(spark, folder):
-        return tidy(forest.forest_predictions(_tree_blocks(spark, folder), TREE_INPUTS, alg, params))
+        _, lag = two_views(spark, folder)
+        _, kept, _ = forest.grid_search(lag, list(features.LAG_INPUTS), f"{alg}_LAG")
+        return tidy(kept)
 
 
-for _name, (_alg, _params) in _TREES.items():
-    _tree_query(_name, _alg, _params)
+for _name, _alg in (
+    ("exp_lag_dt_twin", "DT"), ("exp_lag_tree_twin", "RF"), ("exp_lag_gb_twin", "GB"), ("exp_lag_lgbm_twin", "LGBM"), ("exp_lag_adab_twin", "AdaB"),
+):
+    _lag_twin(_name, _alg)
 
 
-@query("exp_adab")
-def exp_adab(spark, folder):
-    blocks = _tree_blocks(spark, folder, 2)
-    return tidy(forest.forest_predictions(blocks, TREE_INPUTS, "AdaB", {"rounds": 3, "rate": 0.5}, k=2))
+@query("exp_rf_pooled")
+def exp_rf_pooled(spark, folder):
+    """One forest for all sections, on inputs scaled by section."""
+    params = {"numTrees": 100, "maxDepth": 10}
+    return tidy(forest.forest_predictions(_tree_blocks(spark, folder), TREE_INPUTS, "RF", params, scope="panel"))
 
 
-@query("exp_lag_tree_twin")
-def exp_lag_tree_twin(spark, folder):
-    _, lag = two_views(spark, folder)
-    return tidy(forest.forest_predictions(lag, list(features.LAG_INPUTS), "RF_LAG", {"numTrees": 10, "maxDepth": 5}))
+# ---- trees of depth 1 and 2 in SQL
+
+_X = "[" + ", ".join(TREE_INPUTS) + "]"
+register(
+    "tree_rows",
+    f"""SELECT b.section_id, b.date, b.split, b.block, b.measured_flow AS y, {_X} AS x, f.fold, b.block < f.fold AND b.split = 'train' AS train
+    FROM based b JOIN (VALUES (0), (1), (2), (3)) f(fold) ON b.block = f.fold OR (b.block < f.fold AND b.split = 'train')""",
+)
+register(
+    "tree_state0",
+    """SELECT r.*, least, 1 AS node, avg(CASE WHEN train THEN y END) OVER (PARTITION BY section_id, fold, least) AS pred
+    FROM tree_rows r, (VALUES (1), (5)) l(least)""",
+)
+
+
+def _split_level(level: int) -> None:
+    node = "section_id, fold, least, node"
+    register(
+        f"tree_sums{level}",
+        f"""SELECT {node}, input, x[input] AS value, count(*) AS n, sum(y) AS s, sum(y * y) AS q
+        FROM tree_state{level}, range(1, {len(TREE_INPUTS) + 1}) i(input) WHERE train AND node IS NOT NULL GROUP BY ALL""",
+    )
+    register(
+        f"tree_split{level}",
+        f"""SELECT {node}, input, (value + following) / 2 AS threshold, ls / ln AS left_value, (ts - ls) / (tn - ln) AS right_value
+        FROM (SELECT *, round((ls * ls / ln + (ts - ls) ** 2 / (tn - ln) - ts * ts / tn) / (tq - ts * ts / tn), 9) AS gain
+              FROM (SELECT {node}, input, value, lead(value) OVER o AS following, sum(n) OVER o AS ln, sum(s) OVER o AS ls,
+                      sum(n) OVER p AS tn, sum(s) OVER p AS ts, sum(q) OVER p AS tq FROM tree_sums{level}
+                    WINDOW o AS (PARTITION BY {node}, input ORDER BY value), p AS (PARTITION BY {node}, input))
+              WHERE following IS NOT NULL AND ln >= least AND tn - ln >= least AND tq - ts * ts / tn > 1e-12 * tq)
+        WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY gain DESC, input, value) = 1""",
+    )
+    register(
+        f"tree_state{level + 1}",
+        f"""SELECT t.* EXCLUDE (node, pred), CASE WHEN s.input IS NOT NULL THEN t.node * 2 + (x[s.input] > threshold)::integer END AS node,
+          CASE WHEN s.input IS NULL THEN pred WHEN x[s.input] > threshold THEN right_value ELSE left_value END AS pred
+        FROM tree_state{level} t LEFT JOIN tree_split{level} s
+          ON s.section_id = t.section_id AND s.fold = t.fold AND s.least = t.least AND s.node = t.node""",
+    )
+
+
+for _level in (0, 1):
+    _split_level(_level)
+
+_SHALLOW = [{"maxDepth": d, "minInstancesPerNode": m} for d in (1, 2) for m in (1, 5)]
 
 
-def _flat_windows(spark, folder, length):
-    rows = split_flows(spark, folder)
-    windows = features.sequence_windows(rows, ["natural_flow", "rainfall"], length)
-    cells = {f"{c}_{i}": F.col("window")[i][j] for i in range(length) for j, c in enumerate(("natural_flow", "rainfall"))}
-    return split.forward_blocks(windows.withColumns(cells).drop("window"), 2), list(cells)
+@query(
+    "exp_dt_shallow",
+    compose(
+        " UNION ALL ".join(
+            f"SELECT {KEY}, split, 'DT' AS alg, fold AS block, round(y, 6) + 0.0 AS y, {p}::integer AS point, round(pred, 4) + 0.0 AS pred "
+            f"FROM tree_state{g['maxDepth']} WHERE NOT train AND least = {g['minInstancesPerNode']}"
+            for p, g in enumerate(_SHALLOW)
+        )
+    ),
+)
+def exp_dt_shallow(spark, folder):
+    """Every setting's predictions, from one growth."""
+    preds = forest.grid_predictions(cut(_tree_blocks(spark, folder)), TREE_INPUTS, "DT", _SHALLOW)
+    return tidy(preds.withColumn("pred", F.round("pred", 4)))
+
+
+SEQ_INPUTS = ["natural_flow", "rainfall"]
 
 
 @query("exp_seq")
 def exp_seq(spark, folder):
-    flat, names = _flat_windows(spark, folder, 6)
-    return tidy(forest.forest_predictions(flat, names, "GB", {"maxIter": 5, "maxDepth": 3}, k=2).withColumn("alg", F.lit("SEQ")))
+    """Look-backs of 6, 12 and 24 rows under the mixed loss; the best of each section."""
+    return tidy(_best_of(sequence.sequence_predictions(cut(split_flows(spark, folder)), SEQ_INPUTS), ["lookback"]))
 
 
 @query("exp_seq_linear")
 def exp_seq_linear(spark, folder):
-    flat, names = _flat_windows(spark, folder, 6)
-    return tidy(linear.mlr_predictions(flat, names, "SEQ_MLR"))
+    windows = features.sequence_windows(split_flows(spark, folder), SEQ_INPUTS, 6)
+    cells = {f"{c}_{i}": F.col("window")[i][j] for i in range(6) for j, c in enumerate(SEQ_INPUTS)}
+    flat = split.forward_blocks(windows.withColumns(cells).drop("window"), 2)
+    return tidy(linear.mlr_predictions(flat, list(cells), "SEQ_MLR"))
 
 
 @query("cv_grid_search_trees")
 def cv_grid_search_trees(spark, folder):
-    grid = [{"maxDepth": 3, "minInstancesPerNode": 5}, {"maxDepth": 5, "minInstancesPerNode": 1}]
-    best, _, _ = forest.grid_search(_tree_blocks(spark, folder), TREE_INPUTS, "DT", grid)
-    return tidy(best)
+    """Mean fold score of every point of the tree grids, each from as few fits as it takes."""
+    blocks = cut(_tree_blocks(spark, folder))
+    found = [
+        forest.grid_scores(cut(forest.grid_predictions(blocks, TREE_INPUTS, alg, forest.GRIDS[alg]))).withColumn("alg", F.lit(alg))
+        for alg in ("DT", "RF", "GB", "AdaB")
+    ]
+    return tidy(stack(found))
 
 
 # ---- weighted median behind the boosted expert, on the five chosen experts
@@ -391,8 +469,8 @@ def snk_station_report(spark, folder):
 def rep_cv_time(spark, folder):
     blocks = cut(_tree_blocks(spark, folder))
     seconds = {}
-    for alg, params in (("DT", {"maxDepth": 3}), ("RF", {"numTrees": 5, "maxDepth": 3})):
-        _, _, seconds[alg] = forest.grid_search(blocks, TREE_INPUTS, alg, [params])
+    for alg in forest.GRIDS:
+        _, _, seconds[alg] = forest.grid_search(blocks, TREE_INPUTS, alg)
     return reports.cv_time(spark, seconds)
 
 
@@ -433,8 +511,7 @@ def run_all_sections(spark, folder):
 
     Sections without a rule, an error in ``run``, are listed by ``join_rules_missing``.
     """
-    settings = Settings(forests={"DT": [{"maxDepth": 5, "minInstancesPerNode": 5}]}, stability=None)
     rules = panel.station_rules(spark, folder)
     hydro, use = [f(spark, folder).join(rules, "section_id", "left_semi") for f in (panel.hydro, panel.water_use)]
-    result = run(hydro, use, rules, settings)
+    result = run(hydro, use, rules, Settings())
     return tidy(result.tables["summary"])

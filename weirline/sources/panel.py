@@ -47,8 +47,8 @@ def hydro(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def water_use(spark: SparkSession, folder: str) -> DataFrame:
-    """section_id, date, domestic, agricultural, industrial, ecological; taxed lines only."""
-    lines = _section_month(_table(spark, folder, "lineitem").where(F.col("l_tax") > 0))
+    """section_id, date, domestic, agricultural, industrial, ecological."""
+    lines = _section_month(_table(spark, folder, "lineitem"))
     paid = _money("l_extendedprice") * _rate("l_tax")
 
     def use(cond: Column) -> Column:
