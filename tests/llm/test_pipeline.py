@@ -1,5 +1,7 @@
 """The pipeline on given and on awkward rows; the queries' columns."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from weirline.llm import chosen_path, queries, toxicity
@@ -37,7 +39,23 @@ def test_stages_on_awkward_and_empty_rows(spark, docs, no_docs, tmp_path):
             rows = spark.read.parquet(str(tmp_path / f"{name}{k}"))
 
 
+CLASHES = "row own of rest stay times _row _stay _mix_row _mix_n _mix_of _key _rest _score _evidence removed sha at n path s id copies".split()
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, docs):
+    """Extra columns come out as they went in, whatever their name."""
+    full = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).drop("row")
+    named = full.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in CLASHES], F.lit("x").alias("odd name`s"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, named, FOLDER)
+        assert got.columns == named.columns
+        rows = got.collect()
+        assert rows
+        for r in rows:
+            assert all(r[c] == f"{c}:{r['doc_id']}" for c in CLASHES) and r["odd name`s"] == "x"
+
+
 def test_registered_names():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert "pipeline" in entry.queries() and set(queries.SQL) <= set(queries.QUERIES)

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from weirline.llm.common import map_texts, tasks
+from weirline.llm.common import as_row, map_texts, tasks
 from weirline.llm.quality import mixed
 from weirline.sources.scratch import cut, stack
 
@@ -383,5 +383,6 @@ def join(docs: DataFrame, **how) -> DataFrame:
 def one_each(docs: DataFrame, **how) -> DataFrame:
     """The documents, all columns kept, without all but one of each class: the smallest doc_id stays (null last)."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("best")
-    stay = classes_of(docs, **how).groupBy("class_key").agg(best).select(F.col("best.row").alias("_stay"))
-    return docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(stay, F.col("_row") == F.col("_stay")).dropDuplicates(["_row"]).select(*docs.columns)
+    stay = classes_of(docs, **how).groupBy("class_key").agg(best).select(F.col("best.row").alias("stay"))
+    keyed = as_row(docs, own=F.xxhash64("doc_id", "text")).join(stay, F.col("own") == F.col("stay"))
+    return keyed.dropDuplicates(["own"]).select("row.*")

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word: a run of anything but ASCII white space. bytes.split() cuts the same way.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +37,11 @@ def tasks(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
+def as_row(df: DataFrame, **own: Column) -> DataFrame:
+    """One struct `row` of all columns of df beside columns of one's own, so that no name can clash."""
+    return df.select(F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("row"), *[c.alias(n) for n, c in own.items()])
+
+
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(),
     "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()),
@@ -51,8 +57,9 @@ def map_texts(
     work gets a list per column (null as empty) and returns a list or array per
     field; it sees so many rows at once that their text stays near `piece` characters.
     """
-    kinds = [next(f.dataType.simpleString() for f in df.schema if f.name == k) for k in keep]
-    schema = ", ".join([f"`{k}` {t}" for k, t in zip(keep, kinds, strict=True)] + [f"{k} {t}" for k, t in fields.items()])
+    kinds = {f.name: f.dataType for f in df.schema}
+    made_ = StructType.fromDDL(", ".join(f"{k} {t}" for k, t in fields.items()))
+    schema = StructType([StructField(k, kinds[k]) for k in keep] + made_.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

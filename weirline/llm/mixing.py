@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weirline.llm.common import shuffled, word_count
+from weirline.llm.common import as_row, shuffled, word_count
 from weirline.sources.scratch import cut
 
 #: Finish times lie in (0, 2]; the cut is searched in one of so many slices per unit.
@@ -97,16 +97,15 @@ def mix(
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents of the mix, all columns kept, each as often as the mix takes it (repeated rows together)."""
-    row = F.xxhash64("doc_id", "source", "text")
+    own = F.xxhash64("doc_id", "source", "text")
     times = (
-        mix(docs.select("doc_id", "source", "text", row.alias("_mix_row")), carry=("_mix_row",), **how)
-        .groupBy(F.col("_mix_row").alias("_mix_of"))
-        .agg(F.try_divide(F.sum("taken"), F.max("size")).cast("int").alias("_mix_times"))
-        .where("_mix_times > 0")
+        mix(docs.select("doc_id", "source", "text", own.alias("own")), carry=("own",), **how)
+        .groupBy(F.col("own").alias("of"))
+        .agg(F.try_divide(F.sum("taken"), F.max("size")).cast("int").alias("times"))
+        .where("times > 0")
     )
-    once = docs.withColumn("_mix_row", row).dropDuplicates(["_mix_row"])
-    repeated = once.join(times, F.col("_mix_row") == F.col("_mix_of")).withColumn("_mix_n", F.explode(F.sequence(F.lit(1), F.col("_mix_times"))))
-    return repeated.select(*docs.columns)
+    once = as_row(docs, own=own).dropDuplicates(["own"])
+    return once.join(times, F.col("own") == F.col("of")).select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 #: The same mix in DuckDB's SQL.

@@ -12,8 +12,8 @@ segment that occurs twice goes. Different segments of a key meet in one shard,
 whose suffix array (induced sorting) and permuted common prefixes say which of
 their strings start twice.
 
-A key with more than `room` different segments, as of a passage that very many
-documents hold, is not put into one shard: there every single string is a row,
+A key whose different segments hold more than `room` bytes, as of a passage that very many
+documents hold or of a long text that repeats itself, is not put into one shard: there every single string is a row,
 and equal ones are counted in a shuffle. Shards are cut into arrays of about
 SHARD bytes, whatever the number of tasks. Nothing is dropped or sampled.
 
@@ -34,13 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from weirline.llm.common import tasks
+from weirline.llm.common import as_row, tasks
 from weirline.llm.chosen_path import Groups
 from weirline.llm.suffix_array import common_prefixes, suffix_array
 from weirline.sources.scratch import cut, stack
 
 LENGTH, GRAM = 200, 80
 PIECE, SHARD = 2_000_000, 1_000_000
+#: Strings that leave a task at once where each is a row.
+STRINGS = 50_000
 SEPARATOR = 255  # no UTF-8 text holds this byte
 
 
@@ -199,16 +201,17 @@ def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Every string of the segments of a very common key, by a hash of 128 bits."""
     for b in batches:
         for key, seg, data in zip(*[b.column(c).to_pylist() for c in ("key", "seg", "data")], strict=True):
-            n = len(data) - LENGTH + 1
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "key": pa.array([key] * n, type=pa.int64()), "seg": pa.array([seg] * n, type=pa.int64()), "at": pa.array(range(n), type=pa.int32()),
-                    "string": pa.array([xxh3_128_digest(data[i : i + LENGTH]) for i in range(n)], type=pa.binary()),
-                }
-            )
+            for first in range(0, len(data) - LENGTH + 1, STRINGS):
+                at = range(first, min(first + STRINGS, len(data) - LENGTH + 1))
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "key": pa.array([key] * len(at), type=pa.int64()), "seg": pa.array([seg] * len(at), type=pa.int64()), "at": pa.array(at, type=pa.int32()),
+                        "string": pa.array([xxh3_128_digest(data[i : i + LENGTH]) for i in at], type=pa.binary()),
+                    }
+                )
 
 
-def spans(docs: DataFrame, room: int = 4000) -> tuple[DataFrame, DataFrame]:
+def spans(docs: DataFrame, room: int = 4_000_000) -> tuple[DataFrame, DataFrame]:
     """(row, data, pieces) of every text that loses bytes, pieces being covered runs; and all documents as (row, data, doc_id).
 
     row is a 64-bit hash of doc_id and text; repeated rows share it.
@@ -224,13 +227,13 @@ def spans(docs: DataFrame, room: int = 4000) -> tuple[DataFrame, DataFrame]:
     found = cut(hit.mapInArrow(cut_out, "row long, start long, key long, seg long, inner boolean, data binary"))
 
     kinds = cut(found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner"), F.first("data").alias("data")))
-    many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("inner").alias("inside"))
+    many = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds"), F.max("inner").alias("inside"), F.sum(F.octet_length("data")).alias("bytes"))
     whole = kinds.where("n > 1").select(
         "key", "seg", F.array(F.lit(0)).alias("starts"), F.array(F.octet_length("data")).alias("ends")
     )
     met = kinds.select("key", "seg", "data").join(many.where("kinds > 1 or inside"), "key")
-    sharded = met.where(F.col("kinds") <= room).select("key", "seg", "data").repartition(parts, "key").sortWithinPartitions("key", "seg").mapInArrow(shards, COVER)
-    strings = cut(met.where(F.col("kinds") > room).select("key", "seg", "data").mapInArrow(singly, "key long, seg long, at int, string binary"))
+    sharded = met.where(F.col("bytes") <= room).select("key", "seg", "data").repartition(parts, "key").sortWithinPartitions("key", "seg").mapInArrow(shards, COVER)
+    strings = cut(met.where(F.col("bytes") > room).select("key", "seg", "data").mapInArrow(singly, "key long, seg long, at int, string binary"))
     common = strings.groupBy("string").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     single = strings.join(common.select("string"), "string").select("key", "seg", F.array("at").alias("starts"), F.array(F.col("at") + LENGTH).alias("ends"))
     cover = stack([whole, sharded, single]).where(F.size("starts") > 0)
@@ -290,8 +293,8 @@ def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     A character that loses a part of its bytes goes whole. A null text stays null.
     """
     losing, _ = spans(docs.select("doc_id", F.col(text).alias("text")))
-    rest = losing.mapInArrow(_remove, REST).select(F.col("row").alias("_row"), F.col("rest").alias("_rest"))
+    rest = losing.mapInArrow(_remove, REST).select(F.col("row").alias("of"), "rest")
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    left = F.when(F.col("_rest").isNotNull(), F.col("_rest")).otherwise(F.col(text))
-    joined = docs.withColumn("_key", F.xxhash64(F.col("doc_id"), whole)).join(rest, F.col("_key") == F.col("_row"), "left")
-    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in docs.columns])
+    met = as_row(docs, own=F.xxhash64(F.col("doc_id"), whole)).join(rest, F.col("own") == F.col("of"), "left")
+    left = F.coalesce(F.col("rest"), F.col("row")[text])
+    return met.select(*[left.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
