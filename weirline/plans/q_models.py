@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirline.functions import columns as C
-from weirline.operators import ensemble, features, forest, gate, linear, reports, sequence, skill, splines, split
+from weirline.operators import ensemble, experts, features, forest, gate, linear, reports, sequence, skill, splines, split
 from weirline.plans.common import ALGS, base_view, expert_predictions, gated, split_flows, tidy, two_views, write_views
 from weirline.plans.oracle import KNN_INPUTS, compose, register, rounded, suite
 from weirline.plans.q_skill import matrix_parts, soft_weights, weigh_softly
@@ -505,6 +505,80 @@ def exp_perturbation(spark, folder):
     return tidy(reports.perturbation(rows, ["natural_flow", "rainfall"], score))
 
 
+# The fitted experts, rescored through lags: inputs are moved in the test period, models stay.
+
+_MOVED = ("natural_flow", "rainfall", "measured_flow")
+_FACTORS = "(VALUES (0.9::double), (1.0::double), (1.1::double)) f(factor)"
+register(
+    "moved_rows",
+    "SELECT section_id, date, split, input, factor, measured_flow AS y, evaporation, "
+    + ", ".join(f"CASE WHEN input = '{c}' AND split = 'test' THEN {c} * factor ELSE {c} END AS {c}" for c in _MOVED)
+    + f" FROM split, (VALUES {', '.join(f'({c!r})' for c in _MOVED)}) i(input), {_FACTORS}",
+)
+register(
+    "moved_lags",
+    """SELECT *, lag(measured_flow) OVER (PARTITION BY section_id, input, factor ORDER BY date) AS measured_flow_lag1,
+      lag(natural_flow) OVER (PARTITION BY section_id, input, factor ORDER BY date) AS natural_flow_lag1 FROM moved_rows""",
+)
+register(
+    "moved_near",
+    f"""SELECT q.section_id, q.date, q.input, q.factor, q.y, t.measured_flow AS ty,
+      row_number() OVER (PARTITION BY q.section_id, q.date, q.input, q.factor
+        ORDER BY {" + ".join(f"(q.{c} - t.{c}) * (q.{c} - t.{c})" for c in BASE)}, t.date) AS r
+    FROM moved_rows q JOIN split t ON q.section_id = t.section_id AND t.split = 'train' WHERE q.split = 'test' QUALIFY r <= 5""",
+)
+
+
+def _moved_line(alg: str, x: str, source: str) -> str:
+    return f"""SELECT m.section_id, m.date, m.input, m.factor, m.y, '{alg}' AS alg, a + b * {x} AS pred FROM moved_lags m
+      JOIN (SELECT section_id, regr_intercept(measured_flow, {x}) AS a, regr_slope(measured_flow, {x}) AS b FROM {source} WHERE split = 'train' GROUP BY 1) l
+        ON l.section_id = m.section_id WHERE m.split = 'test' AND {x} IS NOT NULL"""
+
+
+register(
+    "moved_preds",
+    " UNION ALL ".join(
+        [
+            _moved_line("MLR", "natural_flow", "based"), _moved_line("MLR_LAG", "measured_flow_lag1", "lagblocked"),
+            "SELECT section_id, date, input, factor, any_value(y), 'KNN', avg(ty) FROM moved_near GROUP BY section_id, date, input, factor",
+        ]
+    ),
+)
+register("moved_suite", suite("moved_preds", "section_id, alg, input, factor"))
+
+
+@query(
+    "exp_perturbation_experts",
+    compose(
+        """SELECT s.section_id, s.alg, s.input, s.factor, round(s.NSE, 6) + 0.0 AS "NSE", round(s.RMSE, 4) + 0.0 AS "RMSE",
+        round(s.NSE - b.NSE, 6) + 0.0 AS "dNSE", round(s.RMSE - b.RMSE, 4) + 0.0 AS "dRMSE"
+        FROM moved_suite s JOIN moved_suite b ON b.section_id = s.section_id AND b.alg = s.alg AND b.input = s.input AND b.factor = 1"""
+    ),
+)
+def exp_perturbation_experts(spark, folder):
+    """Lines on a present and on a past flow, and neighbours."""
+    rows = cut(split_flows(spark, folder))
+    base, lag = write_views(rows)
+    chosen = [
+        experts.line("MLR", ("natural_flow",)), experts.line("MLR_LAG", ("measured_flow_lag1",)), experts.nearest_mean("KNN", KNN_INPUTS),
+    ]
+    models = {e.name: cut(e.fit(lag if e.needs_lags() else base)) for e in chosen}
+    names = ["section_id", "date", "split", "measured_flow", "natural_flow", "rainfall", "evaporation"]
+    found = experts.perturbation(rows.select(*names), chosen, models, list(_MOVED))
+    return tidy(found.withColumns({c: F.round(c, 4) for c in ("RMSE", "dRMSE")}))
+
+
+@query("exp_perturbation_trees")
+def exp_perturbation_trees(spark, folder):
+    """A whole tree on lags and splines on present inputs."""
+    rows = cut(split_flows(spark, folder))
+    base, lag = write_views(rows)
+    chosen = [experts.tree("DT_LAG", features.LAG_INPUTS, least=5), experts.spline("GAM", KNN_INPUTS)]
+    models = {e.name: cut(e.fit(lag if e.needs_lags() else base)) for e in chosen}
+    names = ["section_id", "date", "split", "measured_flow", "natural_flow", "rainfall", "evaporation"]
+    return tidy(experts.perturbation(rows.select(*names), chosen, models, list(_MOVED)))
+
+
 @query("run_all_sections")
 def run_all_sections(spark, folder):
     """From the two source tables to the best choice per section, in one call.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirline.functions import columns as C
-from weirline.operators import ensemble, linear, neighbours, reports, skill
+from weirline.operators import ensemble, estimators, linear, neighbours, reports, skill
 from weirline.plans.common import ALGS, base_view, blocks, expert_predictions, predictions, split_flows, tidy, two_views
 from weirline.plans.oracle import KNN_INPUTS, KNN_LAG_INPUTS, compose, register, rounded, suite
 from weirline.plans.queries import query
@@ -239,6 +239,16 @@ def cv_grid_search(spark, folder):
     return tidy(_grid_scores(spark, folder))
 
 
+@query("cv_forward_validator", compose(f"SELECT section_id, k, {rounded(['score'])} FROM knn_grid_score"))
+def cv_forward_validator(spark, folder):
+    """The same search through the Estimator, the Evaluator and the validator over forward folds."""
+    train = blocks(spark, folder).where(F.col("split") == "train").select("section_id", "date", "block", "measured_flow", *KNN_INPUTS)
+    knn = estimators.NeighbourEstimator(inputs=list(KNN_INPUTS))
+    sizes = (3, 5, 7)
+    found = estimators.ForwardFoldValidator(knn, [{knn.k: k} for k in sizes]).fit(train).scores
+    return tidy(found.select("section_id", F.get(F.array(*map(F.lit, sizes)), F.col("point")).alias("k"), "score"))
+
+
 @query(
     "topk_best_params",
     compose(
