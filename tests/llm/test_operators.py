@@ -43,13 +43,52 @@ def test_rules_longest_wins(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
-def test_lexicon_takes_whole_levels_of_frequency(spark):
-    pages = spark.createDataFrame([("one " * 9 + "two " * 5 + "red blue " * 2 + "once",)], "html string")
-    assert set(url_filter.lexicon(pages, 10)) == {"one", "two", "red", "blue", "once"}
-    # Of words equally frequent all come or none.
-    assert set(url_filter.lexicon(pages, 3)) == {"one", "two"}
-    assert url_filter.lexicon(pages, 2)["one"] == pytest.approx(math.log(9 / 14))
-    assert url_filter.lexicon(pages.limit(0), 3) == {}
+def test_lexicon_and_words_of_hosts(spark):
+    pages = spark.createDataFrame([("one " * 9 + "two " * 5 + "red blue " * 2 + "once " + "x" * 70 + " " + "x" * 70,)], "html string")
+    counts = url_filter.lexicon(pages)
+    assert {tuple(r) for r in counts.collect()} == {("one", 9), ("two", 5), ("red", 2), ("blue", 2)}
+    hosts = spark.createDataFrame([("onetwo.redone.com",), ("1.2",), ("",), ("y" * 5000 + ".one",)], "host string")
+    got = {r.host: r.words for r in url_filter.host_words(hosts, counts).collect()}
+    assert got["onetwo.redone.com"][:4] == ["one", "two", "red", "one"]
+    assert got["y" * 5000 + ".one"] == ["y" * 5000, "one"] and set(got) == {"onetwo.redone.com", "y" * 5000 + ".one"}
+    assert url_filter.lexicon(pages.limit(0)).count() == 0
+
+
+def test_verdicts_by_brute_force(spark):
+    """Every verdict and its log odds from plain counts over all decided urls."""
+    rng = np.random.default_rng(4)
+    names, paths = ["redone", "bluetwo", "onered", "twoblue", "redblue"], ["/de/", "/fr/", "/x/a1", "/y/22", "/de/b", "/fr/b"]
+    urls = [f"http://{rng.choice(names)}.{rng.choice(['com', 'net', 'org', 'example.org'])}{rng.choice(paths)}{rng.choice(['', 'z', 'b/c'])}" for _ in range(200)]
+    urls += [None, "nothing", "http://" + "redone" * 2000 + ".net/" + "b/" * 5000]
+    html = "one " * 9 + "two " * 5 + "red blue " * 7 + "de net org com " * 3
+    pages = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: r for r in url_filter.judge(pages).collect()}
+    n = collections.Counter(url_filter.LETTERS.findall(html))
+    total = sum(n.values()) * len(urls)
+    words = {w: math.log(c * len(urls) / total) for w, c in n.items()}
+
+    def tokens(r):
+        host = ["h:" + w for label in url_filter.LETTERS.findall(r.host) for w in url_filter.segment(label, words)]
+        return host + url_filter.path_tokens([r.path])["tokens"][0]
+
+    counts, urls_of = {"block": collections.Counter(), "allow": collections.Counter()}, collections.Counter()
+    for r in got.values():
+        if r.rule is not None:
+            counts[r.verdict].update(tokens(r))
+            urls_of[r.verdict] += 1
+    known = len(set(counts["block"]) | set(counts["allow"]))
+    size = {c: sum(counts[c].values()) + 0.5 * known for c in counts}
+    assert urls_of["block"] and urls_of["allow"]
+    verdicts = set()
+    for r in got.values():
+        odds = math.log(urls_of["block"] + 0.5) - math.log(urls_of["allow"] + 0.5)
+        for t in tokens(r):
+            odds += math.log((counts["block"][t] + 0.5) / size["block"]) - math.log((counts["allow"][t] + 0.5) / size["allow"])
+        assert r.block_log_odds == pytest.approx(odds, rel=1e-6, abs=1e-6)
+        if r.rule is None:
+            assert r.verdict == ("block" if odds > 0 else "allow")
+            verdicts.add(r.verdict)
+    assert verdicts == {"allow", "block"}
 
 
 def test_segmentation_is_the_best_of_all_splits():

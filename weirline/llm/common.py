@@ -45,7 +45,7 @@ def as_row(df: DataFrame, **own: Column) -> DataFrame:
 ARROW = {
     "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string(),
     "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64()),
-    "array<int>": pa.list_(pa.int32()),
+    "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string()),
 }
 
 
