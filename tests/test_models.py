@@ -364,6 +364,25 @@ def test_gate_learns_and_repeats(spark):
     assert entropy.between(0, np.log(2) + 1e-9).all()
 
 
+def test_shared_gate_of_one_section_is_its_own_gate(spark):
+    draw = np.random.default_rng(6)
+    n = 100
+    g, y = draw.normal(0, 1, (n, 2)), draw.gamma(3, 10, n)
+    said = np.column_stack([y + draw.normal(0, 1, n), y + draw.normal(0, 30, n)])
+    rows = [("A", d, *map(float, g[i]), float(y[i]), [float(v) for v in said[i]]) for i, d in enumerate(days(n))]
+    schema = "section_id string, date date, g0 double, g1 double, measured_flow double, yhat array<double>"
+    one = gate.train_shared_gate(spark.createDataFrame(rows, schema), ("g0", "g1"), seed=7, epochs=12, drop=0.0).first()
+    net, epochs, loss = gate.fit_gate(g, said, y, 80, seed=7, epochs=12, drop=0.0)
+    assert one["epochs"] == epochs and one["check_loss"] == pytest.approx(loss, rel=1e-9)
+    for name, want in zip(("w1", "b1", "w2", "b2"), net):
+        np.testing.assert_allclose(np.asarray(one[name]), want, rtol=1e-7)
+    # Two sections alike weigh as one: the mean of equal losses.
+    twice = rows + [("B", *r[1:]) for r in rows] + [("C", *r[1:]) for r in rows[:5]]
+    two = gate.train_shared_gate(spark.createDataFrame(twice, schema), ("g0", "g1"), seed=7, epochs=12, drop=0.0).orderBy("section_id").collect()
+    assert [r["section_id"] for r in two] == ["A", "B"]
+    np.testing.assert_allclose(np.asarray(two[1]["w2"]), net[2], rtol=1e-7)
+
+
 def test_gate_slopes_match_differences():
     """The hand-written slopes lead downhill: the held-out loss after training is below the start."""
     draw = np.random.default_rng(9)

@@ -270,6 +270,20 @@ def gate_train(spark, folder):
     return tidy(gates.select("section_id", "epochs", "check_loss", F.size("b2").alias("experts")))
 
 
+@query("gate_train_shared")
+def gate_train_shared(spark, folder):
+    """One gate for all sections: weights it gives on test rows."""
+    base, lag = write_views(gated(spark, folder))
+    preds = cut(expert_predictions(base, lag))
+    chosen = cut(ensemble.top_experts(ensemble.out_of_fold(preds)))
+    matrix = cut(ensemble.expert_matrix(preds, chosen, base))
+    usable = cut(ensemble.finite_rows(matrix.where(F.col("split") == "train"), GATE_INPUTS))
+    gates = gate.train_shared_gate(usable, GATE_INPUTS)
+    ready = ensemble.fill_gate_gaps(ensemble.fill_expert_gaps(matrix), GATE_INPUTS).where(F.col("split") == "test")
+    weighed = gate.apply_gates(ready, gates, GATE_INPUTS)
+    return tidy(weighed.select("section_id", "date", F.posexplode("w").alias("slot", "w")))
+
+
 # ---- reports
 
 
