@@ -204,7 +204,25 @@ def test_one_long_section_in_many_parts(spark):
         neighbours.nearest(df, ["a", "b"], 4, part_days=n).orderBy("date").toPandas() for n in (10_000, 70)
     )
     assert len(whole) == 1200
-    pd.testing.assert_frame_equal(whole, parts)
+    pd.testing.assert_frame_equal(whole.drop(columns="met"), parts.drop(columns="met"))
+
+
+def test_few_boxes_are_met_and_the_nearest_are_exact(spark):
+    draw = np.random.default_rng(31)
+    centres = draw.normal(0, 50, (12, 3))
+    x = centres[draw.integers(0, 12, 3000)] + draw.normal(0, 1, (3000, 3))
+    x[::7] = x[3]  # many rows at one place
+    rows = [("A", d, "train" if i < 2400 else "test", min(3, i // 600 - 1), float(i), *map(float, r)) for i, (d, r) in enumerate(zip(days(3000), x))]
+    df = spark.createDataFrame(rows, "section_id string, date date, split string, block int, measured_flow double, a double, b double, c double")
+    got = neighbours.nearest(df, ["a", "b", "c"], 5).orderBy("date").toPandas()
+    every = days(3000)
+    for i in range(600, 3000, 11):
+        upto = 600 * (i // 600)
+        d = sum((x[i, j] - x[:upto, j]) ** 2 for j in range(3))
+        want = [every[p] for p in np.argsort(d, kind="stable")[:5]]
+        assert [n["date"] for n in got["near"][i - 600]] == want
+    pairs = sum(600 * (i // 600) for i in range(600, 3000))
+    assert got["met"].sum() < 0.35 * pairs  # the share of pairs that were compared
 
 
 def test_rank_correlations_of_columns_null_in_different_rows(spark):

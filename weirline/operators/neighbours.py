@@ -5,6 +5,8 @@ once as query rows. A task compares one query part with one train part and
 keeps only the nearest few per query row; the survivors of the parts are merged
 afterwards. Pairs of rows exist only as a small numeric tile inside a task,
 never as rows of a table, and no part outgrows a task however long a section is.
+The train rows of a part lie in boxes of near rows; a query row meets a box only
+if the box can hold one of its nearest, so that long sections compare few pairs.
 """
 
 from __future__ import annotations
@@ -20,10 +22,11 @@ from weirline.sources.scratch import spread
 
 PART_DAYS = 10_000  # with daily rows at most this many rows per part
 TILE = 256
+BOX = 128
 
 _FOUND = (
     "section_id string, day int, split string, block int, y double, "
-    "d array<double>, near_day array<int>, near_y array<double>"
+    "d array<double>, near_day array<int>, near_y array<double>, met long"
 )
 
 
@@ -39,21 +42,61 @@ def _packed(rows: DataFrame, features: list[str], y: str, prefix: str, part_days
     return packed.select("section_id", f"{prefix}_part", *[c.alias(f"{prefix}_{n}") for n, c in fields.items()])
 
 
-def _tile_nearest(q: np.ndarray, t: np.ndarray, earlier: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How many allowed train rows each query row gets (k at most), and their squared distances and positions, nearest first."""
-    total = np.zeros((len(q), len(t)))
-    for j in range(q.shape[1]):
-        gap = q[:, j, None] - t[None, :, j]
-        total += gap * gap
-    total[~earlier] = np.inf
-    last = np.partition(total, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
-    row, at = np.nonzero((total <= last[:, None]) & earlier)
-    d = total[row, at]
-    # Train rows are in date order: of rows equally far the earlier comes first.
-    order = np.lexsort((at, d, row))
-    row, at, d = row[order], at[order], d[order]
-    few = np.arange(len(row)) - np.searchsorted(row, row) < k
-    return np.bincount(row[few], minlength=len(q)), d[few], at[few]
+class Boxes:
+    """Train rows in boxes of at most BOX rows, halved along the widest side."""
+
+    def __init__(self, t: np.ndarray, block: np.ndarray) -> None:
+        self.t, self.block = t, block
+        self.rows: list[np.ndarray] = []
+        todo = [np.arange(len(t))]
+        while todo:
+            own = todo.pop()
+            if len(own) <= BOX:
+                self.rows.append(own)
+                continue
+            wide = np.ptp(t[own], axis=0).argmax() if t.shape[1] else 0
+            half = np.argpartition(t[own, wide], len(own) // 2) if t.shape[1] else np.arange(len(own))
+            todo += [own[half[len(own) // 2 :]], own[half[: len(own) // 2]]]
+        self.rows = [np.sort(r) for r in self.rows if len(r)]
+        self.low = np.array([t[r].min(axis=0) for r in self.rows])
+        self.high = np.array([t[r].max(axis=0) for r in self.rows])
+        self.first = np.array([block[r].min() for r in self.rows])
+
+    def nearest(self, q: np.ndarray, q_block: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per query row the squared distances and positions of its k nearest earlier train rows (inf where there are fewer), and the rows met."""
+        best, at = np.full((len(q), k), np.inf), np.full((len(q), k), len(self.t))
+        met = np.zeros(len(q), np.int64)
+        bound = np.zeros((len(q), len(self.rows)))
+        for j in range(q.shape[1]):
+            gap = np.maximum(np.maximum(self.low[:, j] - q[:, j, None], q[:, j, None] - self.high[:, j]), 0.0)
+            bound += gap * gap
+        bound[self.first >= q_block[:, None]] = np.inf
+
+        def meet(b: int, asks: np.ndarray) -> None:
+            if not len(asks):
+                return
+            own = self.rows[b]
+            total = np.zeros((len(asks), len(own)))
+            for j in range(q.shape[1]):
+                gap = q[asks, j, None] - self.t[own, j]
+                total += gap * gap
+            total[self.block[own] >= q_block[asks, None]] = np.inf
+            met[asks] += len(own)
+            bound[asks, b] = np.inf
+            d = np.concatenate([best[asks], total], axis=1)
+            p = np.concatenate([at[asks], np.broadcast_to(own, total.shape)], axis=1)
+            # Positions are in date order: of rows equally far the earlier comes first.
+            order = np.lexsort((p, d), axis=1)[:, :k]
+            best[asks], at[asks] = np.take_along_axis(d, order, axis=1), np.take_along_axis(p, order, axis=1)
+
+        # First each row's own box, then the boxes that can still hold a nearer one.
+        home = bound.argmin(axis=1)
+        for b in np.unique(home):
+            meet(b, np.flatnonzero((home == b) & np.isfinite(bound[:, b])))
+        for b in range(len(self.rows)):
+            # A row as far as the k-th may still win by its date; the bound is rounded like the distances.
+            meet(b, np.flatnonzero((bound[:, b] <= best[:, -1] * (1 + 1e-12)) & np.isfinite(bound[:, b])))
+        return best, at, met
 
 
 def _search(width: int, k: int):
@@ -62,16 +105,16 @@ def _search(width: int, k: int):
             for i, section in enumerate(batch.column("section_id").to_pylist()):
                 own = {c: batch.column(c)[i].values for c in batch.schema.names if c != "section_id"}
                 q, t = (own[c].to_numpy(zero_copy_only=False).reshape(-1, width) for c in ("q_x", "t_x"))
-                q_block, t_block = own["q_b"].to_numpy(), own["t_b"].to_numpy()
-                tiles = [
-                    _tile_nearest(q[at : at + TILE], t, t_block[None, :] < q_block[at : at + TILE, None], k) for at in range(0, len(q), TILE)
-                ]
-                counts, d, at = (np.concatenate(x) for x in zip(*tiles))
-                ends = pa.array(np.concatenate([[0], np.cumsum(counts)]), type=pa.int32())
-                near = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(d), own["t_day"].take(pa.array(at)), own["t_y"].take(pa.array(at)))]
+                q_block, boxes = own["q_b"].to_numpy(), Boxes(t, own["t_b"].to_numpy())
+                tiles = [boxes.nearest(q[a : a + TILE], q_block[a : a + TILE], k) for a in range(0, len(q), TILE)]
+                d, at, met = (np.concatenate(x) for x in zip(*tiles))
+                held = np.isfinite(d)
+                ends = pa.array(np.concatenate([[0], np.cumsum(held.sum(axis=1))]), type=pa.int32())
+                where = pa.array(at[held])
+                near = [pa.ListArray.from_arrays(ends, v) for v in (pa.array(d[held]), own["t_day"].take(where), own["t_y"].take(where))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(pa.scalar(section, pa.string()), len(q)), own["q_day"], own["q_s"], own["q_b"], own["q_y"], *near],
-                    names=["section_id", "day", "split", "block", "y", "d", "near_day", "near_y"],
+                    [pa.repeat(pa.scalar(section, pa.string()), len(q)), own["q_day"], own["q_s"], own["q_b"], own["q_y"], *near, pa.array(met)],
+                    names=["section_id", "day", "split", "block", "y", "d", "near_day", "near_y", "met"],
                 )
 
     return search
@@ -80,11 +123,12 @@ def _search(width: int, k: int):
 def nearest(
     blocks: DataFrame, features: list[str], k: int, y: str = "measured_flow", part_days: int = PART_DAYS
 ) -> DataFrame:
-    """(section_id, date, split, block, y, near) of all rows with block >= 0.
+    """(section_id, date, split, block, y, near, met) of all rows with block >= 0.
 
     ``near`` holds (d, date, y) of the k nearest train rows of earlier blocks, by
     ascending distance, earlier date first. Blocks grow with the date within a
-    section. Rows with a missing input are left out on both sides.
+    section. Rows with a missing input are left out on both sides. ``met`` is the number of
+    train rows that the row was compared with.
     """
     ready = blocks.dropna(subset=features)
     train = _packed(ready.where((F.col("split") == "train") & F.col(y).isNotNull()), features, y, "t", part_days)
@@ -101,9 +145,9 @@ def nearest(
     )
     merged = found.groupBy("section_id", F.date_from_unix_date("day").alias("date")).agg(
         F.first("split").alias("split"), F.first("block").alias("block"), F.first("y").alias("y"),
-        F.flatten(F.collect_list(cells)).alias("all"),
+        F.flatten(F.collect_list(cells)).alias("all"), F.sum("met").alias("met"),
     )
-    return merged.select("section_id", "date", "split", "block", "y", F.slice(F.array_sort("all"), 1, k).alias("near"))
+    return merged.select("section_id", "date", "split", "block", "y", F.slice(F.array_sort("all"), 1, k).alias("near"), "met")
 
 
 def neighbour_mean(near: str, k: int) -> Column:
