@@ -254,7 +254,8 @@ def compose(final: str) -> str:
             todo |= _needs(_CTES[name]) - {name}
     if not wanted:
         return final
-    parts = [f"{n} AS ({_CTES[n].strip()})" for n in _CTES if n in wanted]
+    # A level of a tree is used by the next one more than once.
+    parts = [f"{n} AS {'MATERIALIZED ' if n.startswith('tree_') else ''}({_CTES[n].strip()})" for n in _CTES if n in wanted]
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + final.strip()
 
 

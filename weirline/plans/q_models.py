@@ -77,7 +77,7 @@ def _tree_expert(name, alg):
         return tidy(kept)
 
 
-for _name, _alg in (("exp_dt", "DT"), ("exp_rf", "RF"), ("exp_gb", "GB"), ("exp_lgbm", "LGBM"), ("exp_adab", "AdaB")):
+for _name, _alg in (("exp_rf", "RF"), ("exp_gb", "GB"), ("exp_lgbm", "LGBM"), ("exp_adab", "AdaB")):
     _tree_expert(_name, _alg)
 
 
@@ -102,7 +102,9 @@ def exp_rf_pooled(spark, folder):
     return tidy(forest.forest_predictions(_tree_blocks(spark, folder), TREE_INPUTS, "RF", params, scope="panel"))
 
 
-# ---- trees of depth 1 and 2 in SQL
+# ---- trees in SQL, level by level; no tree of these sections is as deep as the last level
+
+_LEVELS = 24
 
 _X = "[" + ", ".join(TREE_INPUTS) + "]"
 register(
@@ -143,26 +145,53 @@ def _split_level(level: int) -> None:
     )
 
 
-for _level in (0, 1):
+for _level in range(_LEVELS):
     _split_level(_level)
 
-_SHALLOW = [{"maxDepth": d, "minInstancesPerNode": m} for d in (1, 2) for m in (1, 5)]
+def _tree_points(grid) -> str:
+    """Predictions of every setting, from the state after its depth."""
+    return " UNION ALL ".join(
+        f"SELECT section_id, date, split, 'DT' AS alg, fold AS block, y, {p}::integer AS point, pred "
+        f"FROM tree_state{_LEVELS if g['maxDepth'] is None else g['maxDepth']} WHERE NOT train AND least = {g['minInstancesPerNode']}"
+        for p, g in enumerate(grid)
+    )
+
+
+register("tree_points", _tree_points(forest.GRIDS["DT"]))
+register("tree_oof", "SELECT * FROM tree_points WHERE split = 'train'")
+register("tree_suite", suite("tree_oof", "section_id, point, block"))
+register(
+    "tree_scores",
+    """SELECT section_id, point, avg(2 * greatest(NSE, 1e-6) * greatest(logNSE, 1e-6) / (greatest(NSE, 1e-6) + greatest(logNSE, 1e-6))) AS score
+    FROM tree_suite GROUP BY 1, 2""",
+)
 
 
 @query(
-    "exp_dt_shallow",
+    "exp_dt",
     compose(
-        " UNION ALL ".join(
-            f"SELECT {KEY}, split, 'DT' AS alg, fold AS block, round(y, 6) + 0.0 AS y, {p}::integer AS point, round(pred, 4) + 0.0 AS pred "
-            f"FROM tree_state{g['maxDepth']} WHERE NOT train AND least = {g['minInstancesPerNode']}"
-            for p, g in enumerate(_SHALLOW)
-        )
+        f"""SELECT {KEY}, split, alg, block, round(y, 6) + 0.0 AS y, round(pred, 2) + 0.0 AS pred FROM tree_points
+        SEMI JOIN (SELECT * FROM tree_scores QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY round(score, 9) DESC NULLS LAST, point) = 1) s
+          ON s.section_id = tree_points.section_id AND s.point = tree_points.point"""
     ),
 )
+def exp_dt(spark, folder):
+    """Six settings from one growth; the best of each section. Means of two flows often end in a 5: two digits are compared."""
+    _, kept, _ = forest.grid_search(cut(_tree_blocks(spark, folder)), TREE_INPUTS, "DT")
+    return tidy(kept.withColumn("pred", F.round("pred", 2)))
+
+
+_SHALLOW = [{"maxDepth": d, "minInstancesPerNode": m} for d in (1, 2) for m in (1, 5)]
+
+
+@query(
+    "exp_dt_shallow",
+    compose(f"SELECT {KEY}, split, alg, block, point, round(y, 6) + 0.0 AS y, round(pred, 2) + 0.0 AS pred FROM ({_tree_points(_SHALLOW)})"),
+)
 def exp_dt_shallow(spark, folder):
     """Every setting's predictions, from one growth."""
     preds = forest.grid_predictions(cut(_tree_blocks(spark, folder)), TREE_INPUTS, "DT", _SHALLOW)
-    return tidy(preds.withColumn("pred", F.round("pred", 4)))
+    return tidy(preds.withColumn("pred", F.round("pred", 2)))
 
 
 SEQ_INPUTS = ["natural_flow", "rainfall"]
