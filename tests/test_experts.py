@@ -3,7 +3,6 @@
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 from test_trees import plain_tree
 
 from weirline.operators import estimators, experts, skill, splines, split

@@ -1,6 +1,5 @@
 """Metrics, experts, screening, gate and selection against plain numpy."""
 
-import datetime as dt
 import itertools
 
 import numpy as np

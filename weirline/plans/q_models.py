@@ -90,7 +90,7 @@ def _lag_twin(name, alg):
 
 
 for _name, _alg in (
-    ("exp_lag_dt_twin", "DT"), ("exp_lag_tree_twin", "RF"), ("exp_lag_gb_twin", "GB"), ("exp_lag_lgbm_twin", "LGBM"), ("exp_lag_adab_twin", "AdaB"),
+    ("exp_lag_tree_twin", "RF"), ("exp_lag_gb_twin", "GB"), ("exp_lag_lgbm_twin", "LGBM"), ("exp_lag_adab_twin", "AdaB"),
 ):
     _lag_twin(_name, _alg)
 
@@ -106,87 +106,96 @@ def exp_rf_pooled(spark, folder):
 
 _LEVELS = 24
 
-_X = "[" + ", ".join(TREE_INPUTS) + "]"
-register(
-    "tree_rows",
-    f"""SELECT b.section_id, b.date, b.split, b.block, b.measured_flow AS y, {_X} AS x, f.fold, b.block < f.fold AND b.split = 'train' AS train
-    FROM based b JOIN (VALUES (0), (1), (2), (3)) f(fold) ON b.block = f.fold OR (b.block < f.fold AND b.split = 'train')""",
-)
-register(
-    "tree_state0",
-    """SELECT r.*, least, 1 AS node, avg(CASE WHEN train THEN y END) OVER (PARTITION BY section_id, fold, least) AS pred
-    FROM tree_rows r, (VALUES (1), (5)) l(least)""",
-)
+_LEAST = (1, 5)
 
 
-def _split_level(level: int) -> None:
-    node = "section_id, fold, least, node"
-    register(
-        f"tree_sums{level}",
-        f"""SELECT {node}, input, x[input] AS value, count(*) AS n, sum(y) AS s, sum(y * y) AS q
-        FROM tree_state{level}, range(1, {len(TREE_INPUTS) + 1}) i(input) WHERE train AND node IS NOT NULL GROUP BY ALL""",
-    )
+def _tree_views(prefix: str, source: str, inputs: list[str]) -> None:
+    """State of every row after each level; the sums, splits and states of a level are views of their own."""
+    known = " AND ".join(f"b.{c} IS NOT NULL" for c in inputs)
     register(
-        f"tree_split{level}",
-        f"""SELECT {node}, input, (value + following) / 2 AS threshold, ls / ln AS left_value, (ts - ls) / (tn - ln) AS right_value
-        FROM (SELECT *, round((ls * ls / ln + (ts - ls) ** 2 / (tn - ln) - ts * ts / tn) / (tq - ts * ts / tn), 9) AS gain
-              FROM (SELECT {node}, input, value, lead(value) OVER o AS following, sum(n) OVER o AS ln, sum(s) OVER o AS ls,
-                      sum(n) OVER p AS tn, sum(s) OVER p AS ts, sum(q) OVER p AS tq FROM tree_sums{level}
-                    WINDOW o AS (PARTITION BY {node}, input ORDER BY value), p AS (PARTITION BY {node}, input))
-              WHERE following IS NOT NULL AND ln >= least AND tn - ln >= least AND tq - ts * ts / tn > 1e-12 * tq)
-        WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY gain DESC, input, value) = 1""",
+        f"{prefix}_rows",
+        f"""SELECT b.section_id, b.date, b.split, b.block, b.measured_flow AS y, [{", ".join(inputs)}] AS x, f.fold, b.block < f.fold AND b.split = 'train' AS train
+        FROM {source} b JOIN (VALUES (0), (1), (2), (3)) f(fold) ON b.block = f.fold OR (b.block < f.fold AND b.split = 'train') WHERE {known}""",
     )
     register(
-        f"tree_state{level + 1}",
-        f"""SELECT t.* EXCLUDE (node, pred), CASE WHEN s.input IS NOT NULL THEN t.node * 2 + (x[s.input] > threshold)::integer END AS node,
-          CASE WHEN s.input IS NULL THEN pred WHEN x[s.input] > threshold THEN right_value ELSE left_value END AS pred
-        FROM tree_state{level} t LEFT JOIN tree_split{level} s
-          ON s.section_id = t.section_id AND s.fold = t.fold AND s.least = t.least AND s.node = t.node""",
+        f"{prefix}_state0",
+        f"""SELECT r.*, least, 1::bigint AS node, avg(CASE WHEN train THEN y END) OVER (PARTITION BY section_id, fold, least) AS pred
+        FROM {prefix}_rows r, (VALUES {", ".join(f"({m})" for m in _LEAST)}) l(least)""",
     )
-
-
-for _level in range(_LEVELS):
-    _split_level(_level)
-
-def _tree_points(grid) -> str:
+    node = "section_id, fold, least, node"
+    for level in range(_LEVELS):
+        register(
+            f"{prefix}_sums{level}",
+            f"""SELECT {node}, input, x[input] AS value, count(*) AS n, sum(y) AS s, sum(y * y) AS q
+            FROM {prefix}_state{level}, range(1, {len(inputs) + 1}) i(input) WHERE train AND node IS NOT NULL GROUP BY ALL""",
+        )
+        register(
+            f"{prefix}_split{level}",
+            f"""SELECT {node}, input, (value + following) / 2 AS threshold, ls / ln AS left_value, (ts - ls) / (tn - ln) AS right_value
+            FROM (SELECT *, round((ls * ls / ln + (ts - ls) ** 2 / (tn - ln) - ts * ts / tn) / (tq - ts * ts / tn), 9) AS gain
+                  FROM (SELECT {node}, input, value, lead(value) OVER o AS following, sum(n) OVER o AS ln, sum(s) OVER o AS ls,
+                          sum(n) OVER p AS tn, sum(s) OVER p AS ts, sum(q) OVER p AS tq FROM {prefix}_sums{level}
+                        WINDOW o AS (PARTITION BY {node}, input ORDER BY value), p AS (PARTITION BY {node}, input))
+                  WHERE following IS NOT NULL AND ln >= least AND tn - ln >= least AND tq - ts * ts / tn > 1e-12 * tq)
+            WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY gain DESC, input, value) = 1""",
+        )
+        register(
+            f"{prefix}_state{level + 1}",
+            f"""SELECT t.* EXCLUDE (node, pred), CASE WHEN s.input IS NOT NULL THEN t.node * 2 + (x[s.input] > threshold)::integer END AS node,
+              CASE WHEN s.input IS NULL THEN pred WHEN x[s.input] > threshold THEN right_value ELSE left_value END AS pred
+            FROM {prefix}_state{level} t LEFT JOIN {prefix}_split{level} s
+              ON s.section_id = t.section_id AND s.fold = t.fold AND s.least = t.least AND s.node = t.node""",
+        )
+
+
+def _tree_points(prefix: str, alg: str, grid: list[dict]) -> str:
     """Predictions of every setting, from the state after its depth."""
     return " UNION ALL ".join(
-        f"SELECT section_id, date, split, 'DT' AS alg, fold AS block, y, {p}::integer AS point, pred "
-        f"FROM tree_state{_LEVELS if g['maxDepth'] is None else g['maxDepth']} WHERE NOT train AND least = {g['minInstancesPerNode']}"
+        f"SELECT section_id, date, split, '{alg}' AS alg, fold AS block, y, {p}::integer AS point, pred "
+        f"FROM {prefix}_state{_LEVELS if g['maxDepth'] is None else g['maxDepth']} WHERE NOT train AND least = {g['minInstancesPerNode']}"
         for p, g in enumerate(grid)
     )
 
 
-register("tree_points", _tree_points(forest.GRIDS["DT"]))
-register("tree_oof", "SELECT * FROM tree_points WHERE split = 'train'")
-register("tree_suite", suite("tree_oof", "section_id, point, block"))
-register(
-    "tree_scores",
-    """SELECT section_id, point, avg(2 * greatest(NSE, 1e-6) * greatest(logNSE, 1e-6) / (greatest(NSE, 1e-6) + greatest(logNSE, 1e-6))) AS score
-    FROM tree_suite GROUP BY 1, 2""",
-)
+def _tree_choice(prefix: str, source: str, inputs: list[str], alg: str) -> str:
+    """Views of the whole grid, and the predictions of each section's best setting."""
+    _tree_views(prefix, source, inputs)
+    register(f"{prefix}_points", _tree_points(prefix, alg, forest.GRIDS["DT"]))
+    register(f"{prefix}_oof", f"SELECT * FROM {prefix}_points WHERE split = 'train'")
+    register(f"{prefix}_suite", suite(f"{prefix}_oof", "section_id, point, block"))
+    register(
+        f"{prefix}_scores",
+        f"""SELECT section_id, point, avg(2 * greatest(NSE, 1e-6) * greatest(logNSE, 1e-6) / (greatest(NSE, 1e-6) + greatest(logNSE, 1e-6))) AS score
+        FROM {prefix}_suite GROUP BY 1, 2""",
+    )
+    return compose(
+        f"""SELECT {KEY}, split, alg, block, round(y, 6) + 0.0 AS y, round(pred, 2) + 0.0 AS pred FROM {prefix}_points
+        SEMI JOIN (SELECT * FROM {prefix}_scores QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY round(score, 9) DESC NULLS LAST, point) = 1) s
+          ON s.section_id = {prefix}_points.section_id AND s.point = {prefix}_points.point"""
+    )
 
 
-@query(
-    "exp_dt",
-    compose(
-        f"""SELECT {KEY}, split, alg, block, round(y, 6) + 0.0 AS y, round(pred, 2) + 0.0 AS pred FROM tree_points
-        SEMI JOIN (SELECT * FROM tree_scores QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY round(score, 9) DESC NULLS LAST, point) = 1) s
-          ON s.section_id = tree_points.section_id AND s.point = tree_points.point"""
-    ),
-)
+@query("exp_dt", _tree_choice("tree_base", "based", TREE_INPUTS, "DT"))
 def exp_dt(spark, folder):
     """Six settings from one growth; the best of each section. Means of two flows often end in a 5: two digits are compared."""
     _, kept, _ = forest.grid_search(cut(_tree_blocks(spark, folder)), TREE_INPUTS, "DT")
     return tidy(kept.withColumn("pred", F.round("pred", 2)))
 
 
+@query("exp_lag_dt_twin", _tree_choice("tree_lag", "lagblocked", list(features.LAG_INPUTS), "DT_LAG"))
+def exp_lag_dt_twin(spark, folder):
+    """The same grid on lags."""
+    _, lag = two_views(spark, folder)
+    _, kept, _ = forest.grid_search(lag, list(features.LAG_INPUTS), "DT_LAG")
+    return tidy(kept.withColumn("pred", F.round("pred", 2)))
+
+
 _SHALLOW = [{"maxDepth": d, "minInstancesPerNode": m} for d in (1, 2) for m in (1, 5)]
 
 
 @query(
     "exp_dt_shallow",
-    compose(f"SELECT {KEY}, split, alg, block, point, round(y, 6) + 0.0 AS y, round(pred, 2) + 0.0 AS pred FROM ({_tree_points(_SHALLOW)})"),
+    compose(f"SELECT {KEY}, split, alg, block, point, round(y, 6) + 0.0 AS y, round(pred, 2) + 0.0 AS pred FROM ({_tree_points('tree_base', 'DT', _SHALLOW)})"),
 )
 def exp_dt_shallow(spark, folder):
     """Every setting's predictions, from one growth."""
