@@ -420,7 +420,54 @@ def ens_greedy_step(spark, folder):
     return tidy(ensemble.second_choice(oof, ALGS))
 
 
-@query("ens_greedy")
+_LEAST_GAIN, _CLOSE, _FEWEST, _MOST = 0.01, 0.95, 3, 5
+register("grown_1", "SELECT section_id, [first] AS chosen, base AS score, true AS going FROM first_pick")
+for _n in range(1, _MOST):
+    register(
+        f"mean_{_n}",
+        f"""SELECT section_id, date, CASE WHEN count(pred) = {_n} THEN sum(pred) / {_n} END AS ens
+        FROM oof JOIN grown_{_n} USING (section_id) WHERE list_contains(chosen, alg) GROUP BY 1, 2""",
+    )
+    register(
+        f"mixes_{_n}",
+        f"""SELECT o.section_id, o.date, o.alg, o.y, o.pred AS own, ens, (ens * {_n} + o.pred) / {_n + 1} AS pred
+        FROM oof o JOIN grown_{_n} g ON g.section_id = o.section_id
+        LEFT JOIN mean_{_n} m ON m.section_id = o.section_id AND m.date = o.date WHERE going AND NOT list_contains(chosen, o.alg)""",
+    )
+    register(f"mix_suite_{_n}", suite(f"mixes_{_n}", "section_id, alg"))
+    register(
+        f"picks_{_n}",
+        f"""SELECT section_id, alg AS pick, score AS pick_score FROM (
+          SELECT section_id, alg, 2 * greatest(NSE, 1e-9) * greatest(logNSE, 1e-9) / (greatest(NSE, 1e-9) + greatest(logNSE, 1e-9)) AS score
+          FROM mix_suite_{_n}) JOIN (
+          SELECT section_id, alg, CASE WHEN count(own + ens) < 3 THEN 1.0::double
+            WHEN var_pop(own) FILTER (WHERE ens IS NOT NULL) > 0 AND var_pop(ens) FILTER (WHERE own IS NOT NULL) > 0 THEN corr(own, ens) END AS likeness
+          FROM mixes_{_n} GROUP BY 1, 2) USING (section_id, alg)
+        WHERE {_n} < {_FEWEST} OR likeness IS NULL OR likeness < {_CLOSE}
+        QUALIFY row_number() OVER (PARTITION BY section_id ORDER BY score DESC NULLS LAST, alg) = 1""",
+    )
+    register(
+        f"grown_{_n + 1}",
+        f"""SELECT section_id, CASE WHEN taken THEN list_append(chosen, pick) ELSE chosen END AS chosen,
+          CASE WHEN taken THEN pick_score ELSE score END AS score, taken AS going
+        FROM (SELECT *, going AND coalesce(pick_score - score >= {_LEAST_GAIN}, false) AS taken
+              FROM grown_{_n} LEFT JOIN picks_{_n} USING (section_id))""",
+    )
+register(
+    "best_singles",
+    f"""SELECT section_id, string_agg(alg, '|' ORDER BY place) AS names FROM (
+      SELECT *, row_number() OVER (PARTITION BY section_id ORDER BY score DESC NULLS LAST, alg) AS place FROM solo)
+    WHERE place <= {_FEWEST} GROUP BY 1""",
+)
+
+
+@query(
+    "ens_greedy",
+    compose(
+        f"""SELECT section_id, CASE WHEN len(chosen) >= {_FEWEST} THEN array_to_string(chosen, '|') ELSE names END AS experts
+        FROM grown_{_MOST} JOIN best_singles USING (section_id)"""
+    ),
+)
 def ens_greedy(spark, folder):
     chosen = ensemble.greedy_experts(_oof(spark, folder), ALGS)
     return chosen.select("section_id", F.concat_ws("|", "chosen").alias("experts"))
