@@ -183,32 +183,55 @@ def test_base_score_is_exact(docs, no_docs):
     assert lm_score.score(no_docs).count() == 0
 
 
-def test_arcs_of_a_state_sum_to_one_at_most_and_score_follows(spark):
-    texts = [(i, " ".join(t)) for i, t in enumerate(np.random.default_rng(0).choice(list("abcdefgh"), (60, 12)).tolist())]
-    made = {r.doc_id: r for r in lm_score.score(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
-    train = [[None, *t.split(), None] for i, t in texts if zlib.crc32(str(i).encode()) % 10]
+def model_by_hand(train, order):
+    """log10 probability of a text (tokens between two ends) by the definition of the automaton, and its parts."""
     one = collections.Counter(w for t in train for w in t[1:])
-    two = collections.Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    runs = [one] + [collections.Counter(tuple(t[i : i + k]) for t in train for i in range(len(t) - k + 1)) for k in range(2, order + 1)]
     n, v = sum(one.values()), len(one)
-    classes = collections.defaultdict(lambda: [0, 0])
-    for (h, _), c in two.items():
-        k = int(math.log2(one[h]))
-        classes[k][0] += c == 1
-        classes[k][1] += c
-    fail = {k: (a + 0.5) / (b + 1) for k, (a, b) in classes.items()}
-    base = lambda w: (one[w] + 0.1) / (n + 0.1 * (v + 1))
-    for h in one:
-        k = int(math.log2(one[h]))
-        arcs = sum((1 - fail[k]) * c / one[h] for (g, _), c in two.items() if g == h)
-        rest = fail[k] * sum(base(w) for w in one if (h, w) not in two)
-        assert arcs + rest <= 1 + 1e-9
+    times = lambda run: one[run[0]] if len(run) == 1 else runs[len(run) - 1][tuple(run)]
+    class_ = lambda state: (len(state), int(math.log2(times(state))))
+    arcs = collections.defaultdict(lambda: [0, 0])
+    for counted in runs[1:]:
+        for run, c in counted.items():
+            arcs[class_(run[:-1])][0] += 1
+            arcs[class_(run[:-1])][1] += c
+    fail = {k: (t + 0.5) / (t + m + 1) for k, (t, m) in arcs.items()}
+    base = lambda w: math.log10((one[w] + 0.1) / (n + 0.1 * (v + 1)))
+
+    def step(state, w):
+        cost = 0.0
+        while state:
+            if times(state):
+                if times((*state, w)):
+                    return cost + math.log10((1 - fail[class_(state)]) * times((*state, w)) / times(state))
+                cost += math.log10(fail[class_(state)])
+            state = state[1:]
+        return cost + base(w)
+
+    score = lambda t: sum(step(tuple(t[max(0, i - order + 1) : i]), t[i]) for i in range(1, len(t)))
+    return score, step, runs
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_score_equals_the_automaton_by_hand(spark, order):
+    draw = np.random.default_rng(order)
+    texts = [(i, " ".join(draw.choice(list("abcdefgh"), draw.integers(0, 14)).tolist())) for i in range(70)] + [(200, "new a words"), (201, "new a words")]
+    texts += [(202, None), (203, "a b " * 2000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    made = {r.doc_id: r for r in lm_score.score(docs, order).collect()}
+    cut_ = lambda t: [None, *(t or "").split(), None]
+    score, step, runs = model_by_hand([cut_(t) for i, t in texts if zlib.crc32(str(i).encode()) % 10], order)
     for i, t in texts:
-        total = 0.0
-        t = [None, *t.split(), None]
-        for h, w in zip(t, t[1:], strict=False):
-            k = int(math.log2(one[h])) if one[h] else None
-            total += math.log10((1 - fail[k]) * two[h, w] / one[h]) if two[h, w] else math.log10(base(w)) + (math.log10(fail[k]) if one[h] else 0)
-        assert made[i].score == pytest.approx(total)
+        assert made[i].score == pytest.approx(score(cut_(t)))
+    states = {run[:-1] for run in runs[-1]} | {(w,) for w in runs[0]}
+    for state in list(states)[:100]:  # arcs of a state and what its failure leads to
+        assert sum(10 ** step(state, w) for w in runs[0]) <= 1 + 1e-9
+
+
+def test_ranges_of_hashes_follow_the_input_and_change_nothing(spark, docs, monkeypatch):
+    want = sorted(((r.doc_id, round(r.score, 9)) for r in lm_score.score(docs).collect()), key=repr)
+    monkeypatch.setattr(lm_score, "RANGE", lm_score.BLOCK // 30)  # 30 ranges a block
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in lm_score.score(docs).collect()), key=repr) == want
 
 
 def test_held_out_texts_score_above_the_base(spark):

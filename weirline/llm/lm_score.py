@@ -1,22 +1,24 @@
 """Language-model scores from a weighted backoff automaton.
 
 Words (A-Z in lower case) and one end per text are the tokens; the texts outside
-the held-out tenth teach the model. Every known token is a state that a text is
-in after reading it (the end is the state a text begins in). A state has an arc
+the held-out tenth teach the model. Every run of up to `order` - 1 tokens seen in
+training is a state (a text begins in the state of the end). A state has an arc
 for every token that followed it in training, with log10 of its discounted
-share, and a failure arc to the root, whose arcs are the smoothed single-token
+share, and a failure arc to the state of the run without its first token; the
+last of them is the root, whose arcs are the smoothed single-token
 probabilities. A text is read once from left to right: each step takes the arc
-of its state, or pays the failure arc and the root's arc.
+of the longest state that has one, and pays the failure arcs passed on the way.
 
-Failure weights are tied by how often a state was seen (powers of two) and hold
-the Good-Turing estimate, tokens seen once after such states over all tokens
-after them; seen arcs share the rest, so the arcs of a state never sum above 1.
+Failure weights are tied by length and frequency (powers of two) of the state
+and hold the Witten-Bell estimate: T / (T + N), for T different arcs that N
+tokens took. Seen arcs share the rest, so the arcs of a state never sum above 1.
 
 No task holds the model. Texts are coded in blocks of BLOCK characters, each
 with its own sorted dictionary of hashed tokens. A block sends its hashes and
 training counts, cut by hash range, to the parts that add them up, and gets
 counts back in the order it sent them: the block's slice of the automaton.
-Blocks and parts are of bounded size; hot words cost one entry per block.
+Blocks are of bounded size and there is a range per RANGE characters of input,
+so both stay of bounded size; hot words cost one entry per block.
 
 Nulls: a null text is empty and holds only the end; a null doc_id is kept, its
 text for the held-out rule is empty. Repeated rows are scored, and teach, one by
@@ -42,14 +44,15 @@ from xxhash import xxh64_intdigest
 from weirline.llm.common import crc_mod, tasks
 from weirline.sources.scratch import cut
 
-FOLDS, BLOCK, ADD, CLASSES = 10, 12_000_000, 0.1, 48
+FOLDS, BLOCK, RANGE, ADD, CLASSES, ORDER = 10, 12_000_000, 96_000_000, 0.1, 48, 3
 #: No word has a space, so this hash belongs to the end alone.
 END = xxh64_intdigest(b" end")
 
 ROW = "block string, kind string, part int, a binary, b binary, c binary, ids array<long>"
+#: Steps by class of state: classes and counts of taken and of failure arcs; a block's sums of different arcs and of tokens on its first row.
 SCORED = (
-    "doc_id long, n_tokens long, n_known long, base_score double, arcs double, "
-    "taken array<long>, failed array<long>, once array<long>"
+    "doc_id long, n_tokens long, n_known long, base_score double, arcs double, took array<int>, took_n array<int>, "
+    "failed array<int>, failed_n array<int>, kinds array<double>, after array<long>"
 )
 
 
@@ -115,13 +118,18 @@ def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def pairs(hashes: np.ndarray, tokens: np.ndarray, end: int) -> np.ndarray:
-    """A hash of every token with the one before it; the first of a text follows an end, as it does in the block's row of tokens."""
-    before = np.concatenate([[end], tokens[:-1]])
-    mixed = (hashes[before] ^ (hashes[before] >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + hashes[tokens]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return mixed ^ (mixed >> np.uint64(32))
+def grams(hashes: np.ndarray, tokens: np.ndarray, end: int, order: int) -> list[np.ndarray]:
+    """Hashes of the runs of 2 to order tokens that end at each token; the first of a text follows an end, as it does in the block's row of tokens."""
+    own = hashes[tokens]
+    run, out = own, []
+    for _ in range(2, order + 1):
+        before = np.concatenate([hashes[[end]], run[:-1]])
+        run = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + own
+        run ^= run >> np.uint64(29)
+        run *= np.uint64(0xBF58476D1CE4E5B9)
+        run ^= run >> np.uint64(32)
+        out.append(run)
+    return out
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,13 +164,14 @@ class Blocks:
             yield held
 
 
-def opened(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """hashes, tokens, lengths, training flag of each token, hashes of token pairs."""
+def opened(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """hashes, tokens, lengths, training flag and place in its text of each token, place of the end among the hashes."""
     hashes = unpacked(block["text"]["c"], np.uint64, True)
     tokens = unpacked(block["text"]["a"], np.uint32).astype(np.int64)
     lengths = unpacked(block["text"]["b"], np.uint32).astype(np.int64)
     trains = np.repeat(np.array([in_training(i) for i in block["text"]["ids"]]), lengths)
-    return hashes, tokens, lengths, trains, pairs(hashes, tokens, int(np.searchsorted(hashes, np.uint64(END))))
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    return hashes, tokens, lengths, trains, place, int(np.searchsorted(hashes, np.uint64(END)))
 
 
 def cuts(n: int) -> np.ndarray:
@@ -170,14 +179,16 @@ def cuts(n: int) -> np.ndarray:
     return np.array([(i << 64) // n for i in range(1, n)], dtype=np.uint64)
 
 
-def requests(n_parts: int):
+def requests(n_parts: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in Blocks(batches):
-            hashes, tokens, _, trains, both = opened(block)
-            seen = np.bincount(tokens[trains], minlength=len(hashes))
-            pair, at = distinct(both)
-            pair_seen = np.bincount(at[trains], minlength=len(pair))
-            for kind, keys, n in (("one", hashes, seen), ("two", pair, pair_seen)):
+            hashes, tokens, _, trains, place, end = opened(block)
+            asked = [("1", hashes, np.bincount(tokens[trains], minlength=len(hashes)))]
+            for n, run_ in enumerate(grams(hashes, tokens, end, order), 2):
+                whole = place >= n - 2  # runs that begin before their text are none
+                keys, at = distinct(run_[whole])
+                asked.append((str(n), keys, np.bincount(at[trains[whole]], minlength=len(keys))))
+            for kind, keys, n in asked:
                 ends = np.concatenate([[0], np.searchsorted(keys, cuts(n_parts)), [len(keys)]])
                 yield rows(
                     [
@@ -214,68 +225,88 @@ def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield total(key, asked)
 
 
-def walk(n_all: int, v_all: int):
+def per_text(n: int, width: int, doc: np.ndarray, class_: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Classes met by each of n texts, and how often."""
+    keys, counts = np.unique(doc * width + class_, return_counts=True)
+    ends = np.searchsorted(keys, np.arange(n + 1) * width).astype(np.int32)
+    return tuple(pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (keys % width, counts))
+
+
+def walk(n_all: int, v_all: int, order: int):
     """Reads every text of a block through the block's slice of the automaton."""
-    under = n_all + ADD * (v_all + 1)
+    under, width = n_all + ADD * (v_all + 1), (order - 1) * CLASSES
 
     def joined(answers_: dict[int, bytes]) -> np.ndarray:
         return np.concatenate([unpacked(answers_[p], np.uint64) for p in sorted(answers_)]).astype(np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in Blocks(batches):
-            hashes, tokens, lengths, trains, both = opened(block)
-            seen = joined(block["one"])
-            pair_seen = joined(block["two"])[distinct(both)[1]]
-            doc = np.repeat(np.arange(len(lengths)), lengths)
-            n = len(lengths)
+            hashes, tokens, lengths, trains, place, end = opened(block)
+            n, doc = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
+            seen = joined(block["1"])
             root = (np.log10(seen + ADD) - np.log10(under))[tokens]
-            state = seen[np.concatenate([[int(np.searchsorted(hashes, np.uint64(END)))], tokens[:-1]])]
-            arc, known = pair_seen > 0, state > 0
-            weight = np.where(arc, np.log10(np.maximum(pair_seen, 1)) - np.log10(np.maximum(state, 1)), root)
-            class_ = np.floor(np.log2(np.maximum(state, 1))).astype(np.int64).clip(0, CLASSES - 1)
-
-            def table(which: np.ndarray) -> list[list[int]]:
-                return np.bincount(doc[which] * CLASSES + class_[which], minlength=n * CLASSES).reshape(n, CLASSES).tolist()  # noqa: B023
-
+            steps, state = [], seen[np.concatenate([[end], tokens[:-1]])]
+            kinds, after = np.zeros(width), np.zeros(width, dtype=np.int64)
+            for k, run_ in enumerate(grams(hashes, tokens, end, order)):
+                whole = place >= k
+                times = np.zeros(len(tokens))
+                if whole.any():
+                    times[whole] = joined(block[str(k + 2)])[distinct(run_[whole])[1]]
+                state = np.where(whole, state, 0)
+                class_ = k * CLASSES + np.floor(np.log2(np.maximum(state, 1))).astype(np.int64).clip(0, CLASSES - 1)
+                taught = trains & whole
+                kinds += np.bincount(class_[taught], weights=1 / times[taught], minlength=width)
+                after += np.bincount(class_[taught], minlength=width)
+                steps.append((times, state, class_))
+                state = np.concatenate([[0], times[:-1]])
+            weight, open_ = root.copy(), np.ones(len(tokens), dtype=bool)
+            took, failed = [], []
+            for times, state, class_ in reversed(steps):
+                arc, fails = open_ & (times > 0), open_ & (times == 0) & (state > 0)
+                weight[arc] = np.log10(times[arc]) - np.log10(state[arc])
+                took.append((doc[arc], class_[arc]))
+                failed.append((doc[fails], class_[fails]))
+                open_ &= ~arc
+            took, took_n = per_text(n, width, *map(np.concatenate, zip(*took, strict=True)))
+            failed, failed_n = per_text(n, width, *map(np.concatenate, zip(*failed, strict=True)))
+            none = [None] * (n - 1)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(block["text"]["ids"], type=pa.int64()), "n_tokens": pa.array(lengths, type=pa.int64()),
                     "n_known": pa.array(np.bincount(doc[seen[tokens] > 0], minlength=n), type=pa.int64()),
                     "base_score": np.bincount(doc, weights=root, minlength=n), "arcs": np.bincount(doc, weights=weight, minlength=n),
-                    "taken": pa.array(table(arc), type=pa.list_(pa.int64())), "failed": pa.array(table(~arc & known), type=pa.list_(pa.int64())),
-                    "once": pa.array(table(trains & (pair_seen == 1)), type=pa.list_(pa.int64())),
+                    "took": took, "took_n": took_n, "failed": failed, "failed_n": failed_n,
+                    "kinds": pa.array([kinds.tolist(), *none], type=pa.list_(pa.float64())),
+                    "after": pa.array([after.tolist(), *none], type=pa.list_(pa.int64())),
                 }
             )
 
     return run
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
+def score(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, by runs of up to `order` (2 or more) tokens."""
     spark = docs.sparkSession
-    parts = tasks(spark)
     blocks = cut(docs.select("doc_id", "text").mapInArrow(coded, ROW))
-    asked = blocks.mapInArrow(requests(parts), ROW)
-    replies = cut(asked.repartition(parts, "part").sortWithinPartitions("kind", "part", "block").mapInArrow(answers, ROW))
-    sums = replies.where("kind = 'one' and block = ''").agg(F.sum(F.col("ids")[0]).alias("n"), F.sum(F.col("ids")[1]).alias("v")).first()
+    parts = tasks(spark)
+    ranges = max(parts, -(-blocks.count() * BLOCK // RANGE))
+    asked = blocks.mapInArrow(requests(ranges, order), ROW)
+    replies = cut(asked.repartition(ranges, "kind", "part").sortWithinPartitions("kind", "part", "block").mapInArrow(answers, ROW))
+    sums = replies.where("kind = '1' and block = ''").agg(F.sum(F.col("ids")[0]).alias("n"), F.sum(F.col("ids")[1]).alias("v")).first()
     n_all, v_all = sums["n"] or 0, sums["v"] or 0
     met = blocks.unionByName(replies.where("block != ''")).repartition(parts, "block").sortWithinPartitions("block", "kind", "part")
-    walked = cut(met.mapInArrow(walk(n_all, v_all), SCORED))
-
-    trained = crc_mod(F.col("doc_id"), FOLDS) != 0
-    after = walked.where(trained).select(F.posexplode(F.arrays_zip("taken", "failed", "once")).alias("class", "x"))
-    seen = {
-        r["class"]: (r["once"], r["n"])
-        for r in after.groupBy("class").agg(F.sum("x.once").alias("once"), F.sum(F.col("x.taken") + F.col("x.failed")).alias("n")).collect()
-    }
-    fail = [(once + 0.5) / (n + 1.0) for once, n in (seen.get(c, (0, 0)) for c in range(CLASSES))]
+    walked = cut(met.mapInArrow(walk(n_all, v_all, order), SCORED))
+
+    classes = walked.where("after is not null").select(F.posexplode(F.arrays_zip("kinds", "after")).alias("class", "x"))
+    seen = {r["class"]: (r["t"], r["n"]) for r in classes.groupBy("class").agg(F.sum("x.kinds").alias("t"), F.sum("x.after").alias("n")).collect()}
+    fail = [(t + 0.5) / (t + n + 1.0) for t, n in (seen.get(c, (0, 0)) for c in range((order - 1) * CLASSES))]
     arc_cost = F.array(*[F.lit(float(np.log10(1.0 - f))) for f in fail])
     fail_cost = F.array(*[F.lit(float(np.log10(f))) for f in fail])
 
-    def dot(counts: str, costs):
-        return F.aggregate(F.zip_with(F.col(counts), costs, lambda n, c: n * c), F.lit(0.0), lambda a, x: a + x)
+    def dot(classes: str, counts: str, costs):
+        return F.aggregate(F.zip_with(F.col(classes), F.col(counts), lambda k, n: n * F.get(costs, k)), F.lit(0.0), lambda a, x: a + x)
 
     return walked.select(
-        "doc_id", (~trained).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score",
-        (F.col("arcs") + dot("taken", arc_cost) + dot("failed", fail_cost)).alias("score"),
+        "doc_id", (crc_mod(F.col("doc_id"), FOLDS) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"),
+        "base_score", (F.col("arcs") + dot("took", "took_n", arc_cost) + dot("failed", "failed_n", fail_cost)).alias("score"),
     )
