@@ -118,18 +118,17 @@ def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block()
 
 
-def grams(hashes: np.ndarray, tokens: np.ndarray, end: int, order: int) -> list[np.ndarray]:
+def grams(hashes: np.ndarray, tokens: np.ndarray, end: int, order: int) -> Iterator[np.ndarray]:
     """Hashes of the runs of 2 to order tokens that end at each token; the first of a text follows an end, as it does in the block's row of tokens."""
     own = hashes[tokens]
-    run, out = own, []
+    run = own
     for _ in range(2, order + 1):
         before = np.concatenate([hashes[[end]], run[:-1]])
         run = (before ^ (before >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + own
         run ^= run >> np.uint64(29)
         run *= np.uint64(0xBF58476D1CE4E5B9)
         run ^= run >> np.uint64(32)
-        out.append(run)
-    return out
+        yield run
 
 
 def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +169,7 @@ def opened(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     tokens = unpacked(block["text"]["a"], np.uint32).astype(np.int64)
     lengths = unpacked(block["text"]["b"], np.uint32).astype(np.int64)
     trains = np.repeat(np.array([in_training(i) for i in block["text"]["ids"]]), lengths)
-    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    place = (np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).clip(0, 1 << 30).astype(np.int32)
     return hashes, tokens, lengths, trains, place, int(np.searchsorted(hashes, np.uint64(END)))
 
 
@@ -183,20 +182,22 @@ def requests(n_parts: int, order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in Blocks(batches):
             hashes, tokens, _, trains, place, end = opened(block)
-            asked = [("1", hashes, np.bincount(tokens[trains], minlength=len(hashes)))]
-            for n, run_ in enumerate(grams(hashes, tokens, end, order), 2):
-                whole = place >= n - 2  # runs that begin before their text are none
-                keys, at = distinct(run_[whole])
-                asked.append((str(n), keys, np.bincount(at[trains[whole]], minlength=len(keys))))
-            for kind, keys, n in asked:
+
+            def sent(kind: str, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
                 ends = np.concatenate([[0], np.searchsorted(keys, cuts(n_parts)), [len(keys)]])
-                yield rows(
+                return rows(
                     [
-                        (block["block"], kind, p, packed(keys[ends[p] : ends[p + 1]], True), packed(n[ends[p] : ends[p + 1]].astype(np.uint32)), None, None)
+                        (block["block"], kind, p, packed(keys[ends[p] : ends[p + 1]], True), packed(n[ends[p] : ends[p + 1]].astype(np.uint32)), None, None)  # noqa: B023
                         for p in range(n_parts) if ends[p + 1] > ends[p]
                     ]
                 )
 
+            yield sent("1", hashes, np.bincount(tokens[trains], minlength=len(hashes)))
+            for n, run_ in enumerate(grams(hashes, tokens, end, order), 2):
+                whole = place >= n - 2  # runs that begin before their text are none
+                keys, at = distinct(run_[whole])
+                yield sent(str(n), keys, np.bincount(at[trains[whole]], minlength=len(keys)))
+
     return run
 
 
@@ -244,37 +245,41 @@ def walk(n_all: int, v_all: int, order: int):
             hashes, tokens, lengths, trains, place, end = opened(block)
             n, doc = len(lengths), np.repeat(np.arange(len(lengths)), lengths)
             seen = joined(block["1"])
-            root = (np.log10(seen + ADD) - np.log10(under))[tokens]
-            steps, state = [], seen[np.concatenate([[end], tokens[:-1]])]
+            weight = (np.log10(seen + ADD) - np.log10(under))[tokens]
+            base, n_known = np.bincount(doc, weights=weight, minlength=n), np.bincount(doc[seen[tokens] > 0], minlength=n)
+            state = seen[np.concatenate([[end], tokens[:-1]])]
             kinds, after = np.zeros(width), np.zeros(width, dtype=np.int64)
+            passed = []  # per length of state: class, or -1 where there is no such state
+            longest = np.full(len(tokens), -1, dtype=np.int8)  # length of the state whose arc is taken, -1 for the root
             for k, run_ in enumerate(grams(hashes, tokens, end, order)):
                 whole = place >= k
                 times = np.zeros(len(tokens))
                 if whole.any():
                     times[whole] = joined(block[str(k + 2)])[distinct(run_[whole])[1]]
-                state = np.where(whole, state, 0)
-                class_ = k * CLASSES + np.floor(np.log2(np.maximum(state, 1))).astype(np.int64).clip(0, CLASSES - 1)
+                state[~whole] = 0
+                class_ = (k * CLASSES + np.floor(np.log2(np.maximum(state, 1))).clip(0, CLASSES - 1)).astype(np.int16)
                 taught = trains & whole
                 kinds += np.bincount(class_[taught], weights=1 / times[taught], minlength=width)
                 after += np.bincount(class_[taught], minlength=width)
-                steps.append((times, state, class_))
+                arc = times > 0
+                weight[arc] = np.log10(times[arc]) - np.log10(state[arc])
+                longest[arc] = k
+                class_[state == 0] = -1
+                passed.append(class_)
                 state = np.concatenate([[0], times[:-1]])
-            weight, open_ = root.copy(), np.ones(len(tokens), dtype=bool)
             took, failed = [], []
-            for times, state, class_ in reversed(steps):
-                arc, fails = open_ & (times > 0), open_ & (times == 0) & (state > 0)
-                weight[arc] = np.log10(times[arc]) - np.log10(state[arc])
+            for k, class_ in enumerate(passed):
+                arc, fails = longest == k, (longest < k) & (class_ >= 0)
                 took.append((doc[arc], class_[arc]))
                 failed.append((doc[fails], class_[fails]))
-                open_ &= ~arc
             took, took_n = per_text(n, width, *map(np.concatenate, zip(*took, strict=True)))
             failed, failed_n = per_text(n, width, *map(np.concatenate, zip(*failed, strict=True)))
             none = [None] * (n - 1)
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": pa.array(block["text"]["ids"], type=pa.int64()), "n_tokens": pa.array(lengths, type=pa.int64()),
-                    "n_known": pa.array(np.bincount(doc[seen[tokens] > 0], minlength=n), type=pa.int64()),
-                    "base_score": np.bincount(doc, weights=root, minlength=n), "arcs": np.bincount(doc, weights=weight, minlength=n),
+                    "n_known": pa.array(n_known, type=pa.int64()),
+                    "base_score": base, "arcs": np.bincount(doc, weights=weight, minlength=n),
                     "took": took, "took_n": took_n, "failed": failed, "failed_n": failed_n,
                     "kinds": pa.array([kinds.tolist(), *none], type=pa.list_(pa.float64())),
                     "after": pa.array([after.tolist(), *none], type=pa.list_(pa.int64())),
