@@ -198,3 +198,14 @@ def test_no_rows(blocks):
     none = blocks.where("false")
     assert ensembles.staged_predictions(none, NAMES, "GB", [{"maxIter": 2, "maxDepth": 2}]).count() == 0
     assert trees.tree_predictions(none, NAMES, "DT", [{"maxDepth": 2}]).count() == 0
+
+
+def test_equal_splits_take_the_first_input_though_truths_hardly_differ():
+    draw = np.random.default_rng(1)
+    x = np.stack([draw.normal(size=4000), np.zeros(4000)])
+    root, w = np.repeat(np.arange(100), 40), np.tile(np.arange(40) % 4 > 0, 100).astype(float)
+    x[1] = np.where(w > 0, -x[0], 0)  # splits the train cases alike, but not the others
+    y = 1 + 1e-5 * draw.normal(size=4000)
+    got, _ = ensembles.grow(x, np.arange(4000), root, w, y, 4)
+    want, _ = ensembles.grow(x[:1], np.arange(4000), root, w, y, 4)
+    np.testing.assert_allclose(got - 1, want - 1, rtol=1e-6, atol=1e-14)
