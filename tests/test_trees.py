@@ -209,3 +209,12 @@ def test_equal_splits_take_the_first_input_though_truths_hardly_differ():
     got, _ = ensembles.grow(x, np.arange(4000), root, w, y, 4)
     want, _ = ensembles.grow(x[:1], np.arange(4000), root, w, y, 4)
     np.testing.assert_allclose(got - 1, want - 1, rtol=1e-6, atol=1e-14)
+
+
+def test_a_grown_grid_needs_one_job_for_all_levels(blocks, spark):
+    before = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one growth", "")
+    trees.grow(blocks, NAMES, (1, 5))
+    jobs = len(before.getJobIdsForGroup("one growth"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 6  # one per stage of the write, whatever the depth
