@@ -40,7 +40,8 @@ from weirline.llm.suffix_array import common_prefixes, suffix_array
 from weirline.sources.scratch import cut, stack
 
 LENGTH, GRAM = 200, 80
-PIECE, SHARD = 2_000_000, 1_000_000
+#: Bytes of text that a worker hashes at once (some 100 bytes of memory for each), and those of one suffix array.
+PIECE, SHARD = 1_000_000, 1_000_000
 #: Strings that leave a task at once where each is a row.
 STRINGS = 50_000
 SEPARATOR = 255  # no UTF-8 text holds this byte
@@ -99,7 +100,7 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def pieces(data: bytes) -> list[tuple[int, bytes]]:
     """A very long text in parts that hold every string once."""
-    step = 4 * PIECE
+    step = 8 * PIECE
     return [(i, data[i : i + step + LENGTH - 1]) for i in range(0, max(1, len(data) - LENGTH + 1), step)]
 
 
