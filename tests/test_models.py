@@ -287,6 +287,25 @@ def test_pruning_keeps_the_one_closer_to_the_target(spark):
     assert screening.prune_redundant(same, ["far", "copy"], "y", importance=imp).first()["kept"] == ["copy"]
 
 
+def test_pruning_makes_no_row_per_pair_and_takes_columns_null_in_different_rows(spark):
+    draw = np.random.default_rng(14)
+    v = np.round(draw.normal(0, 1, (60, 5)), 1)
+    v[:, 1] = v[:, 0] ** 3
+    v[:, 3] = v[:, 2] - v[:, 4]
+    cells = [[None if draw.random() < 0.1 * (c < 3) else float(v[r, c]) for c in range(5)] for r in range(60)]
+    rows = [("A", *c, float(v[r, 0] + 0.1 * r)) for r, c in enumerate(cells)] + [("B", None, None, None, None, None, 1.0)]
+    df = spark.createDataFrame(rows, "section_id string, a double, b double, c double, d double, e double, y double")
+    names = list("abcde")
+    kept = screening.prune_redundant(df, names, "y")
+    assert "Generate" not in kept._jdf.queryExecution().toString()
+    frame = pd.DataFrame(cells, columns=names).assign(y=[r[-1] for r in rows[:60]])
+    rho = frame.corr("spearman").to_numpy()
+    weaker = min("ab", key=lambda c: abs(rho[names.index(c), 5]))
+    left = [c for c in names if c != weaker]
+    left.remove("c")  # c, d and e determine each other; the first of equally inflated ones goes
+    assert [(r["section_id"], r["kept"]) for r in kept.collect()] == [("A", left)]
+
+
 def test_permutation_touches_one_feature(blocks):
     rows = blocks.where("block >= 0").select("section_id", "date", F.col("block").alias("fold"), F.col("measured_flow").alias("y"), "a", "b")
     copies = screening.permuted_copies(rows, ["a", "b"], 0, 2, ["section_id", "fold"]).toPandas()
