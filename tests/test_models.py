@@ -419,6 +419,41 @@ def test_shared_gate_of_one_section_is_its_own_gate(spark):
     np.testing.assert_allclose(np.asarray(two[1]["w2"]), net[2], rtol=1e-7)
 
 
+def test_gates_side_by_side_are_those_of_each_section_alone():
+    draw = np.random.default_rng(12)
+    packs = []
+    for seed, n in enumerate([20, 61, 33, 20, 47] * 5):
+        g, y = draw.normal(0, 1, (n, 3)), draw.gamma(3, 10, n)
+        said = np.column_stack([y + draw.normal(0, 1 + 9 * (g[:, 0] > 0), n), y + draw.normal(0, 10, n)])
+        packs.append((g, said, y, int(0.8 * n), seed))
+    found = gate.fit_gates(packs)
+    assert len({f[1] for f in found}) > 1  # they stop at different epochs
+    for one, (net, epochs, loss) in zip(packs, found):
+        alone = gate.fit_gate(*one)
+        assert epochs == alone[1] and loss == pytest.approx(alone[2], rel=1e-9)
+        for got, want in zip(net, alone[0]):
+            np.testing.assert_allclose(got, want, rtol=1e-7, atol=1e-9)
+
+
+def test_an_epoch_of_the_shared_gate_is_one_stage_of_as_many_tasks_as_run_at_once(spark):
+    draw = np.random.default_rng(13)
+    rows = [("AB"[i % 2], d, float(draw.normal()), float(i % 7), [float(i % 7), 3.0]) for i, d in enumerate(days(400))]
+    df = spark.createDataFrame(rows, "section_id string, date date, g0 double, measured_flow double, yhat array<double>")
+    sc, kept = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        sc.setJobGroup("shared-gate", "epochs")
+        gate.train_shared_gate(df, ("g0",), epochs=5)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    jobs = sorted(tracker.getJobIdsForGroup("shared-gate"))[-4:]
+    # A job lists the stages behind the kept rows too; only the last one runs.
+    assert all(tracker.getStageInfo(max(tracker.getJobInfo(j).stageIds)).numTasks <= sc.defaultParallelism for j in jobs)
+    assert all(tracker.getStageInfo(max(tracker.getJobInfo(j).stageIds)).numTasks > 1 for j in jobs)
+
+
 def test_gate_slopes_match_differences():
     """The hand-written slopes lead downhill: the held-out loss after training is below the start."""
     draw = np.random.default_rng(9)
