@@ -60,20 +60,10 @@ def nearest_mean(name: str, inputs: tuple[str, ...], near: int = 5, k: int = 3,
         return teach.select("section_id", "date", F.col(y).cast("double").alias("y"), *[F.col(c).cast("double").alias(c) for c in inputs])
 
     def predict(rows: DataFrame, model: DataFrame) -> DataFrame:
-        asked = cut(rows.withColumn("_asked", F.monotonically_increasing_id()))
-        # Copies of one day, as of several factors, are searched one after the other: a section has a row per day.
-        copy = F.row_number().over(Window.partitionBy("section_id", "date").orderBy("_asked")) - 1
-        placed = asked.select("section_id", "date", "_asked", *inputs).withColumn("_copy", copy)
-        most = placed.agg(F.max("_copy")).first()[0] or 0
-        blocks = [model.select("section_id", "date", F.lit("train").alias("split"), F.lit(-1).alias("block"), F.col("y").alias(y), *inputs)]
-        found = []
-        for c in range(most + 1):  # as many searches as a day has copies
-            own = placed.where(F.col("_copy") == c)
-            ask = own.select("section_id", "date", F.lit("test").alias("split"), F.lit(0).alias("block"), F.lit(None).cast("double").alias(y), *inputs)
-            said = neighbours.nearest(stack([*blocks, ask]), list(inputs), near, y)
-            pred = said.select("section_id", "date", neighbours.neighbour_mean("near", near).alias("pred"))
-            found.append(own.select("section_id", "date", "_asked").join(pred, ["section_id", "date"]).select("_asked", "pred"))
-        return asked.join(stack(found), "_asked").drop("_asked")
+        # Copies of one day, as of several factors, are searched at once.
+        asked = rows.select("section_id", "date", F.lit(0).alias("block"), F.struct(*rows.columns).alias("_row"), *inputs)
+        said = neighbours.search(model.withColumn("block", F.lit(-1)), asked, list(inputs), near, F.col("_row"), "y")
+        return said.select("kept.*", neighbours.near_mean(near).alias("pred"))
 
     return Expert(name, inputs, fit, predict)
 
