@@ -1,11 +1,13 @@
 """Experts as tables, their pyspark.ml form, and moved inputs, against plain numpy."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from test_trees import plain_tree
 
-from weirline.operators import estimators, experts, skill, splines, split
+from weirline.operators import estimators, experts, neighbours, skill, splines, split
 
 BASE = ("natural_flow", "rainfall", "evaporation")
 
@@ -95,3 +97,29 @@ def test_estimators_take_grids_and_evaluate(panel):
         a, b = (d[d["section_id"] == s].sort_values("date")["prediction"].to_numpy() for d in (deep, kept))
         np.testing.assert_allclose(a, b)
     assert len(kept) == 24
+
+
+def test_moved_copies_are_not_written_and_a_day_may_have_many(spark, panel):
+    blocks = split.forward_blocks(panel, 3)
+    near = experts.nearest_mean("KNN", BASE, 3)
+    lagged = experts.line("LAG", ("measured_flow_lag1",))
+    models = {"KNN": near.fit(blocks), "LAG": lagged.fit(split.forward_blocks(experts.features.lag_view(panel), 3))}
+    folder = spark.conf.get("spark.checkpoint.dir")
+    held = set(os.listdir(folder))
+    got = experts.perturbation(panel, [near, lagged], models, ["natural_flow"], (0.5, 1.0, 2.0)).toPandas()
+    assert set(os.listdir(folder)) == held  # copies, once per input and factor, were written three times
+    got = got.set_index(["section_id", "alg", "factor"])
+    for s, own in panel.toPandas().sort_values("date").groupby("section_id"):
+        train, test = own[own["split"] == "train"], own[own["split"] == "test"]
+        x, y, truth = train[list(BASE)].to_numpy(), train["measured_flow"].to_numpy(), test["measured_flow"].to_numpy()
+        for f in (0.5, 1.0, 2.0):
+            ask = test[list(BASE)].to_numpy() * [f, 1, 1]
+            want = np.array([y[np.argsort(((x - a) ** 2).sum(axis=1), kind="stable")[:3]].mean() for a in ask])
+            assert got.loc[(s, "KNN", f), "RMSE"] == pytest.approx(np.sqrt(np.mean((want - truth) ** 2)), rel=1e-9)
+
+
+def test_neighbours_need_no_merge(panel):
+    found = neighbours.nearest(split.forward_blocks(panel, 3), list(BASE), 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert "Aggregate" not in above and "Join" not in above

@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from weirline.functions.columns import weighted_sum
 from weirline.operators import ensembles, features, linear, neighbours, splines, trees
 from weirline.operators.skill import metric_suite
+from weirline.series import Series
 from weirline.sources.scratch import cut, stack
 
 
@@ -112,30 +113,36 @@ def moved(rows: DataFrame, inputs: list[str], factors: tuple[float, ...]) -> Dat
 
 def _with_lags(copies: DataFrame) -> DataFrame:
     """Lags within each copy of a section: every copy counts as a section of its own."""
-    part = F.concat_ws("|", "section_id", "input", F.col("factor").cast("string"))
-    named = copies.withColumn("_part", part)
-    lags = features.lag_view(named.drop("section_id").withColumnRenamed("_part", "section_id"))
-    lags = lags.withColumnRenamed("section_id", "_part").drop("split", "measured_flow", "natural_flow", "rainfall")
-    return named.join(lags, ["_part", "date"]).drop("_part")
+    kept = [c for c in copies.columns if c not in ("section_id", "input", "factor", "date", "split", *features.LAGGED, "rainfall")]
+    return features.lag_view(copies, Series(keys=("section_id", "input", "factor")), tuple(kept))
+
+
+def _against_as_is(skill: DataFrame) -> DataFrame:
+    """Change of the skill against the factor 1.0 of the same input; inputs without that factor are left out."""
+    same = F.col("factor") == 1.0
+    whole = Window.partitionBy("section_id", "alg", "input")
+    change = {f"d{m}": F.col(m) - F.max(F.when(same, F.col(m))).over(whole) for m in ("NSE", "RMSE")}
+    return skill.withColumns({**change, "_known": F.max(same).over(whole)}).where("_known").drop("_known")
 
 
 def perturbation(
     rows: DataFrame, experts: list[Expert], models: dict[str, DataFrame], inputs: list[str], factors: tuple[float, ...] = (0.9, 1.0, 1.1)
 ) -> DataFrame:
-    """(section_id, alg, input, factor, NSE, RMSE, dNSE, dRMSE) on test rows; 1.0 among the factors is the input as is."""
-    copies = cut(moved(rows, inputs, factors))
-    asked = cut(copies.where("split = 'test'"))
-    lagged = cut(_with_lags(copies).where("split = 'test'")) if any(e.needs_lags() for e in experts) else None
-    said = []
+    """(section_id, alg, input, factor, NSE, RMSE, dNSE, dRMSE) on test rows; 1.0 among the factors is the input as is.
+
+    ``rows`` are read once per expert. They are dealt by section before they are copied, and the copies
+    of a section stay together: lags, lines and their metrics need no exchange of copies, and none is written.
+    """
+    copies = moved(rows.repartition("section_id"), inputs, factors)
+    asked = copies.where("split = 'test'")
+    lagged = _with_lags(copies).where("split = 'test'")
+    if sum(e.needs_lags() for e in experts) > 1:
+        lagged = cut(lagged)
+    keys = ["section_id", "alg", "input", "factor"]
+    found = []
     for e in experts:
         source = lagged if e.needs_lags() else asked
         got = e.predict(source.select("section_id", "date", "y", "input", "factor", *e.inputs), models[e.name])
-        said.append(got.select("section_id", "date", "input", "factor", "y", F.lit(e.name).alias("alg"), "pred"))
-    keys = ["section_id", "alg", "input", "factor"]
-    skill = metric_suite(stack(said), keys, metrics=("NSE", "RMSE"))
-    base = skill.where("factor = 1.0").select("section_id", "alg", "input", F.col("NSE").alias("_n"), F.col("RMSE").alias("_r"))
-    return (
-        skill.join(base, ["section_id", "alg", "input"])
-        .withColumns({"dNSE": F.col("NSE") - F.col("_n"), "dRMSE": F.col("RMSE") - F.col("_r")})
-        .drop("_n", "_r")
-    )
+        said = got.select("section_id", "date", "input", "factor", "y", F.lit(e.name).alias("alg"), "pred")
+        found.append(_against_as_is(metric_suite(said, keys, metrics=("NSE", "RMSE"))))
+    return stack(found)
