@@ -123,3 +123,11 @@ def test_neighbours_need_no_merge(panel):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("MapInArrow")[0]
     assert "Aggregate" not in above and "Join" not in above
+
+
+def test_a_repeated_day_is_answered_once(panel):
+    blocks = split.forward_blocks(panel.where("section_id = 'A'"), 3)
+    once, twice = (neighbours.nearest(b, list(BASE), 3).toPandas().sort_values("date") for b in (blocks, blocks.unionByName(blocks)))
+    assert list(once["date"]) == list(twice["date"]) and list(once["block"]) == list(twice["block"])
+    for a, b in zip(once["near"], twice["near"]):
+        assert [t["date"] for t in b] == [a[0]["date"]] * 3  # two rows of the day, each next to both copies of its nearest
