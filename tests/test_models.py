@@ -356,6 +356,26 @@ def test_greedy_by_hand(spark, seed, min_gain):
     assert got == greedy_by_hand(y, oof, min_gain=max(min_gain, -0.1))
 
 
+def test_selection_deals_rows_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    """600 rows, ten a task; candidates are scored without another exchange, and the choice does not depend on the tasks."""
+    draw = np.random.default_rng(5)
+    rows = []
+    for s in range(20):
+        y = draw.gamma(3, 20, 30)
+        rows += [(f"S{s}", d, a, float(y[i]), float(y[i] + draw.normal(0, sd))) for i, d in enumerate(days(30)) for a, sd in zip("PQR", (8, 9, 10))]
+    df = spark.createDataFrame(rows, "section_id string, date date, alg string, y double, pred double").cache()
+    by = ["section_id", "alg"]
+    want = ensemble.second_choice(df, list("PQR")).toPandas().sort_values(by)
+    monkeypatch.setattr(ensemble, "ROWS", 10)
+    wide = ensemble._dealt(df)
+    assert wide.rdd.getNumPartitions() == 60
+    plan = ensemble._add_expert(wide, None, list("PQR"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    got = ensemble.second_choice(df, list("PQR")).toPandas().sort_values(by)
+    assert len(want) == 40 and got[[*by, "first"]].values.tolist() == want[[*by, "first"]].values.tolist()
+    np.testing.assert_allclose(got[["base", "score"]], want[["base", "score"]], rtol=1e-12)
+
+
 def test_ties_and_missing_scores(spark):
     rows = [("A", "x", 0.5), ("A", "y", 0.5), ("A", "z", None), ("B", "z", None)]
     df = spark.createDataFrame(rows, "section_id string, alg string, score double")
