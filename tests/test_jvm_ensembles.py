@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from weirline.operators import ensembles
+from weirline.operators import ensembles, trees
+from weirline.sources.scratch import cut
 
 NAMES = ["a", "b", "c"]
 GRIDS = {
@@ -59,3 +60,15 @@ def test_a_pack_is_fitted_once_and_in_the_jvm(blocks, alg):
     preds = ensembles.staged_predictions(blocks, NAMES, alg, GRIDS[alg])
     plan = preds.where("pred > 0")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and plan.split("Initial Plan")[0].count("UDF(section_id") == 1
+
+
+def test_single_trees_are_dealt_to_all_tasks(blocks, spark, monkeypatch):
+    """A second deal by the keys of the first was dropped, and tasks were merged by their bytes."""
+    plans = []
+    monkeypatch.setattr(trees, "cut", lambda df: plans.append(df) or cut(df))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(int(before), spark.sparkContext.defaultParallelism)))
+    trees.grow(blocks, NAMES, (1, 5))
+    plan = plans[0]._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert "REPARTITION_BY_NUM" in plan
