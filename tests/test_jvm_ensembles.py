@@ -72,3 +72,17 @@ def test_single_trees_are_dealt_to_all_tasks(blocks, spark, monkeypatch):
     plan = plans[0]._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("trees_,times", [(60, 1), (130, 2)])
+def test_rows_of_a_repeated_day(blocks, trees_, times):
+    """As before: one row each, or added up where the trees come from several chunks."""
+    grid = [{"numTrees": trees_, "maxDepth": 3}]
+    more = blocks.where("section_id = 'A'").union(blocks.where("section_id = 'A' AND i = 69"))
+    rows = {(r["block"], r["date"].isoformat()): [] for r in blocks.where("section_id = 'A' AND block >= 0").collect()}
+    for r in ensembles.staged_predictions(more, NAMES, "RF", grid).collect():
+        rows[r["block"], r["date"].isoformat()].append(r["pred"])
+    last = rows.pop((3, "2000-03-10"))
+    once = [r["pred"] for r in ensembles.staged_predictions(blocks.where("section_id = 'A'"), NAMES, "RF", grid).where("date = '2000-03-10'").collect()]
+    assert all(len(v) == 1 for v in rows.values())
+    assert last == pytest.approx(once * 2 if times == 1 else [2 * once[0]])
